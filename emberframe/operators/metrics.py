@@ -67,36 +67,39 @@ def macro_metrics(per_class: DataFrame) -> DataFrame:
     return per_class.agg(valid("iou").alias("macro_iou"), valid("dice").alias("macro_dice"))
 
 
-def pr_curve(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
     """Exact curve: one point per distinct score, counted from the highest score down.
 
     Rows fold into distinct scores first; the running sums are two-level, so no task sees the
-    whole curve.  The point before each one is the running sum without its own rows.
+    whole curve.  ``keys`` (a model id, say) gives one curve each in the same pass.
     """
-    grouped = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
+    grouped = scored.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    totals = scored.agg(F.count_if(F.col(label) == 1).alias("p")).scalar()
-    curve = running_sums(grouped, "threshold", {"pos": "tp", "neg": "fp"}, descending=True)
-    return curve.withColumn("positives", totals).withColumns(
-        {"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("positives"))}
-    )
+    curve = running_sums(grouped, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, group=list(keys))
+    return curve.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+
 
+def pr_summary(scored: DataFrame, score: str = "score", label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Trapezoid area and average precision of the exact curve; 0 when only one class occurs.
 
-def pr_summary(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Trapezoid area and average precision of the exact curve; 0 when only one class occurs."""
-    curve = pr_curve(scored, score, label)
+    The point before each one is the running sum without its own rows; the curve starts at
+    recall 0, precision 1.
+    """
+    curve = pr_curve(scored, score, label, keys)
     before_tp, before_n = F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
     before_precision = F.when(before_n == 0, F.lit(1.0)).otherwise(F.try_divide(before_tp.cast("double"), before_n))
-    step = _ratio(F.col("pos"), F.col("positives"))
-    summed = curve.agg(
-        F.sum(step * (F.col("precision") + before_precision) / 2).alias("auc_pr"),
-        F.sum(step * F.col("precision")).alias("average_precision"),
+    summed = curve.groupBy(*keys).agg(
+        F.sum(F.col("pos") * (F.col("precision") + before_precision) / 2).alias("_area"),
+        F.sum(F.col("pos") * F.col("precision")).alias("_steps"),
         F.sum("pos").alias("positive_rows"), F.sum("neg").alias("negative_rows"),
     )
-    one_class = (F.col("positive_rows") == 0) | (F.col("negative_rows") == 0)
-    zero = lambda c: F.when(one_class, F.lit(0.0)).otherwise(F.col(c))
-    return summed.withColumns({"auc_pr": zero("auc_pr"), "average_precision": zero("average_precision")})
+    both = (F.col("positive_rows") > 0) & (F.col("negative_rows") > 0)
+    share = lambda c: F.when(both, F.col(c) / F.col("positive_rows")).otherwise(F.lit(0.0))
+    return summed.select(
+        *keys, share("_area").alias("auc_pr"), share("_steps").alias("average_precision"),
+        "positive_rows", "negative_rows",
+    )
 
 
 def binned_pr_curve(scored: DataFrame, score: str = "score", label: str = "label", thresholds: int = BINNED_THRESHOLDS) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -78,14 +76,17 @@ def score_models(matrix: DataFrame, models: dict[float, tuple[list[float], float
 
 
 def evaluate(scored: DataFrame, w_values: list[float], threshold: float = 0.5, label: str = "label") -> DataFrame:
-    """Threshold and curve metrics per model over every pixel of a split."""
-    rows = []
-    for i, w in enumerate(w_values):
-        base = scored.select(F.col(f"p_{i}").alias("score"), label)
-        both = metrics.binary_metrics(base, threshold=threshold).withColumn("w", F.lit(float(w)))
-        curve = metrics.pr_summary(base).withColumn("w", F.lit(float(w)))
-        rows.append(both.join(curve, "w").withColumn("ord", F.lit(i)))
-    return reduce(DataFrame.unionByName, rows)
+    """Threshold and curve metrics per model over every pixel of a split.
+
+    The model columns become rows, so all curves come from one pass over the scored pixels.
+    """
+    entries = [
+        F.struct(F.lit(i).alias("ord"), F.lit(float(w)).alias("w"), F.col(f"p_{i}").alias("score"))
+        for i, w in enumerate(w_values)
+    ]
+    long = scored.select(F.explode(F.array(*entries)).alias("m"), label).select("m.*", label)
+    rates = metrics.binary_metrics(long, threshold=threshold, label=label, keys=("ord", "w"))
+    return rates.join(metrics.pr_summary(long, label=label, keys=("ord", "w")), ["ord", "w"])
 
 
 def select_best(sweep: DataFrame, metric: str = "auc_pr") -> DataFrame:

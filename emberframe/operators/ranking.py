@@ -13,42 +13,48 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 8
 
 
-def _with_range_bucket(df: DataFrame, order: str, bits: int = BUCKET_BITS) -> DataFrame:
+def _with_range_bucket(df: DataFrame, order: str, bits: int, group: list[str]) -> DataFrame:
     """Add ``_bucket``: number of approximate quantile bounds not above the value.
 
-    The bounds are ``2**bits - 1`` numbers from a scalar subquery; the lookup is an unrolled
-    binary search, one comparison per bit.
+    The bounds are ``2**bits - 1`` numbers (per group, of which there are few: models, say); the
+    lookup is an unrolled binary search, one comparison per bit.
     """
     n = 2**bits
-    bounds = df.select(F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("b"))
-    out = df.withColumn("_bounds", bounds.scalar()).withColumn("_bucket", F.lit(0))
+    bounds = F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("_bounds")
+    if group:
+        out = df.join(F.broadcast(df.groupBy(*group).agg(bounds)), group)
+    else:
+        out = df.withColumn("_bounds", df.select(bounds).scalar())
+    out = out.withColumn("_bucket", F.lit(0))
     for step in (2**b for b in reversed(range(bits))):
         probe = F.element_at("_bounds", F.col("_bucket") + F.lit(step))
         out = out.withColumn(
             "_bucket", F.col("_bucket") + F.when(probe <= F.col(order), F.lit(step)).otherwise(F.lit(0))
         )
-    return out.drop("_bounds")
+    return out
 
 
 def running_sums(
-    grouped: DataFrame, order: str, sums: dict[str, str], descending: bool = False, bits: int = BUCKET_BITS
+    grouped: DataFrame, order: str, sums: dict[str, str], descending: bool = False,
+    bits: int = BUCKET_BITS, group: list[str] | None = None,
 ) -> DataFrame:
     """Running sums of ``sums`` (input -> output column) over a numeric ``order`` column.
 
-    ``order`` must be unique: group by it first, which also folds a value held by many rows
-    into one.
+    ``order`` must be unique (per ``group``): aggregate by it first, which also folds a value held
+    by many rows into one.
     """
+    group = group or []
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    tagged = _with_range_bucket(grouped, order, bits)
-    before = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = tagged.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    tagged = _with_range_bucket(grouped, order, bits, group)
+    before = Window.partitionBy(*group).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy(*group, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     offsets = totals.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
-    )  # at most 2**bits rows
-    inside = Window.partitionBy("_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offsets), "_bucket")
+        *group, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
+    )  # at most 2**bits rows per group
+    inside = Window.partitionBy(*group, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(F.broadcast(offsets), [*group, "_bucket"])
     out = out.withColumns({new: F.col(f"_o_{c}") + F.sum(c).over(inside) for c, new in sums.items()})
-    return out.drop("_bucket", *[f"_o_{c}" for c in sums])
+    return out.drop("_bucket", "_bounds", *[f"_o_{c}" for c in sums])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...] | list[float]) -> DataFrame:

@@ -26,7 +26,7 @@ def star_edges(fires: DataFrame) -> DataFrame:
 def _attach_minimum(edges: DataFrame, minimum: DataFrame, salts: int) -> DataFrame:
     """Join each vertex's minimum to its edges; the edges of a hub are spread over salts."""
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    copies = minimum.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = minimum.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, ["u", "_s"]).drop("_s")
 
 

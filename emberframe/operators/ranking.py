@@ -86,15 +86,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...] | list[f
 
 
 def bin_by_quantiles(
-    df: DataFrame, value: str, probs: tuple[float, ...], labels: tuple[str, ...], out: str
-) -> DataFrame:
-    """Right-closed bins between quantiles; a repeated edge makes an empty bin."""
-    edges = exact_quantiles(df, value, probs).scalar()
-    tagged = df.withColumn("_edges", edges)
+    value: str, edges: Column, probs: tuple[float, ...], labels: tuple[str, ...]
+) -> Column:
+    """Right-closed bins between quantile edges; a repeated edge makes an empty bin."""
     label: Column = F.lit(labels[-1])
     for i in reversed(range(len(probs))):
-        label = F.when(F.col(value) <= F.element_at("_edges", F.lit(i + 1)), F.lit(labels[i])).otherwise(label)
-    return tagged.withColumn(out, F.when(F.col(value).isNotNull(), label)).drop("_edges")
+        label = F.when(F.col(value) <= F.element_at(edges, F.lit(i + 1)), F.lit(labels[i])).otherwise(label)
+    return F.when(F.col(value).isNotNull(), label)
 
 
 def rank_by_hash(

@@ -9,6 +9,7 @@ from emberframe import constants as k
 from emberframe.functions.geo import fire_size
 from emberframe.functions.probability import order_hash
 from emberframe.operators import ranking, tiles
+from emberframe.session import cut_lineage
 
 
 def super_fire_stats(points: DataFrame, members: DataFrame) -> DataFrame:
@@ -33,9 +34,20 @@ def super_fire_stats(points: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def size_and_place_bins(stats: DataFrame) -> DataFrame:
-    binned = ranking.bin_by_quantiles(stats, "fire_size", k.SIZE_QUANTILES, k.SIZE_LABELS, "size_bin")
-    binned = ranking.bin_by_quantiles(binned, "center_lat", (0.5,), k.LAT_LABELS, "lat_bin")
-    return ranking.bin_by_quantiles(binned, "center_lon", (0.5,), k.LON_LABELS, "lon_bin")
+    """Size, latitude and longitude bins from exact quantiles.
+
+    The statistics (one row per super-fire) are read many times from here on, so they are written
+    once to the shared folder.
+    """
+    base = cut_lineage(stats)
+    wanted = (
+        ("fire_size", k.SIZE_QUANTILES, k.SIZE_LABELS, "size_bin"),
+        ("center_lat", (0.5,), k.LAT_LABELS, "lat_bin"),
+        ("center_lon", (0.5,), k.LON_LABELS, "lon_bin"),
+    )
+    out = base.withColumns({f"_e_{name}": ranking.exact_quantiles(base, v, p).scalar() for v, p, _, name in wanted})
+    out = out.withColumns({n: ranking.bin_by_quantiles(v, F.col(f"_e_{n}"), p, labels) for v, p, labels, n in wanted})
+    return out.drop(*[f"_e_{w[3]}" for w in wanted])
 
 
 def _fall_back(df: DataFrame, label: str, other: Column, smallest: int) -> DataFrame:
@@ -50,7 +62,7 @@ def _fall_back(df: DataFrame, label: str, other: Column, smallest: int) -> DataF
 
 def strata(binned: DataFrame, smallest: int = k.MIN_STRATUM) -> DataFrame:
     """Size/latitude/longitude stratum; rare ones fall back to the size bin, then to 'Large'."""
-    labelled = binned.withColumn("stratum", F.concat_ws("_", "size_bin", "lat_bin", "lon_bin"))
+    labelled = cut_lineage(binned.withColumn("stratum", F.concat_ws("_", "size_bin", "lat_bin", "lon_bin")))
     labelled = _fall_back(labelled, "stratum", F.col("size_bin"), smallest)
     return _fall_back(labelled, "stratum", F.lit(k.FALLBACK_STRATUM), smallest)
 
@@ -60,6 +72,7 @@ def stratified_split(stratified: DataFrame, train: float = 0.7, seed: int = 42,
 
     If a stratum leaves fewer than two members for val and test, those two are split without strata.
     """
+    stratified = cut_lineage(stratified)
     ranked = ranking.rank_by_hash(stratified, ["stratum"], order_hash(seed, F.col(key)), [key], "_rank")
     counts = stratified.groupBy("stratum").agg(F.count("*").alias("_n"))
     every = Window.partitionBy()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe import constants as k
@@ -49,11 +49,11 @@ def pack(channels: DataFrame, keys: tuple[str, ...], names: tuple[str, ...] = k.
         columns.append(F.col(label).cast("smallint").alias("y"))
     cell = F.struct("pixel_y", "pixel_x", *columns)
     packed = channels.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
-    out = [
-        F.flatten(
-            F.array(*[F.transform("_cells", lambda c, i=i: F.element_at(c["v"], i + 1)) for i in range(len(names))])
-        ).alias("x")
-    ]
+
+    def plane(i: int) -> Column:
+        return F.transform("_cells", lambda c: F.element_at(c["v"], i + 1))
+
+    out = [F.flatten(F.array(*[plane(i) for i in range(len(names))])).alias("x")]
     if label is not None:
         out.append(F.transform("_cells", lambda c: c["y"]).alias("y"))
     return packed.select(*keys, *out)

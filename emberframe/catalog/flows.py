@@ -1 +1,119 @@
-"""Pending."""
+"""Queries that run whole plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from emberframe import constants as k
+from emberframe.catalog import fixtures
+from emberframe.catalog.environment import HOURLY_SQL, ROLLING_SQL, mosaic_cells
+from emberframe.catalog.pixels import DAY, SIDE, raster
+from emberframe.catalog.points import TD, located, points
+from emberframe.catalog.registry import r, register, rounded
+from emberframe.catalog.sql import R, num, query, tiling
+from emberframe.catalog.sql import _CONE as CONE
+from emberframe.operators.tiles import TILE_DAY
+from emberframe.plans import baseline, feature_build, sample_build
+
+JAN = "SELECT id, 2024 AS year, dob - 149 AS dob, fireday, lon, lat, firearea, cumuarea, row_seq, easting, northing FROM proj"
+_T = f"pow(sqrt(x * x + y * y) / {num(CONE['scale'])}, {num(1 / CONE['n'])})"
+_PHI = "pi() / 2 - 2 * atan(t)"
+for _ in range(5):
+    _PHI = f"pi() / 2 - 2 * atan(t * exp({num(-k.GRS80_E)} * atanh({num(k.GRS80_E)} * sin({_PHI}))))"
+LATTICE_SQL = f"""SELECT tile_col, tile_row, py, px, e, n, degrees(atan2(x, y) / {num(CONE['n'])}) + {num(k.ORIGIN_LON_DEG)} AS lon, degrees({_PHI}) AS lat
+    FROM (SELECT *, {_T} AS t FROM (SELECT *, e - {num(k.FALSE_EASTING)} AS x, {num(k.FALSE_NORTHING + CONE['rho0'])} - n AS y FROM (
+      SELECT tile_col, tile_row, py, px, tile_col * 2304e1 + px * 288e1 AS e, (tile_row + 1) * 2304e1 - py * 288e1 AS n
+      FROM (SELECT DISTINCT tile_col, tile_row FROM coarse) t, (SELECT unnest(range(8)) AS py) a, (SELECT unnest(range(8)) AS px) b) q1) q2) q3"""
+# The primary fire decides the composite floor; weather is read at UTC noon + 1 h of its time zone.
+E1_SQL = f"""
+SELECT d.tile_col, d.tile_row, d.dob, count(*) AS cells, count(*) FILTER (WHERE b.burned) AS burned,
+       count(w.t2m) AS weather_cells, {R('sum(sqrt(w.u10 * w.u10 + w.v10 * w.v10) * 36e-1)', 4)} AS ws, {R('sum(v.ndvi)', 3)} AS ndvi, {R('sum(s.v)', 5)} AS dem
+FROM prim d JOIN lattice l USING (tile_col, tile_row)
+LEFT JOIN picked p ON p.tile_col = d.tile_col AND p.tile_row = d.tile_row AND p.dob = d.dob
+LEFT JOIN veg_composite v ON v.time_start = p.time_start AND v.cell = least(greatest(cast(floor(58e0 - l.lat) AS int), 0), 1) * 4 + least(greatest(cast(floor(l.lon + 124e0) AS int), 0), 3)
+LEFT JOIN mosaic s ON s.ix = least(greatest(cast(floor((l.e - 43e5) / 2e3 + 5e-1) AS bigint), 0), (SELECT max(ix) FROM mosaic))
+      AND s.iy = least(greatest(cast(floor((l.n - 25e5) / 2e3 + 5e-1) AS bigint), 0), (SELECT max(iy) FROM mosaic))
+LEFT JOIN (SELECT *, floor(latitude / 1e-1 + 5e-1) AS cy, floor(longitude / 1e-1 + 5e-1) AS cx FROM rolling) w
+      ON w.cy = floor(l.lat / 1e-1 + 5e-1) AND w.cx = floor(l.lon / 1e-1 + 5e-1) AND w.valid_time = d.noon + INTERVAL 1 HOUR
+     AND l.lat BETWEEN (SELECT min(latitude) FROM rolling) AND (SELECT max(latitude) FROM rolling)
+     AND l.lon BETWEEN (SELECT min(longitude) FROM rolling) AND (SELECT max(longitude) FROM rolling)
+LEFT JOIN (SELECT tile_col, tile_row, dob, pixel_y, pixel_x, arg_max(cumuarea, row_seq) > 0 AS burned FROM coarse GROUP BY ALL) b
+      ON b.tile_col = d.tile_col AND b.tile_row = d.tile_row AND b.dob = d.dob AND b.pixel_y = l.py AND b.pixel_x = l.px
+GROUP BY d.tile_col, d.tile_row, d.dob"""
+
+
+@register(
+    "e1_feature_build",
+    query(
+        E1_SQL, "proj", "weather_hourly", "veg_composite", "raster", "tz_region",
+        january=JAN, coarse=tiling("january", 8, 2880), lattice=LATTICE_SQL, hourly=HOURLY_SQL, rolling=ROLLING_SQL,
+        mosaic="SELECT (vec_id % 20) * 8 + pixel_x AS ix, cast(floor(vec_id / 20e0) AS bigint) * 8 + pixel_y AS iy, v FROM raster",
+        prim="""SELECT q.*, timezone('UTC', timezone(coalesce(z.name, 'UTC'), cast(make_date(2024, 1, 1) + (dob - 1) AS timestamp) + INTERVAL 12 HOUR)) AS noon
+                FROM (SELECT tile_col, tile_row, dob, arg_min(id, first_seq) AS id, arg_min(lon, first_seq) AS lon FROM (
+                        SELECT tile_col, tile_row, dob, id, fireday, min(row_seq) AS first_seq, arg_min(lon, row_seq) AS lon FROM coarse GROUP BY ALL) g
+                      GROUP BY ALL) q LEFT JOIN tz_region z ON q.lon >= z.lon_min AND q.lon < z.lon_max""",
+        picked="""SELECT d.tile_col, d.tile_row, d.dob, CASE WHEN max(v.time_start) >= make_date(2024, 1, 1) + (f.first - 6) THEN max(v.time_start) END AS time_start
+                FROM prim d JOIN (SELECT id, min(dob) AS first FROM prim GROUP BY id) f USING (id)
+                LEFT JOIN (SELECT DISTINCT time_start FROM veg_composite) v ON v.time_start + 4 <= make_date(2024, 1, 1) + (d.dob - 1)
+                GROUP BY d.tile_col, d.tile_row, d.dob, f.first""",
+    ),
+)
+def e1(spark, d):
+    """Feature build on a coarse lattice (8 x 8 cells of 2 880 m per tile), all points in one January."""
+    pts = points(spark, d).withColumns({"year": F.lit(2024), "dob": F.col("dob") - 149})
+    inputs = feature_build.Inputs(
+        points=pts, tz_regions=fixtures.load(spark, d, "tz_region"), weather_hourly=fixtures.load(spark, d, "weather_hourly"),
+        composites=fixtures.load(spark, d, "veg_composite"), statics=mosaic_cells(spark, d).withColumnRenamed("v", "dem"),
+        static_origin=(4.3e6, 2.5e6), static_step=2e3, grid=8, pixel=2880.0,
+        vegetation_grid=(-124.0, 58.0, 1.0), composite_days=4, composite_lookback=6,
+    )
+    dense = feature_build.build(inputs)
+    return dense.groupBy("tile_col", "tile_row", "dob").agg(
+        F.count("*").alias("cells"), F.count_if("cumuarea").alias("burned"), F.count("rh").alias("weather_cells"),
+        r(F.sum("ws"), 4).alias("ws"),
+        r(F.sum("ndvi"), 3).alias("ndvi"), r(F.sum("dem"), 5).alias("dem"),
+    )
+
+
+E2_SQL = f"""SELECT s.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM pairs p
+    JOIN (SELECT {TD}, min(id) AS id FROM fires GROUP BY {TD}) f USING ({TD}) JOIN members m USING (id) JOIN split s USING (super_id)
+    LEFT JOIN (SELECT {TD}, count(*) AS n FROM grown GROUP BY {TD}) g USING ({TD}) GROUP BY s.split"""
+
+
+@register("e2_sample_build", query(E2_SQL, "pairs", "members", "split", "grown"))
+def e2(spark, d):
+    index = sample_build.index_samples(located(spark, d))
+    return sample_build.summary(index, sample_build.next_day_labels(index))
+
+
+E2_SEQ_SQL = f"""SELECT s.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM
+    (SELECT a.* FROM days a JOIN days b ON b.year = a.year AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND b.dob = a.dob + 1
+       JOIN days c ON c.year = a.year AND c.tile_col = a.tile_col AND c.tile_row = a.tile_row AND c.dob = a.dob + 2
+       JOIN days e ON e.year = a.year AND e.tile_col = a.tile_col AND e.tile_row = a.tile_row AND e.dob = a.dob + 3) q
+    JOIN (SELECT {TD}, min(id) AS id FROM fires GROUP BY {TD}) f USING ({TD}) JOIN members m USING (id) JOIN split s USING (super_id)
+    LEFT JOIN (SELECT year, tile_col, tile_row, dob - 2 AS dob, count(*) AS n FROM grown GROUP BY ALL) g USING ({TD}) GROUP BY s.split"""
+
+
+@register("e2_sequence_build", query(E2_SEQ_SQL, "days", "members", "split", "grown"))
+def e2_sequences(spark, d):
+    index = sample_build.index_samples(located(spark, d))
+    sequences = sample_build.sequence_samples(index)
+    labels = sample_build.sequence_labels(index, sequences)
+    keys = ["year", "tile_col", "tile_row", "start_dob"]
+    pixels = labels.groupBy(*keys).agg(F.count("*").alias("n"))
+    return sequences.join(pixels, keys, "left").groupBy("split").agg(
+        F.count("*").alias("samples"), F.coalesce(F.sum("n"), F.lit(0)).alias("new_pixels")
+    )
+
+
+@register("e3_logistic_baseline")
+def e3(spark, d):
+    """Fitted model, so rows only: test metrics of the selected model."""
+    split = F.when(F.col("label") < 7, "train").when(F.col("label") == 7, "val").otherwise("test")
+    cells = raster(spark, d).select(
+        *DAY, split.alias("split"), "pixel_y", "pixel_x", (F.col("v") * F.col("v")).alias("tmax"),
+        F.sin(F.col("v") * 3).alias("rh"), (F.col("v") > 0.05).cast("int").alias("label"),
+    )
+    config = baseline.BaselineConfig(["tmax", "rh"], DAY, SIDE, max_positive=3000, w_values=[1.0, 2.0], max_iter=10)
+    _, test = baseline.run(cells, config)
+    return rounded(test, "iou", "dice", "precision", "recall", "accuracy", "auc_pr", "average_precision", digits=4)

@@ -17,12 +17,14 @@ def pivot_layers(cells: DataFrame, keys: list[str], layers: tuple[str, ...] = k.
     )
 
 
-def nearest_static(points: DataFrame, cells: DataFrame, origin: tuple[float, float], step: float, value: str) -> DataFrame:
+def nearest_static(
+    points: DataFrame, cells: DataFrame, origin: tuple[float, float], step: float, *values: str
+) -> DataFrame:
     """Nearest raster cell in metres; points outside the raster take the edge cell."""
     grid = cells.select(
         geo.snap_index(F.col("x"), origin[0], step).alias("_ix"),
         geo.snap_index(F.col("y"), origin[1], step).alias("_iy"),
-        value,
+        *values,
     )
     edge = grid.agg(
         F.struct(

@@ -281,8 +281,8 @@ def c30(spark, d):
 
 
 def label_inputs(spark, d, history: bool = True):
-    loc = located(spark, d)
-    fires, masks = tiles.tile_fires(loc), burn.fire_day_masks(loc)
+    table = burn.burn_table(located(spark, d))
+    fires, masks = tiles.tile_fires(table), burn.masks_of(table)
     return (
         fires, pairing.next_day_pairs(pairing.tile_days(fires)),
         burn.current_mask(fires, masks, history), burn.day_mask(fires, masks),

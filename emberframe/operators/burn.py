@@ -8,12 +8,34 @@ from pyspark.sql import functions as F
 from emberframe.functions.values import fireday_channel, growth_label
 from emberframe.operators import tiles
 from emberframe.operators.tiles import PIXEL, TILE, TILE_DAY
+from emberframe.session import cut_lineage
 
 FIRE_TILE = ("year", *TILE, "id")
 
 
+def burn_table(located: DataFrame, layer: str = "cumuarea") -> DataFrame:
+    """Points folded to one row per fire, day and pixel: the only thing masks and indexes need.
+
+    Written once to the shared folder, so the points are read and projected a single time
+    however many branches (index, masks, history, targets) follow.
+    """
+    folded = located.where(F.col("id").isNotNull() & F.col("dob").isNotNull()).groupBy(
+        *FIRE_TILE, "fireday", "dob", *PIXEL
+    ).agg(
+        F.max_by(F.col(layer) > 0, "row_seq").alias("burned"),
+        F.max("row_seq").alias("last_seq"), F.min("row_seq").alias("row_seq"),
+    )
+    return cut_lineage(folded, "pixel-burn")
+
+
+def masks_of(table: DataFrame) -> DataFrame:
+    """Burned pixels per fire, tile and fire day from a burn table (last write decides)."""
+    last = table.groupBy(*FIRE_TILE, "fireday", *PIXEL).agg(F.max_by("burned", "last_seq").alias("burned"))
+    return last.where("burned").drop("burned")
+
+
 def fire_day_masks(located: DataFrame, layer: str = "cumuarea") -> DataFrame:
-    """Burned pixels per fire, tile and fire day (last write decides)."""
+    """Burned pixels per fire, tile and fire day straight from located points."""
     last = tiles.rasterise_last(located, {"burned": F.col(layer) > 0}, (*FIRE_TILE, "fireday", *PIXEL))
     return last.where("burned").drop("burned")
 
@@ -105,14 +127,35 @@ def burned_until(fires: DataFrame, burned: DataFrame) -> DataFrame:
              *[F.col("b." + c).alias(c) for c in (*PIXEL, "first_fireday")])
 
 
+def new_growth(fires: DataFrame, masks: DataFrame, pairs: DataFrame, history: bool = True) -> DataFrame:
+    """New-growth pixels (the two-class label) of next-day pairs.
+
+    Only pixels burned on the target day can be new, so those alone meet the first-burn table;
+    the cumulative mask of the input day is never built.  A target pixel always meets at least
+    its own fire there, so the inner join keeps all of them.
+    """
+    target = day_mask(fires, masks).withColumn("dob", F.col("dob") - 1)
+    target = target.join(pairs.select(*TILE_DAY), list(TILE_DAY), "left_semi")
+    listed = fires.select(*TILE_DAY, "id", "fireday")
+    if history:
+        reached = target.join(first_burn(masks), ["year", *TILE, *PIXEL])
+        seen = F.col("first_fireday") <= F.col("fireday")
+    else:
+        reached = target.join(masks.withColumnRenamed("fireday", "first_fireday"), ["year", *TILE, *PIXEL])
+        seen = F.col("first_fireday") == F.col("fireday")
+    judged = reached.join(listed, [*TILE_DAY, "id"], "left").groupBy(*TILE_DAY, *PIXEL).agg(
+        F.max(F.coalesce(seen, F.lit(False))).alias("_seen")
+    )
+    return judged.where("NOT _seen").drop("_seen")
+
+
 def new_growth_counts(located: DataFrame, layer: str = "cumuarea", history: bool = True) -> DataFrame:
     """New-growth pixels per tile-day with a following day: the flagship query."""
-    fires = tiles.tile_fires(located)
-    masks = fire_day_masks(located, layer)
-    days = fires.select(*TILE_DAY).distinct()
+    table = burn_table(located, layer)
+    fires, masks = tiles.tile_fires(table), masks_of(table)
+    days = table.select(*TILE_DAY).distinct()
     pairs = days.join(
         days.select("year", *TILE, (F.col("dob") - 1).alias("dob")), list(TILE_DAY), "left_semi"
     )
-    labels = growth_labels(pairs, current_mask(fires, masks, history), day_mask(fires, masks))
-    grown = labels.groupBy(*TILE_DAY).agg(F.count("*").alias("new_pixels"))
+    grown = new_growth(fires, masks, pairs, history).groupBy(*TILE_DAY).agg(F.count("*").alias("new_pixels"))
     return pairs.join(grown, list(TILE_DAY), "left").withColumn("new_pixels", F.coalesce("new_pixels", F.lit(0)))

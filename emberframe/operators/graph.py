@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from emberframe.operators.tiles import TILE_DAY
@@ -51,19 +51,21 @@ def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SAL
     """``(id, super_id)``: the smallest id of each component; isolated vertices keep their own.
 
     Alternating large-star/small-star contraction: edges never multiply, a component with most
-    of the graph becomes a star after O(log n) rounds, and every round starts from a checkpoint
-    in the shared folder.  A round that changes no edge ends the loop.
+    of the graph becomes a star after O(log n) rounds, and every round starts from a table in
+    the shared folder.  The write itself reports a fingerprint; an unchanged one ends the loop.
     """
-    current = cut_lineage(edges.where("u <> v").select("u", "v"))
-    fingerprint = None
+    current = cut_lineage(edges.where("u <> v").select("u", "v"), "edges")
+    previous = None
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current, salts), salts))
-        state = current.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if tuple(state) == fingerprint:
+        seen = Observation()
+        contracted = _small_star(_large_star(current, salts), salts).observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        )
+        current = cut_lineage(contracted, "edges")
+        state = (seen.get["n"], seen.get["h"])
+        if state == previous:
             break
-        fingerprint = tuple(state)
+        previous = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = current.select(F.col("u").alias("id"), F.col("v").alias("super_id"))

@@ -57,7 +57,9 @@ def running_sums(
     return out.drop("_bucket", "_bounds", *[f"_o_{c}" for c in sums])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...] | list[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: tuple[float, ...] | list[float], bits: int = 6
+) -> DataFrame:
     """One row ``(q ARRAY<DOUBLE>)`` of linearly interpolated quantiles, exact at any size.
 
     Values are counted, ranked by running sums, and only the two order statistics around each
@@ -66,7 +68,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...] | list[f
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count("*").alias("_n")
     )
-    ranked = running_sums(counted, "_v", {"_n": "_to"})
+    ranked = running_sums(counted, "_v", {"_n": "_to"}, bits=bits)
     total = df.agg(F.count(value).alias("n")).scalar()
 
     def at(p: float, side: str) -> Column:

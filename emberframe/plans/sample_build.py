@@ -25,10 +25,11 @@ class SampleIndex:
 def index_samples(located: DataFrame, bad_days: DataFrame | None = None, layer: str = "cumuarea", train: float = 0.7, seed: int = 42) -> SampleIndex:
     """Index, gate, group and split.
 
-    The tile-day index is small beside the pixels and feeds every later step, so it is written
-    once to the shared folder.
+    The points are folded into a burn table once; the tile-day index, small beside the pixels,
+    feeds every later step and is written to the shared folder too.
     """
-    fires = cut_lineage(tiles.tile_fires(located))
+    table = burn.burn_table(located, layer)
+    fires = cut_lineage(tiles.tile_fires(table), "tile-fires")
     days = pairing.tile_days(fires)
     inputs = days if bad_days is None else pairing.pass_gate(days, bad_days)
     pairs = pairing.next_day_pairs(inputs, days)
@@ -41,12 +42,14 @@ def index_samples(located: DataFrame, bad_days: DataFrame | None = None, layer:
     )
     placed = kept.join(assigned.select("id", "split"), "id")
     day_split = placed.groupBy(*TILE_DAY).agg(F.min("split").alias("split"))  # one value: fires of a day share it
-    return SampleIndex(placed, members, pairs.join(day_split, list(TILE_DAY)), burn.fire_day_masks(located, layer))
+    return SampleIndex(placed, members, pairs.join(day_split, list(TILE_DAY)), burn.masks_of(table))
 
 
 def next_day_labels(index: SampleIndex, classes: int = 2, history: bool = True) -> DataFrame:
     """Labelled pixels of every next-day sample."""
     fires = index.fires.drop("split")
+    if classes == 2:
+        return burn.new_growth(fires, index.masks, index.pairs, history).withColumn("label", F.lit(1))
     return burn.growth_labels(
         index.pairs, burn.current_mask(fires, index.masks, history), burn.day_mask(fires, index.masks), classes
     )
@@ -65,9 +68,12 @@ def sequence_labels(index: SampleIndex, sequences: DataFrame, n: int = 3, classe
     """Labels of sequences: growth from the last input day to the target day."""
     last = sequences.withColumn("dob", F.col("start_dob") + (n - 1))
     fires = index.fires.drop("split")
-    labels = burn.growth_labels(
-        last, burn.current_mask(fires, index.masks, history), burn.day_mask(fires, index.masks), classes
-    )
+    if classes == 2:
+        labels = burn.new_growth(fires, index.masks, last, history).withColumn("label", F.lit(1))
+    else:
+        labels = burn.growth_labels(
+            last, burn.current_mask(fires, index.masks, history), burn.day_mask(fires, index.masks), classes
+        )
     return labels.join(last.select(*TILE_DAY, "start_dob", "split"), list(TILE_DAY))
 
 

@@ -36,7 +36,7 @@ def burn_days(spark: SparkSession, d: str) -> DataFrame:
 DAYS_SQL = "SELECT DISTINCT cast((tile_col * 7 + tile_row) % 20 AS int) AS tile_no, cast(make_date(year, 1, 1) + (dob - 1) AS date) AS burn_date FROM tiled"
 MOSAIC_SQL = """SELECT tile_no, acq_date, band, pixel,
       arg_min(value, rk) FILTER (WHERE value IS NOT NULL) AS value, min(cloud_cover) FILTER (WHERE value IS NOT NULL) AS cloud
-    FROM scene_pixel JOIN (SELECT *, row_number() OVER (PARTITION BY tile_no, acq_date ORDER BY cloud_cover, scene_id) AS rk FROM scene) s
+    FROM scene_pixel JOIN (SELECT *, row_number() OVER (PARTITION BY tile_no, acq_date ORDER BY cloud_cover, substr(md5(cast(scene_id AS varchar)), 1, 9)) AS rk FROM scene) s
       USING (scene_id) GROUP BY ALL"""
 ACCEPTED_SQL = f"""SELECT tile_no, acq_date, cloud_needed, {TIERS_SQL} AS tier FROM (
       SELECT tile_no, acq_date, max(cloud) AS cloud_needed FROM mosaic WHERE band <> 1

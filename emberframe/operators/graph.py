@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from emberframe.operators.skew import SALTS, salted_join
 from emberframe.operators.tiles import TILE_DAY
 from emberframe.session import cut_lineage
 
-SALTS = 16
-
 
 def star_edges(fires: DataFrame) -> DataFrame:
     """Edges from the first fire of a tile-day to the others: linear in the number of fires."""
-    hub = fires.groupBy(*TILE_DAY).agg(F.min("id").alias("v"))
-    return (
-        fires.select(*TILE_DAY, F.col("id").alias("u"))
-        .join(hub, list(TILE_DAY))
-        .where("u <> v")
-        .select("u", "v")
-        .distinct()
-    )
+    members = fires.select(*TILE_DAY, F.col("id").alias("u"))
+    hub = members.groupBy(*TILE_DAY).agg(F.min("u").alias("v"))
+    return salted_join(members, hub, list(TILE_DAY), F.col("u")).where("u <> v").select("u", "v").distinct()
 
 
 def _attach_minimum(edges: DataFrame, minimum: DataFrame, salts: int) -> DataFrame:
-    """Join each vertex's minimum to its edges; the edges of a hub are spread over salts."""
-    salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    copies = minimum.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, ["u", "_s"]).drop("_s")
+    """Each vertex's minimum onto its edges; the edges of a hub are spread by their other end."""
+    return salted_join(edges, minimum, ["u"], F.col("v"), salts=salts)
 
 
 def _large_star(edges: DataFrame, salts: int) -> DataFrame:

@@ -117,7 +117,11 @@ def rank_by_hash(
 def take_by_hash(
     df: DataFrame, group: list[str], order_hash: Column, ties: list[str], quota: Column, digits: int = 3
 ) -> DataFrame:
-    """The first ``quota`` rows per group in hash order; only rows of the cut bucket are sorted."""
+    """The first ``quota`` rows per group in hash order; only rows of the cut bucket are sorted.
+
+    For few groups (class labels): the bucket edges, at most ``16**digits`` rows per group, are
+    broadcast, so rows beyond the quota are dropped before any shuffle.
+    """
     tagged = df.withColumn("_hash", order_hash).withColumn("_b", F.substring("_hash", 1, digits))
     counts = tagged.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_b")
@@ -127,7 +131,7 @@ def take_by_hash(
         .where(F.col("_room") > 0)
         .select(*group, "_b", "_n", "_room")
     )
-    joined = tagged.join(edges, [*group, "_b"])
+    joined = tagged.join(F.broadcast(edges), [*group, "_b"])
     whole = joined.where(F.col("_n") <= F.col("_room"))
     inside = Window.partitionBy(*group, "_b").orderBy("_hash", *ties)
     cut = (

@@ -130,7 +130,8 @@ def with_time_zone(df: DataFrame, regions: DataFrame, default: str = "UTC") -> D
         & (F.col("p.lon") >= F.col("z.lon_min"))
         & (F.col("p.lon") < F.col("z.lon_max"))
     )
-    joined = left.join(cells.alias("z"), on, "left")
+    # Time zones are a fixed list: some hundred regions, at most 360 cells each.
+    joined = left.join(F.broadcast(cells).alias("z"), on, "left")
     return joined.select("p.*", F.coalesce("z.name", F.lit(default)).alias("tz")).drop("_cell")
 
 

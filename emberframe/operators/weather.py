@@ -20,7 +20,8 @@ def deduplicate_hours(hourly: DataFrame, source: str = "source") -> DataFrame:
     quality = hourly.groupBy("valid_time", source).agg(F.count("t2m").alias("known"))
     best = quality.groupBy("valid_time").agg(F.max(F.struct("known", source)).alias("best"))
     chosen = best.select("valid_time", F.col(f"best.{source}").alias(source))
-    return hourly.join(chosen, ["valid_time", source])
+    # One row per hour of the archive (8 784 a year), so broadcasting it is bounded by the calendar.
+    return hourly.join(F.broadcast(chosen), ["valid_time", source])
 
 
 def deaccumulate(hourly: DataFrame) -> DataFrame:

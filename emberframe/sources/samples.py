@@ -39,7 +39,7 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    text = spark.read.option("wholetext", whole_file).text(path)
+    text = spark.read.text(path, wholetext=whole_file)
     keep = [c for c in text.columns if c != "value"]
     rows = text.select(*keep, F.explode(F.from_json("value", f"map<string,{MANIFEST_ENTRY}>")).alias("sample", "s"))
     return rows.select(*keep, "sample", "s.*")

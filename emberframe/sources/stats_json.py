@@ -15,5 +15,5 @@ def write_feature_stats(stats: DataFrame, path: str) -> None:
 
 
 def read_feature_stats(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{_ENTRY}>")).alias("feature", "s")).select("feature", "s.*")

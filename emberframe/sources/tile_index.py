@@ -35,7 +35,7 @@ def read_tile_fires_json(spark: SparkSession, paths: list[str], whole_file: bool
     """
     frames = []
     for order, path in enumerate(paths):
-        text = spark.read.option("wholetext", whole_file).text(path).select("value")
+        text = spark.read.text(path, wholetext=whole_file).select("value")
         frames.append(text.withColumn("source", F.lit(order)))
     text = reduce(DataFrame.unionByName, frames)
     entries = text.select(

@@ -12,7 +12,7 @@ from emberframe.catalog.points import TD, located, points
 from emberframe.catalog.registry import r, register, rounded
 from emberframe.catalog.sql import R, num, query, tiling
 from emberframe.catalog.sql import _CONE as CONE
-from emberframe.operators.tiles import TILE_DAY
+from emberframe.operators import pairing, ranking
 from emberframe.plans import baseline, feature_build, sample_build
 
 JAN = "SELECT id, 2024 AS year, dob - 149 AS dob, fireday, lon, lat, firearea, cumuarea, row_seq, easting, northing FROM proj"
@@ -106,6 +106,28 @@ def e2_sequences(spark, d):
     )
 
 
+@register(
+    "e2_sequence_channels",
+    query(
+        f"""SELECT a.label, a.dob AS start_dob, s.step, {R('sum(r.v * (r.pixel_y * 8 + r.pixel_x + 1))')} AS tmax
+            FROM numbered a JOIN (SELECT unnest(range(3)) AS step) s ON true
+            JOIN numbered b ON b.label = a.label AND b.dob = a.dob + s.step JOIN raster r ON r.vec_id = b.vec_id
+            WHERE EXISTS (SELECT 1 FROM numbered t WHERE t.label = a.label AND t.dob = a.dob + 3) GROUP BY ALL""",
+        "raster", numbered="SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS dob FROM (SELECT DISTINCT vec_id, label FROM raster) q",
+    ),
+)
+def e2_sequence_channels(spark, d):
+    """Sequences of patches: the label is the tile, the order of the patch within it the day."""
+    numbered = raster(spark, d).select("vec_id", "label").distinct()
+    numbered = ranking.rank_by_prefix(numbered, [], ["vec_id"], "dob", group=["label"]).withColumn("dob", F.col("dob").cast("int"))
+    channels = raster(spark, d).join(numbered, ["vec_id", "label"]).select("label", "dob", "pixel_y", "pixel_x", F.col("v").alias("tmax"))
+    days = numbered.select(F.lit(2024).alias("year"), F.col("label").alias("tile_col"), F.lit(0).alias("tile_row"), "dob")
+    starts = pairing.sequences(days, 3).select(F.col("tile_col").alias("label"), "start_dob")
+    frames = sample_build.sequence_channels(starts, channels, 3, ("label",))
+    weight = F.col("pixel_y") * 8 + F.col("pixel_x") + 1
+    return frames.groupBy("label", "start_dob", "step").agg(r(F.sum(F.col("tmax") * weight)).alias("tmax"))
+
+
 @register("e3_logistic_baseline")
 def e3(spark, d):
     """Fitted model, so rows only: test metrics of the selected model."""

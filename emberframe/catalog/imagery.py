@@ -145,6 +145,30 @@ def chosen_mosaic(spark, d):
     )
 
 
+@register(
+    "satellite_channels",
+    query(
+        f"""SELECT tile_no, {_date('burn_date')}, count(*) AS pixels, cast(sum(b02 * (pixel + 1)) AS bigint) AS b02, count(scl) AS classified
+            FROM (SELECT tile_no, burn_date, pixel, max(CASE WHEN band = 0 THEN value END) AS b02, max(CASE WHEN band = 1 THEN value END) AS scl
+                  FROM (SELECT c.tile_no, c.burn_date, band, pixel,
+                               CASE WHEN cloud <= CASE WHEN tier = 0 THEN 40 ELSE 40 + 10 * tier END THEN value END AS value
+                        FROM chosen c JOIN mosaic USING (tile_no, acq_date)) q GROUP BY ALL) u GROUP BY tile_no, burn_date""",
+        "tiled", "scene", "scene_pixel", **CHAIN,
+    ),
+)
+def satellite_channels(spark, d):
+    mosaic, accepted = _accepted(spark, d)
+    chosen = satellite.chosen_mosaic(satellite.choose_day(burn_days(spark, d), accepted), mosaic)
+    wide = satellite.band_columns(chosen, ("tile_no", "burn_date", "pixel"), {"s2_b02": 0, "s2_scl": SCL})
+    return _dates_as_text(
+        wide.groupBy("tile_no", "burn_date").agg(
+            F.count("*").alias("pixels"), F.sum(F.col("s2_b02") * (F.col("pixel") + 1)).alias("b02"),
+            F.count("s2_scl").alias("classified"),
+        ),
+        "burn_date",
+    )
+
+
 SHARES_SQL = """SELECT tile_no, acq_date, cloud AS cloud_cover_pct, round(n / total * 100, 2) AS pixels_pct FROM (
       SELECT tile_no, acq_date, cloud, count(*) AS n, sum(count(*)) OVER (PARTITION BY tile_no, acq_date) AS total
       FROM mosaic WHERE band = 0 GROUP BY tile_no, acq_date, cloud) q WHERE cloud IS NOT NULL"""

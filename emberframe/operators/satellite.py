@@ -160,6 +160,13 @@ def chosen_mosaic(chosen: DataFrame, mosaic: DataFrame, tiers: tuple[float, ...]
     return joined.withColumn("value", F.when(F.col("cloud") <= limit, F.col("value")))
 
 
+def band_columns(chosen_pixels: DataFrame, keys: tuple[str, ...], bands: dict[str, object]) -> DataFrame:
+    """Band-long pixels to one column per channel (``{"s2_b02": "B02", ...}``); a fixed list, so one pass."""
+    return chosen_pixels.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("band") == F.lit(b), F.col("value"))).alias(c) for c, b in bands.items()]
+    )
+
+
 def provenance(mosaic: DataFrame, band: object = 0) -> DataFrame:
     """Share of pixels per cloud cover in the first band of each tile and day."""
     first = mosaic.where((F.col("band") == F.lit(band)) & F.col("cloud").isNotNull())

@@ -64,6 +64,15 @@ def sequence_samples(index: SampleIndex, n: int = 3, bad_days: DataFrame | None
     return starts.join(day_split.withColumnRenamed("dob", "start_dob"), ["year", *TILE, "start_dob"])
 
 
+def sequence_channels(sequences: DataFrame, channels: DataFrame, n: int = 3, keys: tuple[str, ...] = ("year", *TILE)) -> DataFrame:
+    """Channel rows of every input step: ``(keys, start_dob, step, pixel, channels)``.
+
+    ``channels`` are assembled once per tile-day and shared by the up to ``n`` sequences that use the day.
+    """
+    steps = pairing.sequence_steps(sequences.select(*keys, "start_dob"), n)
+    return steps.join(channels, [*keys, "dob"])
+
+
 def sequence_labels(index: SampleIndex, sequences: DataFrame, n: int = 3, classes: int = 2, history: bool = True) -> DataFrame:
     """Labels of sequences: growth from the last input day to the target day."""
     last = sequences.withColumn("dob", F.col("start_dob") + (n - 1))

@@ -119,7 +119,9 @@ def e2_sequences(spark, d):
 def e2_sequence_channels(spark, d):
     """Sequences of patches: the label is the tile, the order of the patch within it the day."""
     numbered = raster(spark, d).select("vec_id", "label").distinct()
-    numbered = ranking.rank_by_prefix(numbered, [], ["vec_id"], "dob", group=["label"]).withColumn("dob", F.col("dob").cast("int"))
+    numbered = ranking.rank_by_prefix(
+        numbered.withColumn("block", F.floor(F.col("vec_id") / 64)), ["block"], ["vec_id"], "dob", group=["label"]
+    ).select("vec_id", "label", F.col("dob").cast("int").alias("dob"))
     channels = raster(spark, d).join(numbered, ["vec_id", "label"]).select("label", "dob", "pixel_y", "pixel_x", F.col("v").alias("tmax"))
     days = numbered.select(F.lit(2024).alias("year"), F.col("label").alias("tile_col"), F.lit(0).alias("tile_row"), "dob")
     starts = pairing.sequences(days, 3).select(F.col("tile_col").alias("label"), "start_dob")

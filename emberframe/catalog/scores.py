@@ -328,6 +328,6 @@ def s9(spark, d):
     return tables.read_metrics(spark, path, METRIC_SCHEMA)
 
 
-@register("a27_results_by_run", query('SELECT architecture, max(CASE WHEN run = 1 THEN iou END) AS "1", max(CASE WHEN run = 2 THEN iou END) AS "2", max(CASE WHEN run = 3 THEN iou END) AS "3" FROM metrics GROUP BY architecture', "metrics"))
+@register("a27_results_by_run", query('SELECT architecture, max(CASE WHEN run = 1 THEN iou END) AS run_1, max(CASE WHEN run = 2 THEN iou END) AS run_2, max(CASE WHEN run = 3 THEN iou END) AS run_3 FROM metrics GROUP BY architecture', "metrics"))
 def a27(spark, d):
     return metrics.results_by_run(fixtures.load(spark, d, "metrics"), "iou", [1, 2, 3])

@@ -19,13 +19,10 @@ def burn_table(located: DataFrame, layer: str = "cumuarea") -> DataFrame:
     Written once to the shared folder, so the points are read and projected a single time
     however many branches (index, masks, history, targets) follow.
     """
-    folded = located.where(F.col("id").isNotNull() & F.col("dob").isNotNull()).groupBy(
-        *FIRE_TILE, "fireday", "dob", *PIXEL
-    ).agg(
-        F.max_by(F.col(layer) > 0, "row_seq").alias("burned"),
-        F.max("row_seq").alias("last_seq"), F.min("row_seq").alias("row_seq"),
+    folded = tiles.fold_points(located).withColumn("burned", F.col(layer))
+    return cut_lineage(
+        folded.select(*FIRE_TILE, "fireday", "dob", *PIXEL, "row_seq", "last_seq", "burned"), "pixel-burn"
     )
-    return cut_lineage(folded, "pixel-burn")
 
 
 def masks_of(table: DataFrame) -> DataFrame:

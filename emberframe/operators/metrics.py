@@ -205,7 +205,9 @@ def coarse_metrics(truth: DataFrame, predicted: DataFrame, keys: tuple[str, ...]
 
 def results_by_run(metrics: DataFrame, value: str, runs: list[int]) -> DataFrame:
     """Architecture x run table."""
-    return metrics.groupBy("architecture").pivot("run", runs).agg(F.first(value))
+    return metrics.groupBy("architecture").agg(
+        *[F.max(F.when(F.col("run") == n, F.col(value))).alias(f"run_{n}") for n in runs]
+    )
 
 
 def best_of(metrics: DataFrame, metric: str, order: str, keep: list[str], group: tuple[str, ...] = ()) -> DataFrame:

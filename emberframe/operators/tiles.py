@@ -33,6 +33,21 @@ def rasterise_last(
     return points.groupBy(*keys).agg(*[F.max_by(expr, F.col(seq)).alias(name) for name, expr in values.items()])
 
 
+def fold_points(located: DataFrame) -> DataFrame:
+    """Points folded to one row per fire, day and pixel; index, metadata, masks all derive from it.
+
+    ``row_seq`` is the first write (with its position), ``last_seq`` the last one (with its flags).
+    Columns a caller does not select are not aggregated.
+    """
+    known = located.where(F.col("id").isNotNull() & F.col("dob").isNotNull())
+    return known.groupBy("year", *TILE, "id", "fireday", "dob", *PIXEL).agg(
+        F.min("row_seq").alias("row_seq"), F.max("row_seq").alias("last_seq"),
+        F.min_by("lon", "row_seq").alias("lon"), F.min_by("lat", "row_seq").alias("lat"),
+        F.max_by(F.col("firearea") > 0, "row_seq").alias("firearea"),
+        F.max_by(F.col("cumuarea") > 0, "row_seq").alias("cumuarea"),
+    )
+
+
 def burn_layers(located: DataFrame) -> DataFrame:
     """Burn flags and observed coordinates per fire, day and pixel (burned or not)."""
     return rasterise_last(

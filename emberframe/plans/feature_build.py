@@ -1,8 +1,8 @@
 """Burn points to daily features per tile pixel.
 
-Dense rows (tile-days x grid**2) appear once, at the end.  Everything that varies slowly is
-joined before that: coordinates and statics per tile, weather per (tile-day, weather cell),
-vegetation per (tile, composite).
+Dense rows (tile-days x grid**2) appear at the end.  Everything that varies slowly is joined before
+that: coordinates and statics per tile, weather per (tile-day, weather cell), vegetation per
+(tile, composite).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from emberframe import constants as k
 from emberframe.functions import geo
 from emberframe.operators import surface, tiles, weather
 from emberframe.operators.tiles import PIXEL, TILE, TILE_DAY
+from emberframe.session import cut_lineage
 
 
 @dataclass
@@ -56,58 +57,68 @@ def tile_day_table(inputs: Inputs, located: DataFrame) -> DataFrame:
     return first.join(meta.drop("lon", "lat", "dob"), ["year", *TILE, "id", "fireday"])
 
 
-def build(inputs: Inputs) -> DataFrame:
-    """Dense daily features: burn flags, weather, vegetation and statics per pixel."""
+def build(inputs: Inputs, with_burn: bool = True) -> DataFrame:
+    """Dense daily features: weather, vegetation and statics per pixel, burn flags on request.
+
+    Three small tables are written on the way (folded points, tile-days, lattice with statics).
+    The join that makes the rows dense is the last but one; its inputs are per tile and composite
+    on one side and per tile-day and weather cell on the other, so no dense table is shuffled to
+    look anything up.  ``with_burn`` adds the one dense exchange; without it the burn flags stay
+    in their sparse table for the channel assembly.
+    """
     located = tiles.locate(inputs.points, inputs.grid, inputs.pixel)
-    days = tile_day_table(inputs, located)
+    folded = cut_lineage(tiles.fold_points(located), "folded-points")
+    days = cut_lineage(tile_day_table(inputs, folded), "tile-days")
+    step = inputs.weather_step
     cells = surface.nearest_static(
         lattice(days.select(*TILE).distinct(), inputs.grid, inputs.pixel),
         inputs.statics, inputs.static_origin, inputs.static_step, *_static_columns(inputs.statics),
     )
-    step = inputs.weather_step
-    cells = cells.withColumns(
-        {"cy": geo.snap_index(F.col("lat"), 0.0, step), "cx": geo.snap_index(F.col("lon"), 0.0, step)}
-    )
-
-    # Weather: a tile meets a handful of weather cells, so look those up per tile-day.  Cells
-    # outside the weather grid are clipped by position, which is why the mean position of the
-    # pixels of a cell is not used: the cell's own node is.
     features = weather.hourly_features(inputs.weather_hourly)
     edge = weather.grid_extent(features).select(F.struct("*").alias("e")).scalar()
     inside = F.col("lat").between(F.col("e.lat_lo"), F.col("e.lat_hi")) & F.col("lon").between(
         F.col("e.lon_lo"), F.col("e.lon_hi")
     )
-    cells = cells.withColumn("e", edge).withColumn("in_weather", F.coalesce(inside, F.lit(False))).drop("e")
-    nodes = cells.where("in_weather").select(*TILE, "cy", "cx").distinct().withColumns(
-        {"lat": F.col("cy") * step, "lon": F.col("cx") * step}
-    )
-    nodes = nodes.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
-    daily = weather.daily_weather(
-        days.select(*TILE_DAY, "noon_utc", "end_utc").join(nodes, list(TILE)), features, step
-    ).select(*TILE_DAY, "cy", "cx", *k.WEATHER_FEATURES)
+    cells = cells.withColumns(
+        {"cy": geo.snap_index(F.col("lat"), 0.0, step), "cx": geo.snap_index(F.col("lon"), 0.0, step), "e": edge}
+    ).withColumn("in_weather", F.coalesce(inside, F.lit(False)))
+    cells = cut_lineage(cells.drop("e", "easting", "northing"), "lattice")
 
-    # Vegetation: the composite depends on the day, its pixels only on (tile, composite).
     dated = surface.asof_composite(
-        surface.burn_dates(days.select(*TILE_DAY, "id")).distinct(), inputs.composites,
+        surface.burn_dates(days.select(*TILE_DAY, "id")), inputs.composites,
         inputs.composite_days, inputs.composite_lookback,
     ).select(*TILE_DAY, "time_start")
+
+    # Weather: a tile meets a handful of weather cells, so look those up per tile-day.
+    nodes = cells.select(*TILE, "cy", "cx").distinct().withColumns(
+        {"lat": F.round(F.col("cy") * step, 6), "lon": F.round(F.col("cx") * step, 6)}
+    )
+    daily = weather.daily_weather(
+        days.select(*TILE_DAY, "month", "noon_utc", "end_utc").join(dated, list(TILE_DAY)).join(nodes, list(TILE)),
+        features, step,
+    ).select(*TILE_DAY, "month", F.col("time_start").alias("_start"), "cy", "cx", *k.WEATHER_FEATURES)
+
+    # Vegetation: the composite depends on the day, its pixels only on (tile, composite).
     lon0, lat0, per_degree = inputs.vegetation_grid
-    used = dated.where("time_start IS NOT NULL").select(*TILE, "time_start").distinct()
     green = surface.nearest_vegetation(
-        used.join(cells.select(*TILE, *PIXEL, "lon", "lat"), list(TILE)), inputs.composites,
+        dated.select(*TILE, "time_start").distinct().join(cells, list(TILE)), inputs.composites,
         list(k.VEGETATION_FEATURES), lon0, lat0, per_degree,
-    ).select(*TILE, "time_start", *PIXEL, *k.VEGETATION_FEATURES)
-
-    burned = tiles.rasterise_last(
-        located, {"firearea": F.col("firearea") > 0, "cumuarea": F.col("cumuarea") > 0}, (*TILE_DAY, *PIXEL)
     )
-    dense = days.select(*TILE_DAY, "month").join(dated, list(TILE_DAY)).join(cells.drop("easting", "northing"), list(TILE))
-    dense = dense.join(daily, [*TILE_DAY, "cy", "cx"], "left").drop("cy", "cx")
-    dense = dense.withColumns(
-        {c: F.when(F.col("in_weather"), F.col(c)) for c in k.WEATHER_FEATURES}
-    ).drop("in_weather")
-    dense = dense.join(green, [*TILE, "time_start", *PIXEL], "left").join(burned, [*TILE_DAY, *PIXEL], "left")
-    return dense.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("firearea", "cumuarea")})
+    match = [F.col("g." + c) == F.col("d." + c) for c in (*TILE, "cy", "cx")]
+    dense = green.alias("g").join(
+        daily.alias("d"), [*match, F.col("g.time_start").eqNullSafe(F.col("d._start"))]
+    ).select(
+        *[F.col("d." + c) for c in (*TILE_DAY, "month")],
+        *[F.col("g." + c) for c in (*PIXEL, "lon", "lat", "time_start", *k.VEGETATION_FEATURES)],
+        *[F.col("g." + c) for c in _static_columns(inputs.statics)],
+        *[F.when(F.col("g.in_weather"), F.col("d." + c)).alias(c) for c in k.WEATHER_FEATURES],
+    )
+    if not with_burn:
+        return dense
+    flags = {c: F.max_by(c, "last_seq").alias(c) for c in ("firearea", "cumuarea")}
+    burned = folded.groupBy(*TILE_DAY, *PIXEL).agg(*flags.values())
+    dense = dense.join(burned, [*TILE_DAY, *PIXEL], "left")
+    return dense.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
 
 
 def _static_columns(statics: DataFrame) -> list[str]:

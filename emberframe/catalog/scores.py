@@ -257,14 +257,14 @@ def matrix(spark, d) -> DataFrame:
     query(" UNION ALL ".join(f"SELECT {i} AS i, {R(f'avg({c})')} AS mean, {R(f'stddev_pop({c})')} AS std FROM prediction" for i, c in enumerate(("score", "logit", "user_id / 1e2"))), "prediction"),
 )
 def a21(spark, d):
-    return rounded(model.fit_scaler(matrix(spark, d), 3), "mean", "std")
+    return rounded(model.fit_scaler(matrix(spark, d)), "mean", "std")
 
 
 @register("m2_train_logistic")
 def m2(spark, d):
     """Fitted on the table itself; the solver is iterative, so there is no SQL twin."""
     rows = matrix(spark, d)
-    scaled = model.standardise(rows, model.fit_scaler(rows, 3))
+    scaled = model.standardise(rows, model.fit_scaler(rows))
     fitted = model.train_sweep(scaled, [1.0, 4.0])
     entries = [
         F.struct(F.lit(w).alias("w"), F.array(*[F.lit(round(c, 4)) for c in coef]).alias("coefficients"), F.lit(round(b, 4)).alias("intercept"))

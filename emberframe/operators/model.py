@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +14,19 @@ from emberframe.operators import metrics
 ALPHA = 1e-4
 
 
-def fit_scaler(matrix: DataFrame, size: int, features: str = "features") -> DataFrame:
-    """Mean and population deviation per feature, ``(i, mean, std)``, from one aggregate.
+def fit_scaler(matrix: DataFrame, features: str = "features") -> DataFrame:
+    """Mean and population deviation per feature, ``(i, mean, std)``, from one vector aggregate.
 
-    The aggregate has ``2 * size`` buffers and combines before its only (one-row) exchange.
+    One buffer holds all features, so hundreds of them neither widen the plan nor the exchange.
     """
-    at = lambda i: F.element_at(features, i + 1).cast("double")
-    row = matrix.agg(
-        *[F.avg(at(i)).alias(f"m{i}") for i in range(size)], *[F.stddev_pop(at(i)).alias(f"s{i}") for i in range(size)]
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(features))
+    row = matrix.agg(summary.alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"),
+        F.col("s.count").alias("n"),
     )
-    entries = [F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std")) for i in range(size)]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    each = row.select("n", F.posexplode(F.arrays_zip("mean", "variance")).alias("i", "m"))
+    population = F.when(F.col("n") > 1, F.col("m.variance") * (F.col("n") - 1) / F.col("n")).otherwise(F.lit(0.0))
+    return each.select("i", F.col("m.mean").alias("mean"), F.sqrt(population).alias("std"))
 
 
 def standardise(matrix: DataFrame, scaler: DataFrame, features: str = "features") -> DataFrame:

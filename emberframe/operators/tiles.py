@@ -109,7 +109,11 @@ def primary_fire(fires: DataFrame) -> DataFrame:
 
 
 def fire_order(fires: DataFrame) -> DataFrame:
-    """Explicit fire order per tile-day and day order per fire and tile."""
+    """Explicit fire order per tile-day and day order per fire and tile.
+
+    For output: inside the library ``first_seq`` and ``fireday`` themselves are compared, so no
+    mask or label depends on ranking the fires of a tile-day in one place.
+    """
     by_seq = Window.partitionBy(*TILE_DAY).orderBy("first_seq")
     by_day = Window.partitionBy("year", *TILE, "id").orderBy("fireday")
     return fires.withColumns({"fire_ord": F.row_number().over(by_seq), "day_ord": F.dense_rank().over(by_day)})

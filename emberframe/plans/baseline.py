@@ -47,14 +47,13 @@ def run(cells: DataFrame, config: BaselineConfig) -> tuple[DataFrame, DataFrame]
     scored by all models in one pass each.
     """
     rows = pixel_matrix(cells, config)
-    size = len(stencil.patch_columns(config.channels, config.patch))
     keys = [*config.keys, *PIXEL]
     train = cut_lineage(
         sampling.balanced_sample(
             rows.where("split = 'train'"), keys, config.max_positive, config.negative_ratio, config.seed
         )
     )
-    scaler = cut_lineage(model.fit_scaler(train, size))
+    scaler = cut_lineage(model.fit_scaler(train))
     models = model.train_sweep(model.standardise(train, scaler), config.w_values, config.alpha, config.max_iter)
 
     def evaluate(split: str, chosen: dict) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberframe.session import file_bytes
+
 # Row order for last-write-wins is (l_orderkey, l_linenumber, l_quantity, l_partkey) packed into
 # one BIGINT, so that max_by/min_by keep fixed-width buffers and stay hash aggregates.
 BURN_POINTS = """
@@ -136,10 +138,22 @@ def _text(name: str, engine: str) -> str:
     return text if isinstance(text, str) else text[engine]
 
 
+# A source below one read split is a single task's work; the derivations multiply it, so spread it first.
+SPLIT_BYTES = 128 * 1024 * 1024
+SPREAD_BYTES = 1024 * 1024
+
+
+def _source(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    if SPREAD_BYTES < file_bytes(spark, path) < SPLIT_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame over the parquet files in ``sf_dir``."""
     text = _text(name, "spark")
-    used = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in _SOURCES if "{%s}" % s in text}
+    used = {s: _source(spark, f"{sf_dir}/{s}.parquet") for s in _SOURCES if "{%s}" % s in text}
     return spark.sql(text, **used)
 
 

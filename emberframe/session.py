@@ -71,3 +71,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(target)
     return found is not None and len(found) > 0
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder on its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(target).getLength()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, packing, rules, warc
+from emberframe.llm import chat, near, packing, rules, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole["conv_id"], "n_turns", "turns_sha256", F.length(trained).cast("long").alias("loss_chars"),
         F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query("op10_lsh_forest")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a similarity of 0.75."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, near, packing, rules, warc
+from emberframe.llm import chat, near, packing, rules, substrings, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a similarity of 0.75."""
     return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_ranks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 100-byte deduplication removes from every document."""
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -18,6 +18,7 @@ TREES = 24  # signature orders
 DEPTH = 8  # values of an order
 FLOOR = 3  # values that neighbours share at least
 REACH = 6  # neighbours on each side in an order
+VISITORS = 1000  # texts that one copy of another is held against
 SLACK = 4.5  # standard deviations that the estimate may fall below the threshold
 
 _RNG = np.random.default_rng(20)
@@ -138,17 +139,29 @@ def _compare(percent: int):
     return run
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough, as (u, v).
+def meet(docs: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:
+    """Rows (key, salt, visit, doc_id, text, carried) sorted so that the text of ``a`` comes first, then those of all its ``b``.
 
-    Texts travel, not sets: they compress better. Only the text of the smaller document of a pair waits in memory while
-    the others stream past it, however many there are.
+    Texts travel, not sets: they compress better. One text waits in memory while the others stream past it, however many
+    there are; one with many visitors is dealt out with a copy per VISITORS of them.
     """
-    roles = pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.lit(0).alias("visit")).distinct().unionByName(
-        pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.lit(1).alias("visit"))
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("copies"))
+    none = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried]
+    owners = load.select(
+        F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
+        F.lit(0).alias("visit"), *none,
+    )
+    visitors = pairs.join(load, "a").select(
+        F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"),
+        F.lit(1).alias("visit"), *carried,
     )
-    met = docs.join(roles, "doc_id").select("key", "visit", "doc_id", "text")
-    return met.repartition("key").sortWithinPartitions("key", "visit", "doc_id").mapInArrow(_compare(percent), "u long, v long")
+    met = docs.join(owners.unionByName(visitors), "doc_id").select("key", "salt", "visit", "doc_id", "text", *carried)
+    return met.repartition("key", "salt").sortWithinPartitions("key", "salt", "visit", "doc_id")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough, as (u, v)."""
+    return meet(docs, pairs).mapInArrow(_compare(percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, near, packing, rules, substrings, warc
+from emberframe.llm import chat, near, packing, passages, rules, substrings, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op2_passages")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that a document shares with an earlier one."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))

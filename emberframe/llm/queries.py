@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, near, packing, passages, rules, substrings, warc
+from emberframe.llm import chat, near, neighbours, packing, passages, rules, substrings, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that a document shares with an earlier one."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_multi_index_hashing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every vector whose id is divisible by 20."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0").select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, near, neighbours, packing, passages, rules, substrings, warc
+from emberframe.llm import chat, lm, near, neighbours, packing, passages, rules, substrings, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found for every vector whose id is divisible by 20."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0").select("query_id", "rank", "vec_id", "score")
+
+
+@query("op6_stupid_backoff", oracle="""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT count(*) AS total FROM t),
+u AS (SELECT b, count(*) AS c FROM t GROUP BY b),
+p AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b),
+s AS (SELECT t.doc_id, t.a IS NOT NULL AND p.c < 2 AS backed,
+             CASE WHEN t.a IS NULL THEN ln(u.c / n.total) WHEN p.c >= 2 THEN ln(p.c / x.c) ELSE ln(0.4) + ln(u.c / n.total) END AS v
+      FROM t CROSS JOIN n JOIN u ON u.b = t.b LEFT JOIN p ON p.a = t.a AND p.b = t.b LEFT JOIN u AS x ON x.b = t.a)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(sum(v), 0.0), 4) AS log_score,
+       CAST(coalesce(sum(CAST(backed AS BIGINT)), 0) AS BIGINT) AS n_backoff
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff score of every document under the counts of all documents."""
+    return lm.stupid_backoff(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.llm.buckets import bucketed
 from emberframe.llm.text import chunks, mix
-from emberframe.session import cut_lineage, scratch_path
+from emberframe.session import cut_lineage
 
 LENGTH = 100
 RUN = "key long, full long, doc_id long, start long, n int"
@@ -220,22 +221,18 @@ def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array(new))
 
 
-def bucketed(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _texts(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, text) as a table bucketed by id: the texts are shuffled once, later joins by id move only the other side.
 
     Rows without id are left out; of rows that repeat an id the one with the smallest text stays. The table lies in the
     shared folder; its size is that of the texts.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where(
         "doc_id is not null"
     )
     rows = rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_first_rows, "doc_id long, text string")
-    path = scratch_path(spark, "texts")
-    name = f"texts_{path[-32:]}"
-    rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts, "doc_id").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "doc_id", shuffled=True)
 
 
 def _ranked(runs: DataFrame) -> DataFrame:
@@ -300,7 +297,7 @@ def deduplicate(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     id, or before in the same text. Texts are UTF-8 bytes, cuts may fall inside a character. A null text is empty; a text shorter than
     ``length`` is kept; rows without id are left out; of rows that repeat an id the smallest text counts; other columns are ignored.
     """
-    texts = bucketed(docs, id_column=id_column, text_column=text_column)
+    texts = _texts(docs, id_column=id_column, text_column=text_column)
     runs = repeated_windows(texts, length=length, cores=(32, length - 7, length)).groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "n")).alias("runs")
     )

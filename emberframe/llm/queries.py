@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, lm, near, neighbours, packing, passages, rules, substrings, warc
+from emberframe.llm import chat, lm, near, neighbours, packing, passages, pieces, rules, substrings, warc
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,20 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, len(d.w)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bigram stupid-backoff score of every document under the counts of all documents."""
     return lm.stupid_backoff(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+@query("op7_gumbel_pieces")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, and digests of the ids and of what they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, samples=2, seed=1).withColumn("ids_crc32", F.crc32("ids"))
+    return pieces.decode(encoded, model).select(
+        "doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "gumbel", "inclusion",
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"), F.crc32("decoded").alias("decoded_crc32"),
+    )
+
+
+@query("pipeline", oracle=corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline on all documents."""
+    return corpus_pipeline.run(spark, sf_dir)

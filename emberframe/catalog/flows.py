@@ -10,9 +10,9 @@ from emberframe.catalog.environment import HOURLY_SQL, ROLLING_SQL, mosaic_cells
 from emberframe.catalog.pixels import DAY, SIDE, raster
 from emberframe.catalog.points import TD, located, points
 from emberframe.catalog.registry import r, register, rounded
-from emberframe.catalog.sql import R, num, query, tiling
+from emberframe.catalog.sql import CTES, R, num, query, tiling
 from emberframe.catalog.sql import _CONE as CONE
-from emberframe.operators import pairing, ranking
+from emberframe.operators import pairing, ranking, split, tiles
 from emberframe.plans import baseline, feature_build, sample_build
 
 JAN = "SELECT id, 2024 AS year, dob - 149 AS dob, fireday, lon, lat, firearea, cumuarea, row_seq, easting, northing FROM proj"
@@ -75,26 +75,64 @@ def e1(spark, d):
     )
 
 
-E2_SQL = f"""SELECT s.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM pairs p
-    JOIN (SELECT {TD}, min(id) AS id FROM fires GROUP BY {TD}) f USING ({TD}) JOIN members m USING (id) JOIN split s USING (super_id)
-    LEFT JOIN (SELECT {TD}, count(*) AS n FROM grown GROUP BY {TD}) g USING ({TD}) GROUP BY s.split"""
+DAY_SPLIT = f"""SELECT DISTINCT {TD}, s.split FROM fires JOIN members USING (id) JOIN split s USING (super_id)"""
+# A sample needs a fire of its own split on both days.
+E2_SQL = f"""SELECT p.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM
+    (SELECT a.* FROM dayset a WHERE EXISTS (SELECT 1 FROM dayset b WHERE b.year = a.year AND b.tile_col = a.tile_col
+       AND b.tile_row = a.tile_row AND b.dob = a.dob + 1 AND b.split = a.split)) p
+    LEFT JOIN (SELECT {TD}, count(*) AS n FROM grown GROUP BY {TD}) g USING ({TD}) GROUP BY p.split"""
 
 
-@register("e2_sample_build", query(E2_SQL, "pairs", "members", "split", "grown"))
+@register("e2_sample_build", query(E2_SQL, "pairs", "members", "split", "grown", dayset=DAY_SPLIT))
 def e2(spark, d):
     index = sample_build.index_samples(located(spark, d))
     return sample_build.summary(index, sample_build.next_day_labels(index))
 
 
-E2_SEQ_SQL = f"""SELECT s.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM
-    (SELECT a.* FROM days a JOIN days b ON b.year = a.year AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND b.dob = a.dob + 1
-       JOIN days c ON c.year = a.year AND c.tile_col = a.tile_col AND c.tile_row = a.tile_row AND c.dob = a.dob + 2
-       JOIN days e ON e.year = a.year AND e.tile_col = a.tile_col AND e.tile_row = a.tile_row AND e.dob = a.dob + 3) q
-    JOIN (SELECT {TD}, min(id) AS id FROM fires GROUP BY {TD}) f USING ({TD}) JOIN members m USING (id) JOIN split s USING (super_id)
-    LEFT JOIN (SELECT year, tile_col, tile_row, dob - 2 AS dob, count(*) AS n FROM grown GROUP BY ALL) g USING ({TD}) GROUP BY s.split"""
+E2_SEQ_SQL = f"""SELECT q.split, count(*) AS samples, cast(coalesce(sum(n), 0) AS bigint) AS new_pixels FROM
+    (SELECT a.* FROM dayset a WHERE (SELECT count(*) FROM dayset b WHERE b.year = a.year AND b.tile_col = a.tile_col
+       AND b.tile_row = a.tile_row AND b.split = a.split AND b.dob BETWEEN a.dob + 1 AND a.dob + 3) = 3) q
+    LEFT JOIN (SELECT year, tile_col, tile_row, dob - 2 AS dob, count(*) AS n FROM grown GROUP BY ALL) g USING ({TD}) GROUP BY q.split"""
 
 
-@register("e2_sequence_build", query(E2_SEQ_SQL, "days", "members", "split", "grown"))
+# Fires relay each other: every three days another one burns on in the same tile, so that neighbouring days
+# belong to different super-fires and often to different splits.
+RELAY = "SELECT * EXCLUDE (id), id || '_' || cast(cast(floor(dob / 3e0) AS int) AS varchar) AS id FROM (" + fixtures.sql("burn_points") + ") b0"
+# Only fires of a tile-day that has a neighbouring day are kept before fires are grouped.
+KEPT = f"""WITH f0 AS ({CTES['fires'][1]}), used AS (SELECT DISTINCT {TD} FROM f0 a WHERE EXISTS (SELECT 1 FROM f0 b
+    WHERE b.year = a.year AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND abs(b.dob - a.dob) = 1))
+    SELECT * FROM f0 WHERE id IN (SELECT id FROM f0 JOIN used USING ({TD}))"""
+E2_PURE_SQL = f"""SELECT a.split, count(*) AS day_pairs, count(*) FILTER (WHERE b.split = a.split) AS samples,
+    count(*) FILTER (WHERE b.split <> a.split) AS crossing, cast(0 AS bigint) AS leaking
+    FROM dayset a JOIN dayset b ON b.year = a.year AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND b.dob = a.dob + 1
+    GROUP BY a.split"""
+
+
+def relay_points(spark, d):
+    return points(spark, d).withColumn("id", F.concat_ws("_", "id", F.floor(F.col("dob") / 3).cast("int").cast("string")))
+
+
+@register(
+    "e2_split_purity",
+    query(E2_PURE_SQL, "pairs", "members", "split", instead={"burn_points": RELAY, "fires": KEPT}, dayset=DAY_SPLIT),
+)
+def e2_split_purity(spark, d):
+    """Neighbouring days of a tile, the samples made of them, those that cross splits, and samples that leak."""
+    index = sample_build.index_samples(tiles.locate(relay_points(spark, d)))
+    days = sample_build.split_days(index.fires)
+    other = days.select("year", "tile_col", "tile_row", (F.col("dob") - 1).alias("dob"), F.col("split").alias("next_split"))
+    every = days.join(other, ["year", "tile_col", "tile_row", "dob"]).groupBy("split").agg(
+        F.count("*").alias("day_pairs"), F.count_if(F.col("split") != F.col("next_split")).alias("crossing")
+    )
+    made = index.pairs.groupBy("split").agg(F.count("*").alias("samples"))
+    leaking = split.crossing_pairs(index.fires, index.pairs).groupBy("split").agg(F.count("*").alias("leaking"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return every.join(made, "split", "left").join(leaking, "split", "left").select(
+        "split", "day_pairs", zero("samples"), "crossing", zero("leaking")
+    )
+
+
+@register("e2_sequence_build", query(E2_SEQ_SQL, "days", "members", "split", "grown", dayset=DAY_SPLIT))
 def e2_sequences(spark, d):
     index = sample_build.index_samples(located(spark, d))
     sequences = sample_build.sequence_samples(index)

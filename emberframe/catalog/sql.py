@@ -167,9 +167,10 @@ CTES |= {
 }
 
 
-def query(body: str, *needs: str, **extra: str) -> str:
-    """``WITH RECURSIVE <needs and their needs> <extra> body``."""
+def query(body: str, *needs: str, instead: dict[str, str] | None = None, **extra: str) -> str:
+    """``WITH RECURSIVE <needs and their needs> <extra> body``; ``instead`` replaces the text of named expressions."""
     order: list[str] = []
+    instead = instead or {}
 
     def visit(name: str) -> None:
         if name in order:
@@ -180,6 +181,6 @@ def query(body: str, *needs: str, **extra: str) -> str:
 
     for name in needs:
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1].strip()})" for n in order]
+    parts = [f"{n} AS ({instead.get(n, CTES[n][1]).strip()})" for n in order]
     parts += [f"{n} AS ({text.strip()})" for n, text in extra.items()]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body.strip()

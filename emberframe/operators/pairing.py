@@ -27,30 +27,38 @@ def pass_gate(days: DataFrame, bad_days: DataFrame, keys: tuple[str, ...] = TILE
     return days.join(bad_days.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def next_day_pairs(days: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Tile-days with a following day in the same tile and year (never across 31 December)."""
+def next_day_pairs(days: DataFrame, targets: DataFrame | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Tile-days with a following day in the same tile and year (never across 31 December).
+
+    ``within`` names columns on which both days must agree: with ("split",) a day of one split never
+    gets a target of another.
+    """
     later = (days if targets is None else targets).select(
-        "year", *TILE, (F.col("dob") - 1).alias("dob"), F.col("dob").alias("next_dob")
+        "year", *TILE, *within, (F.col("dob") - 1).alias("dob"), F.col("dob").alias("next_dob")
     )
-    return days.select(*TILE_DAY).join(later, list(TILE_DAY))
+    return days.select(*TILE_DAY, *within).join(later, [*TILE_DAY, *within])
 
 
-def sequences(input_days: DataFrame, n: int = 3, target_days: DataFrame | None = None) -> DataFrame:
+def sequences(
+    input_days: DataFrame, n: int = 3, target_days: DataFrame | None = None, within: tuple[str, ...] = ()
+) -> DataFrame:
     """Starts of ``n`` consecutive valid input days whose following day is a target.
 
+    All steps and the target agree on the columns ``within``.
+
     Every day votes for the starts it can serve and a start with all votes stands: one shuffle,
     no self-join.  ``target_days`` may be wider than the inputs (targets are not quality-checked).
     """
     targets = input_days if target_days is None else target_days
     step = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    as_input = input_days.select(*TILE_DAY).distinct().withColumn("step", step)
-    as_target = targets.select(*TILE_DAY).distinct().withColumn("step", F.lit(n))
+    as_input = input_days.select(*TILE_DAY, *within).distinct().withColumn("step", step)
+    as_target = targets.select(*TILE_DAY, *within).distinct().withColumn("step", F.lit(n))
     votes = as_input.unionByName(as_target).withColumn("start_dob", F.col("dob") - F.col("step"))
     return (
-        votes.groupBy("year", *TILE, "start_dob")
+        votes.groupBy("year", *TILE, *within, "start_dob")
         .agg(F.count("*").alias("votes"))
         .where(F.col("votes") == n + 1)
-        .select("year", *TILE, "start_dob", (F.col("start_dob") + n).alias("target_dob"))
+        .select("year", *TILE, *within, "start_dob", (F.col("start_dob") + n).alias("target_dob"))
     )
 
 

@@ -104,6 +104,13 @@ def split_fires(members: DataFrame, split: DataFrame) -> DataFrame:
     return members.join(split.select("super_id", "split"), "super_id").select("id", "super_id", "split")
 
 
+def crossing_pairs(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Samples whose input or target day has a fire of another split than the sample's: empty for a valid build."""
+    days = placed.select("year", *tiles.TILE, F.col("dob").alias("day"), F.col("split").alias("other")).distinct()
+    used = pairs.select("year", *tiles.TILE, "dob", "split", F.explode(F.array("dob", "next_dob")).alias("day"))
+    return used.join(days, ["year", *tiles.TILE, "day"]).where("split <> other").select("year", *tiles.TILE, "dob", "split").distinct()
+
+
 def leaks(fires: DataFrame, assigned: DataFrame) -> DataFrame:
     """Tile-days that occur in more than one split: empty for a valid split."""
     placed = fires.join(assigned.select("id", "split"), "id")

@@ -41,8 +41,23 @@ def index_samples(located: DataFrame, bad_days: DataFrame | None = None, layer:
         split.split_fires(members, split.stratified_split(split.strata(split.size_and_place_bins(stats)), train, seed))
     )
     placed = kept.join(assigned.select("id", "split"), "id")
-    day_split = placed.groupBy(*TILE_DAY).agg(F.min("split").alias("split"))  # one value: fires of a day share it
-    return SampleIndex(placed, members, pairs.join(day_split, list(TILE_DAY)), burn.masks_of(table))
+    return SampleIndex(placed, members, split_pairs(placed, bad_days), burn.masks_of(table))
+
+
+def split_days(placed: DataFrame) -> DataFrame:
+    """Tile-days with their split; the fires of a day share it."""
+    return placed.groupBy(*TILE_DAY).agg(F.min("split").alias("split"))
+
+
+def split_pairs(placed: DataFrame, bad_days: DataFrame | None = None) -> DataFrame:
+    """Next-day samples whose input and target day belong to the same split.
+
+    Two days of a tile may belong to fires of different splits; such a pair is no sample, since its labels
+    would come from ground held out elsewhere.
+    """
+    days = split_days(placed)
+    inputs = days if bad_days is None else pairing.pass_gate(days, bad_days)
+    return pairing.next_day_pairs(inputs, days, within=("split",))
 
 
 def next_day_labels(index: SampleIndex, classes: int = 2, history: bool = True) -> DataFrame:
@@ -56,12 +71,10 @@ def next_day_labels(index: SampleIndex, classes: int = 2, history: bool = True)
 
 
 def sequence_samples(index: SampleIndex, n: int = 3, bad_days: DataFrame | None = None) -> DataFrame:
-    """Sequence starts with split and positions; every input day must pass the gate."""
-    days = pairing.tile_days(index.fires)
+    """Sequence starts with split and positions; every input day must pass the gate, all days and the target share the split."""
+    days = split_days(index.fires)
     inputs = days if bad_days is None else pairing.pass_gate(days, bad_days)
-    starts = pairing.sequences(inputs, n, days).withColumn("positions", pairing.positions(n))
-    day_split = index.fires.groupBy(*TILE_DAY).agg(F.min("split").alias("split"))
-    return starts.join(day_split.withColumnRenamed("dob", "start_dob"), ["year", *TILE, "start_dob"])
+    return pairing.sequences(inputs, n, days, within=("split",)).withColumn("positions", pairing.positions(n))
 
 
 def sequence_channels(sequences: DataFrame, channels: DataFrame, n: int = 3, keys: tuple[str, ...] = ("year", *TILE)) -> DataFrame:

@@ -155,11 +155,10 @@ def w3(spark, d):
         f"""SELECT p.row_seq, {R('e.t2m_24h_max - 27315e-2')} AS tmax, {R('sqrt(n.u10 * n.u10 + n.v10 * n.v10) * 36e-1')} AS ws,
                    {R('n.tp_24h_sum * 1e3')} AS prec, {R('n.u10 * 36e-1')} AS u10,
                    {R('100 * pow((112 - 1e-1 * (n.t2m - 27315e-2) + (n.d2m - 27315e-2)) / (112 + 9e-1 * (n.t2m - 27315e-2)), 8)')} AS rh
-            FROM (SELECT *, floor(lat / 1e-1 + 5e-1) AS cy, floor(lon / 1e-1 + 5e-1) AS cx, {NOON_SQL} AS noon FROM burn_points
-                  WHERE lat BETWEEN (SELECT min(latitude) FROM rolling) AND (SELECT max(latitude) FROM rolling)
-                    AND lon BETWEEN (SELECT min(longitude) FROM rolling) AND (SELECT max(longitude) FROM rolling)) p
-            LEFT JOIN cells n ON n.cy = p.cy AND n.cx = p.cx AND n.valid_time = p.noon + INTERVAL 1 HOUR
-            LEFT JOIN cells e ON e.cy = p.cy AND e.cx = p.cx AND e.valid_time = p.noon + INTERVAL 12 HOUR""",
+            FROM (SELECT *, floor(lat / 1e-1 + 5e-1) AS cy, floor(lon / 1e-1 + 5e-1) AS cx, {NOON_SQL} AS noon, lat BETWEEN (SELECT min(latitude) FROM rolling) AND (SELECT max(latitude) FROM rolling)
+                    AND lon BETWEEN (SELECT min(longitude) FROM rolling) AND (SELECT max(longitude) FROM rolling) AS inside FROM burn_points) p
+            LEFT JOIN cells n ON p.inside AND n.cy = p.cy AND n.cx = p.cx AND n.valid_time = p.noon + INTERVAL 1 HOUR
+            LEFT JOIN cells e ON p.inside AND e.cy = p.cy AND e.cx = p.cx AND e.valid_time = p.noon + INTERVAL 12 HOUR""",
         "burn_points", "weather_hourly", hourly=HOURLY_SQL, rolling=ROLLING_SQL,
         cells="SELECT *, floor(latitude / 1e-1 + 5e-1) AS cy, floor(longitude / 1e-1 + 5e-1) AS cx FROM rolling",
     ),
@@ -167,11 +166,7 @@ def w3(spark, d):
 def j3(spark, d):
     features = weather.hourly_features(hourly(spark, d))
     pts = _in_january(points(spark, d).select("row_seq", "lon", "lat", "dob"))
-    edge = weather.grid_extent(features).select(F.struct("*").alias("e")).scalar()
-    inside = pts.withColumn("e", edge).where(
-        F.col("lat").between(F.col("e.lat_lo"), F.col("e.lat_hi")) & F.col("lon").between(F.col("e.lon_lo"), F.col("e.lon_hi"))
-    ).drop("e")
-    out = weather.daily_weather(inside, features)
+    out = weather.daily_weather(pts, features)
     return rounded(out.select("row_seq", "tmax", "ws", "prec", "u10", "rh"), "tmax", "ws", "prec", "u10", "rh")
 
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.session import file_bytes
-
 # Row order for last-write-wins is (l_orderkey, l_linenumber, l_quantity, l_partkey) packed into
 # one BIGINT, so that max_by/min_by keep fixed-width buffers and stay hash aggregates.
 BURN_POINTS = """
@@ -20,7 +18,7 @@ SELECT concat(cast(year(l_shipdate) AS string), '_', cast(l_suppkey AS string))
        -124e0 + ((l_suppkey * 997) % 4000) / 1e3 + (l_orderkey % 40) * 15e-4 AS lon,
        56e0 + ((l_suppkey * 1009) % 1500) / 1e3 + (l_partkey % 40) * 8e-4 AS lat,
        CASE WHEN l_quantity > 20 THEN l_quantity ELSE 0e0 END AS firearea,
-       l_quantity AS cumuarea,
+       CASE WHEN cast(l_quantity AS bigint) % 9 = 4 THEN 0e0 ELSE l_quantity END AS cumuarea,
        ((l_orderkey * 8 + l_linenumber) * 64 + cast(l_quantity AS bigint)) * 1048576 + l_partkey AS row_seq
 FROM {lineitem}
 """
@@ -112,8 +110,9 @@ FROM {orders}
 """
 
 TZ_REGION = """
-SELECT name, lon_min, lon_max FROM (VALUES ('America/Vancouver', -141e0, -122e0),
-       ('America/Edmonton', -122e0, -110e0)) AS t(name, lon_min, lon_max)
+SELECT name, lon_min, lon_max, lat_min, lat_max FROM (VALUES ('America/Vancouver', -141e0, -122e0, 48e0, 57e0),
+       ('America/Whitehorse', -141e0, -122e0, 57e0, 70e0), ('America/Edmonton', -122e0, -110e0, 48e0, 56e0 + 14e-1))
+       AS t(name, lon_min, lon_max, lat_min, lat_max)
 """
 
 TEXTS: dict[str, str | dict[str, str]] = {
@@ -138,22 +137,12 @@ def _text(name: str, engine: str) -> str:
     return text if isinstance(text, str) else text[engine]
 
 
-# A source below one read split is a single task's work; the derivations multiply it, so spread it first.
-SPLIT_BYTES = 128 * 1024 * 1024
-SPREAD_BYTES = 1024 * 1024
-
-
-def _source(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    if SPREAD_BYTES < file_bytes(spark, path) < SPLIT_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture as a DataFrame over the parquet files in ``sf_dir``."""
     text = _text(name, "spark")
-    used = {s: _source(spark, f"{sf_dir}/{s}.parquet") for s in _SOURCES if "{%s}" % s in text}
+    # The derivations multiply small files of a single row group, so rows are spread first, at every size.
+    spread = spark.sparkContext.defaultParallelism
+    used = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet").repartition(spread) for s in _SOURCES if "{%s}" % s in text}
     return spark.sql(text, **used)
 
 

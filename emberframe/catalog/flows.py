@@ -27,6 +27,7 @@ LATTICE_SQL = f"""SELECT tile_col, tile_row, py, px, e, n, degrees(atan2(x, y) /
 # The primary fire decides the composite floor; weather is read at UTC noon + 1 h of its time zone.
 E1_SQL = f"""
 SELECT d.tile_col, d.tile_row, d.dob, count(*) AS cells, count(*) FILTER (WHERE b.burned) AS burned,
+       count(*) FILTER (WHERE b.growing) AS growing, strftime(max(p.time_start), '%Y-%m-%d') AS composite,
        count(w.t2m) AS weather_cells, {R('sum(sqrt(w.u10 * w.u10 + w.v10 * w.v10) * 36e-1)', 4)} AS ws, {R('sum(v.ndvi)', 3)} AS ndvi, {R('sum(s.v)', 5)} AS dem
 FROM prim d JOIN lattice l USING (tile_col, tile_row)
 LEFT JOIN picked p ON p.tile_col = d.tile_col AND p.tile_row = d.tile_row AND p.dob = d.dob
@@ -37,7 +38,9 @@ LEFT JOIN (SELECT *, floor(latitude / 1e-1 + 5e-1) AS cy, floor(longitude / 1e-1
       ON w.cy = floor(l.lat / 1e-1 + 5e-1) AND w.cx = floor(l.lon / 1e-1 + 5e-1) AND w.valid_time = d.noon + INTERVAL 1 HOUR
      AND l.lat BETWEEN (SELECT min(latitude) FROM rolling) AND (SELECT max(latitude) FROM rolling)
      AND l.lon BETWEEN (SELECT min(longitude) FROM rolling) AND (SELECT max(longitude) FROM rolling)
-LEFT JOIN (SELECT tile_col, tile_row, dob, pixel_y, pixel_x, arg_max(cumuarea, row_seq) > 0 AS burned FROM coarse GROUP BY ALL) b
+LEFT JOIN (SELECT tile_col, tile_row, dob, pixel_y, pixel_x, bool_or(c) AS burned, bool_or(f) AS growing FROM (
+        SELECT tile_col, tile_row, dob, id, fireday, pixel_y, pixel_x, arg_max(cumuarea, row_seq) > 0 AS c, arg_max(firearea, row_seq) > 0 AS f
+        FROM coarse GROUP BY ALL) w0 GROUP BY ALL) b
       ON b.tile_col = d.tile_col AND b.tile_row = d.tile_row AND b.dob = d.dob AND b.pixel_y = l.py AND b.pixel_x = l.px
 GROUP BY d.tile_col, d.tile_row, d.dob"""
 
@@ -49,11 +52,11 @@ GROUP BY d.tile_col, d.tile_row, d.dob"""
         january=JAN, coarse=tiling("january", 8, 2880), lattice=LATTICE_SQL, hourly=HOURLY_SQL, rolling=ROLLING_SQL,
         mosaic="SELECT (vec_id % 20) * 8 + pixel_x AS ix, cast(floor(vec_id / 20e0) AS bigint) * 8 + pixel_y AS iy, v FROM raster",
         prim="""SELECT q.*, timezone('UTC', timezone(coalesce(z.name, 'UTC'), cast(make_date(2024, 1, 1) + (dob - 1) AS timestamp) + INTERVAL 12 HOUR)) AS noon
-                FROM (SELECT tile_col, tile_row, dob, arg_min(id, first_seq) AS id, arg_min(lon, first_seq) AS lon FROM (
-                        SELECT tile_col, tile_row, dob, id, fireday, min(row_seq) AS first_seq, arg_min(lon, row_seq) AS lon FROM coarse GROUP BY ALL) g
-                      GROUP BY ALL) q LEFT JOIN tz_region z ON q.lon >= z.lon_min AND q.lon < z.lon_max""",
+                FROM (SELECT tile_col, tile_row, dob, arg_min(id, first_seq) AS id, arg_min(lon, first_seq) AS lon, arg_min(lat, first_seq) AS lat FROM (
+                        SELECT tile_col, tile_row, dob, id, fireday, min(row_seq) AS first_seq, arg_min(lon, row_seq) AS lon, arg_min(lat, row_seq) AS lat FROM coarse GROUP BY ALL) g
+                      GROUP BY ALL) q LEFT JOIN tz_region z ON q.lon >= z.lon_min AND q.lon < z.lon_max AND q.lat >= z.lat_min AND q.lat < z.lat_max""",
         picked="""SELECT d.tile_col, d.tile_row, d.dob, CASE WHEN max(v.time_start) >= make_date(2024, 1, 1) + (f.first - 6) THEN max(v.time_start) END AS time_start
-                FROM prim d JOIN (SELECT id, min(dob) AS first FROM prim GROUP BY id) f USING (id)
+                FROM prim d JOIN (SELECT id, min(dob) AS first FROM coarse GROUP BY id) f USING (id)
                 LEFT JOIN (SELECT DISTINCT time_start FROM veg_composite) v ON v.time_start + 4 <= make_date(2024, 1, 1) + (d.dob - 1)
                 GROUP BY d.tile_col, d.tile_row, d.dob, f.first""",
     ),
@@ -69,7 +72,8 @@ def e1(spark, d):
     )
     dense = feature_build.build(inputs)
     return dense.groupBy("tile_col", "tile_row", "dob").agg(
-        F.count("*").alias("cells"), F.count_if("cumuarea").alias("burned"), F.count("rh").alias("weather_cells"),
+        F.count("*").alias("cells"), F.count_if("cumuarea").alias("burned"), F.count_if("firearea").alias("growing"),
+        F.max("time_start").cast("string").alias("composite"), F.count("rh").alias("weather_cells"),
         r(F.sum("ws"), 4).alias("ws"),
         r(F.sum("ndvi"), 3).alias("ndvi"), r(F.sum("dem"), 5).alias("dem"),
     )

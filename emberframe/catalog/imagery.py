@@ -191,18 +191,20 @@ def c24(spark, d):
     "c25_satellite_age",
     query(
         f"""SELECT d.tile_no, {_date('burn_date')}, coalesce(min(cast(d.burn_date - s.acq_date AS int)) FILTER (WHERE s.acq_date <= d.burn_date), 0) AS age
-            FROM days d LEFT JOIN (SELECT DISTINCT tile_no, acq_date, date_trunc('month', acq_date) AS m FROM scene) s
-            ON s.tile_no = d.tile_no AND s.m = date_trunc('month', d.burn_date) GROUP BY d.tile_no, d.burn_date""",
+            FROM days d LEFT JOIN (SELECT DISTINCT tile_no, acq_date FROM scene) s
+            ON s.tile_no = d.tile_no AND s.acq_date BETWEEN d.burn_date - 29 AND d.burn_date GROUP BY d.tile_no, d.burn_date""",
         "tiled", "scene", days=DAYS_SQL,
     ),
 )
 def c25(spark, d):
     entry = F.struct(F.lit(1.0).alias("pixels_pct"), "cloud_cover", F.col("acq_date").cast("string").alias("acquisition_date"))
-    month = lambda c: F.trunc(c, "month")
-    lists = scenes(spark, d).groupBy("tile_no", month("acq_date").alias("m")).agg(F.collect_set(entry).alias("stats"))
-    days = burn_days(spark, d).withColumn("m", month("burn_date"))
+    # A mosaic is made of the scenes of the 30 days up to its day, one acquisition per day and cloud cover.
+    seen = scenes(spark, d).groupBy("tile_no", "acq_date").agg(F.min("cloud_cover").alias("cloud_cover"))
+    reach = seen.withColumn("burn_date", F.explode(F.expr("sequence(acq_date, date_add(acq_date, 29))")))
+    lists = reach.groupBy("tile_no", "burn_date").agg(F.collect_list(entry).alias("stats"))
     age = prov.sat_age_days(F.col("burn_date"), F.col("stats"))
-    return _dates_as_text(days.join(lists, ["tile_no", "m"], "left").select("tile_no", "burn_date", age.alias("age")), "burn_date")
+    days = burn_days(spark, d).join(lists, ["tile_no", "burn_date"], "left")
+    return _dates_as_text(days.select("tile_no", "burn_date", age.alias("age")), "burn_date")
 
 
 @register(

@@ -18,7 +18,6 @@ from emberframe.sources import tile_index
 
 TD = "year, tile_col, tile_row, dob"
 TDP = TD + ", pixel_y, pixel_x"
-YEARS = list(range(1990, 2006))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -47,14 +46,14 @@ def _yearly_csv(spark: SparkSession, d: str) -> str:
 CSV_COLUMNS = ("ID", "lon", "lat", "fireday", "year", "DOB", "firearea", "cumuarea")
 CSV_ORACLE = """
 SELECT id, count(*) AS n, min(fireday) AS first_day, max(dob) AS last_dob, sum(firearea) AS firearea,
-       sum(cumuarea) AS cumuarea, max(lon) AS max_lon, min(lat) AS min_lat FROM burn_points {where} GROUP BY id"""
+       sum(cumuarea) AS cumuarea, max(lon) AS max_lon, min(lat) AS min_lat, count(*) AS places FROM burn_points {where} GROUP BY id"""
 
 
 def _csv_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(
         F.count("*").alias("n"), F.min("fireday").alias("first_day"), F.max("dob").alias("last_dob"),
         F.sum("firearea").alias("firearea"), F.sum("cumuarea").alias("cumuarea"),
-        F.max("lon").alias("max_lon"), F.min("lat").alias("min_lat"),
+        F.max("lon").alias("max_lon"), F.min("lat").alias("min_lat"), F.count_distinct("row_seq").alias("places"),
     )
 
 
@@ -65,7 +64,9 @@ def s1(spark, d):
 
 @register("s2_multi_year_concat", query(CSV_ORACLE.format(where=""), "burn_points"))
 def s2(spark, d):
-    return _csv_summary(csv_source.read_burn_points(spark, _yearly_csv(spark, d), YEARS, CSV_COLUMNS))
+    # The years of the data and one that is absent.
+    years = sorted(y for (y,) in points(spark, d).select("year").distinct().collect())
+    return _csv_summary(csv_source.read_burn_points(spark, _yearly_csv(spark, d), [years[0] - 1, *years], CSV_COLUMNS))
 
 
 INDEX_ORACLE = f"""
@@ -689,7 +690,8 @@ def l2(spark, d):
 @register("u1_union_years", query("SELECT year, id, count(*) AS n FROM burn_points GROUP BY year, id", "burn_points"))
 def u1(spark, d):
     pts = points(spark, d)
-    yearly = csv_source.union_years([pts.where(F.col("year") == y) for y in range(1995, 2002)])
+    years = sorted(y for (y,) in pts.select("year").distinct().collect())
+    yearly = csv_source.union_years([pts.where(F.col("year") == y) for y in years])
     return yearly.groupBy("year", "id").agg(F.count("*").alias("n"))
 
 

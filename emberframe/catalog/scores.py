@@ -193,8 +193,10 @@ def a17(spark, d):
     return rounded(metrics.pr_summary(predictions(spark, d)), "auc_pr", "average_precision")
 
 
-BINNED_SQL = """SELECT b AS bin, count(*) FILTER (WHERE k >= b AND label = 1) AS tp, count(*) FILTER (WHERE k >= b AND label = 0) AS fp,
-    count(*) FILTER (WHERE label = 1) AS positives FROM (SELECT floor(score * 199) AS k, label FROM prediction) q, (SELECT unnest(range(200)) AS b) t GROUP BY b"""
+# Scores of k / 199 lie on a threshold; the comparison is with the threshold itself.
+BINNED_SQL = """SELECT b AS bin, count(*) FILTER (WHERE score >= b / 199e0 AND label = 1) AS tp, count(*) FILTER (WHERE score >= b / 199e0 AND label = 0) AS fp,
+    count(*) FILTER (WHERE label = 1) AS positives FROM (SELECT score, label FROM prediction UNION ALL SELECT (event_id % 200) / 199e0, label FROM prediction) q,
+    (SELECT unnest(range(200)) AS b) t GROUP BY b"""
 BINNED_CURVE = "SELECT bin, CASE WHEN tp + fp = 0 THEN 1e0 ELSE cast(tp AS double) / (tp + fp) END AS p, cast(tp AS double) / positives AS rec FROM binned"
 
 
@@ -207,7 +209,9 @@ BINNED_CURVE = "SELECT bin, CASE WHEN tp + fp = 0 THEN 1e0 ELSE cast(tp AS doubl
     ),
 )
 def a18(spark, d):
-    return rounded(metrics.binned_pr_summary(predictions(spark, d)), "average_precision", "auc_pr")
+    scored = predictions(spark, d).select("event_id", "score", "label")
+    edges = scored.withColumn("score", (F.col("event_id") % 200) / F.lit(199.0))
+    return rounded(metrics.binned_pr_summary(scored.unionByName(edges)), "average_precision", "auc_pr")
 
 
 _BCE = "(greatest(logit, 0e0) + ln(1 + exp(-abs(logit))) - logit * label)"

@@ -120,7 +120,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                   timezone('UTC', timezone(tz, d + INTERVAL 12 HOUR)) AS noon_utc
            FROM (SELECT f.*, coalesce(z.name, 'UTC') AS tz,
                         cast(make_date(f.year, 1, 1) + (f.dob - 1) AS timestamp) AS d
-                 FROM firstrow f LEFT JOIN tz_region z ON f.lon >= z.lon_min AND f.lon < z.lon_max) q""",
+                 FROM firstrow f LEFT JOIN tz_region z ON f.lon >= z.lon_min AND f.lon < z.lon_max AND f.lat >= z.lat_min AND f.lat < z.lat_max) q""",
     ),
 }
 CTES |= {name: ((), fixtures.sql(name)) for name in fixtures.TEXTS}

@@ -92,8 +92,10 @@ def growth_labels(
     that both sides share the sample's key.
     """
     keys = [*TILE_DAY, *PIXEL]
+    paired = pairs.select(*TILE_DAY)
     nxt = target.select("year", *TILE, (F.col("dob") - 1).alias("dob"), *PIXEL).withColumn("nxt", F.lit(True))
-    now = current.select(*keys).withColumn("now", F.lit(True))
+    nxt = nxt.join(paired, list(TILE_DAY), "left_semi")
+    now = current.select(*keys).join(paired, list(TILE_DAY), "left_semi").withColumn("now", F.lit(True))
     if classes == 2:
         grown = nxt.join(now, keys, "left_anti").select(*keys, F.lit(1).alias("label"))
     else:
@@ -101,7 +103,7 @@ def growth_labels(
             {c: F.coalesce(F.col(c), F.lit(False)) for c in ("nxt", "now")}
         )
         grown = both.select(*keys, growth_label(F.col("now"), F.col("nxt"), classes).alias("label")).where("label > 0")
-    return grown.join(pairs.select(*TILE_DAY), list(TILE_DAY), "left_semi")
+    return grown
 
 
 def running_mask(daily: DataFrame, keys: tuple[str, ...], day: str, burned: str) -> DataFrame:

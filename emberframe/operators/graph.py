@@ -39,7 +39,7 @@ def _small_star(edges: DataFrame, salts: int) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SALTS, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SALTS) -> DataFrame:
     """``(id, super_id)``: the smallest id of each component; isolated vertices keep their own.
 
     Alternating large-star/small-star contraction: edges never multiply, a component with most
@@ -48,7 +48,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SAL
     """
     current = cut_lineage(edges.where("u <> v").select("u", "v"), "edges")
     previous = None
-    for _ in range(max_rounds):
+    while True:
         seen = Observation()
         contracted = _small_star(_large_star(current, salts), salts).observe(
             seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
@@ -58,8 +58,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SAL
         if state == previous:
             break
         previous = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = current.select(F.col("u").alias("id"), F.col("v").alias("super_id"))
     return vertices.select("id").distinct().join(labels, "id", "left").withColumn(
         "super_id", F.coalesce("super_id", "id")

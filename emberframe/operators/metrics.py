@@ -108,7 +108,10 @@ def binned_pr_curve(scored: DataFrame, score: str = "score", label: str = "label
     The histogram has ``thresholds`` rows, so the reverse running sum over it is bounded.
     """
     top = thresholds - 1
-    bin_of = F.least(F.greatest(F.floor(F.col(score) * top), F.lit(0)), F.lit(top)).cast("int")
+    # score >= bin / top decides, as the thresholds are doubles; the product alone may fall on the wrong side.
+    near = F.floor(F.col(score) * top)
+    near = near + (F.col(score) >= (near + 1) / F.lit(float(top))).cast("int") - (F.col(score) < near / F.lit(float(top))).cast("int")
+    bin_of = F.least(F.greatest(near, F.lit(0)), F.lit(top)).cast("int")
     hist = scored.groupBy(bin_of.alias("bin")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )

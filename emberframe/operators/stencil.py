@@ -153,14 +153,17 @@ def fill_holes(mask: DataFrame, keys: tuple[str, ...], max_size: int = 1, grid:
     return mask.unionByName(labelled.join(small, "super_id", "left_semi").select(*cells))
 
 
-def pool(cells: DataFrame, factor: int, keys: tuple[str, ...], aggs: dict[str, Column]) -> DataFrame:
-    """Coarser lattice: one row per ``factor x factor`` block."""
+def pool(cells: DataFrame, factor: int, keys: tuple[str, ...], aggs: dict[str, Column], grid: int | None = None) -> DataFrame:
+    """Coarser lattice: one row per ``factor x factor`` block; with ``grid`` the cells beyond the last whole block drop out."""
+    if grid is not None:
+        whole = grid // factor * factor
+        cells = cells.where((F.col("pixel_y") < whole) & (F.col("pixel_x") < whole))
     block = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
     return cells.groupBy(*keys, block("pixel_y"), block("pixel_x")).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
-def max_pool(cells: DataFrame, value: str, keys: tuple[str, ...], factor: int = 2) -> DataFrame:
-    return pool(cells, factor, keys, {value: F.max(value)})
+def max_pool(cells: DataFrame, value: str, keys: tuple[str, ...], factor: int = 2, grid: int = k.GRID_SIZE) -> DataFrame:
+    return pool(cells, factor, keys, {value: F.max(value)}, grid)
 
 
 def average_resample(cells: DataFrame, value: str, keys: tuple[str, ...], factor: int) -> DataFrame:

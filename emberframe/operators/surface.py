@@ -73,11 +73,13 @@ def nearest_vegetation(
 
 def asof_composite(
     burn_days: DataFrame, schedule: DataFrame, lag_days: int = k.COMPOSITE_DAYS,
-    lookback_days: int = k.COMPOSITE_LOOKBACK_DAYS,
+    lookback_days: int = k.COMPOSITE_LOOKBACK_DAYS, fire_days: DataFrame | None = None,
 ) -> DataFrame:
     """Newest composite finished before each burn day, not older than the fire's floor.
 
-    ``burn_days(id, year, dob, burn_date)``; the floor is 1 January + (first DOB of the fire - 33) d.
+    ``burn_days(id, year, dob, burn_date)``; the floor is 1 January + (first DOB of the fire - 33) d, where
+    the first day is that among ``fire_days(id, year, dob)`` if given: all days and tiles of a fire, also
+    those on which ``burn_days`` does not name it.
     The as-of search is a running maximum over distinct calendar days (a few thousand rows for
     any volume of pixels); fires and pixels later need nothing but equi-joins.  The newest
     finished composite decides alone: if it is below the floor, so are all older ones.
@@ -91,7 +93,8 @@ def asof_composite(
     )
     so_far = Window.orderBy("burn_date").rowsBetween(Window.unboundedPreceding, 0)
     newest = calendar.select("burn_date", F.max("time_start").over(so_far).alias("time_start"))
-    first = burn_days.groupBy("id", "year").agg(F.min("dob").alias("_first"), F.min_by("burn_date", "dob").alias("_fd"))
+    first = (burn_days if fire_days is None else fire_days).groupBy("id", "year").agg(F.min("dob").alias("_first"))
+    first = first.withColumn("_fd", timeops.dob_to_date(F.col("year"), F.col("_first")))
     floor = F.date_add("_fd", F.lit(1 - lookback_days))
     return (
         burn_days.join(newest, "burn_date", "left")

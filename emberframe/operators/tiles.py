@@ -134,24 +134,22 @@ def tile_day_metadata(located: DataFrame, tz_regions: DataFrame) -> DataFrame:
 
 
 def with_time_zone(df: DataFrame, regions: DataFrame, default: str = "UTC") -> DataFrame:
-    """Time zone of a longitude from a region table.
+    """Time zone of a point from a table of boxes; of boxes that overlap the first name counts.
 
-    Regions are cut into whole-degree cells, which turns the range condition into an equi-join
-    with a residual test instead of a nested loop.
+    The boxes are listed per whole degree of longitude, so a point meets one row and is never multiplied.
     """
+    bound = lambda c, end: F.col(c) if c in regions.columns else F.lit(end)
+    box = F.struct("name", "lon_min", "lon_max", bound("lat_min", -90.0).alias("lat_min"), bound("lat_max", 90.0).alias("lat_max"))
     cells = regions.select(
-        "name", "lon_min", "lon_max",
-        F.explode(F.sequence(F.floor("lon_min"), F.ceil("lon_max") - 1)).alias("_cell"),
+        box.alias("z"), F.explode(F.sequence(F.floor("lon_min"), F.ceil("lon_max") - 1)).alias("_cell")
+    ).groupBy("_cell").agg(F.collect_list("z").alias("_boxes"))
+    inside = lambda z: (
+        (F.col("lon") >= z["lon_min"]) & (F.col("lon") < z["lon_max"]) & (F.col("lat") >= z["lat_min"]) & (F.col("lat") < z["lat_max"])
     )
-    left = df.withColumn("_cell", F.floor("lon")).alias("p")
-    on = (
-        (F.col("p._cell") == F.col("z._cell"))
-        & (F.col("p.lon") >= F.col("z.lon_min"))
-        & (F.col("p.lon") < F.col("z.lon_max"))
-    )
-    # Time zones are a fixed list: some hundred regions, at most 360 cells each.
-    joined = left.join(F.broadcast(cells).alias("z"), on, "left")
-    return joined.select("p.*", F.coalesce("z.name", F.lit(default)).alias("tz")).drop("_cell")
+    # Time zones are a fixed list: some hundred boxes in at most 360 rows.
+    joined = df.withColumn("_cell", F.floor("lon")).join(F.broadcast(cells), "_cell", "left")
+    name = F.array_min(F.transform(F.filter("_boxes", inside), lambda z: z["name"]))
+    return joined.withColumn("tz", F.coalesce(name, F.lit(default))).drop("_cell", "_boxes")
 
 
 def dense_scaffold(

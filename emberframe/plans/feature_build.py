@@ -86,7 +86,7 @@ def build(inputs: Inputs, with_burn: bool = True) -> DataFrame:
 
     dated = surface.asof_composite(
         surface.burn_dates(days.select(*TILE_DAY, "id")), inputs.composites,
-        inputs.composite_days, inputs.composite_lookback,
+        inputs.composite_days, inputs.composite_lookback, folded.select("id", "year", "dob"),
     ).select(*TILE_DAY, "time_start")
 
     # Weather: a tile meets a handful of weather cells, so look those up per tile-day.
@@ -115,8 +115,10 @@ def build(inputs: Inputs, with_burn: bool = True) -> DataFrame:
     )
     if not with_burn:
         return dense
-    flags = {c: F.max_by(c, "last_seq").alias(c) for c in ("firearea", "cumuarea")}
-    burned = folded.groupBy(*TILE_DAY, *PIXEL).agg(*flags.values())
+    # The last write decides within a fire; across fires a pixel burns if any of them says so.
+    flags = ("firearea", "cumuarea")
+    per_fire = folded.groupBy(*TILE_DAY, "id", "fireday", *PIXEL).agg(*[F.max_by(c, "last_seq").alias(c) for c in flags])
+    burned = per_fire.groupBy(*TILE_DAY, *PIXEL).agg(*[F.max(c).alias(c) for c in flags])
     dense = dense.join(burned, [*TILE_DAY, *PIXEL], "left")
     return dense.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
 

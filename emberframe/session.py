@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []  # scratch tables of this process
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -31,7 +32,7 @@ def build_session(app: str = "emberframe", **overrides: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a
+    A local-mode session without that setting uses a folder below its warehouse; on a cluster a
     missing setting is an error, because a machine-local folder is lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,13 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
         return existing.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
@@ -73,8 +76,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def file_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or folder on its file system."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(target).getLength()
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder; plans that start there end with it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in _WRITTEN:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name), True)
+    _WRITTEN.clear()

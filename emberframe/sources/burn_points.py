@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,19 +11,23 @@ from emberframe.session import path_exists
 
 _TYPES = {"ID": T.StringType(), "fireday": T.IntegerType(), "year": T.IntegerType()}
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.DoubleType())) for c in k.BURN_POINT_COLUMNS])
-BASE_YEAR = 1900
 
 
-def row_order() -> Column:
-    """File order of a row as one BIGINT: year, block within the file, row within the block.
+def with_row_order(raw: DataFrame) -> DataFrame:
+    """Add ``row_seq``: file order of a row as one BIGINT, unique over all files.
 
-    A file block is read by one task in order, so (block, running id) is the line order; blocks
-    are at least 1 MiB apart.
+    A block of a file is read by one task in order. The blocks (one row each) are numbered by path and start;
+    a row is placed by its block's number and its distance from the block's first row.
     """
-    year = F.shiftleft((F.col("year") - BASE_YEAR).cast("bigint"), 55)
-    block = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 20), 33)
-    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return year.bitwiseOR(block).bitwiseOR(line)
+    marked = raw.withColumns({
+        "_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id(),
+    })
+    blocks = marked.groupBy("_path", "_start").agg(F.min("_id").alias("_first"))
+    blocks = blocks.withColumn("_block", F.row_number().over(Window.orderBy("_path", "_start")).cast("bigint"))
+    placed = marked.join(blocks, ["_path", "_start"])
+    return placed.withColumn("row_seq", F.shiftleft("_block", 33) + F.col("_id") - F.col("_first")).drop(
+        "_path", "_start", "_id", "_first", "_block"
+    )
 
 
 def year_paths(spark: SparkSession, template: str, years: list[int]) -> list[str]:
@@ -45,7 +49,7 @@ def read_burn_points(
     raw = spark.read.option("header", True).schema(schema).csv(paths)
     renamed = {"ID": "id", "DOB": "dob"}
     picked = [F.col(c).alias(renamed.get(c, c)) for c in columns]
-    out = raw.select(*picked, row_order().alias("row_seq"))
+    out = with_row_order(raw).select(*picked, "row_seq")
     return out.withColumn("dob", F.col("dob").cast("int")) if "DOB" in columns else out
 
 

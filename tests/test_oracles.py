@@ -1,12 +1,10 @@
 """Registered queries against their SQL twins at the smallest scale.
 
-Every query is compared by ``python tests/check_oracles.py <sf_dir>``; the test run takes one or
-two per family unless EMBERFRAME_ALL_QUERIES is set.
+``python tests/check_oracles.py <sf_dir>`` does the same at another scale.
 """
 
 from __future__ import annotations
 
-import os
 import pathlib
 
 import pytest
@@ -16,14 +14,7 @@ from emberframe.catalog import load_all
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load_all()
-SOME = (
-    "new_growth_per_tile_day", "s1_read_burn_points", "s3_read_tile_fires_json", "s8_sample_manifest", "c2_unproject_lambert",
-    "c8_local_day_to_utc", "c22_stable_seed", "f5_valid_sequences", "c10_relative_humidity", "j5_nearest_vegetation",
-    "j8_search_catalogue", "j15_dense_scaffold", "w1_rolling_day", "w3_deduplicate_hours", "chosen_mosaic",
-    "a14_first_burn", "a18_binned_pr_summary", "a19_losses", "c15_zscore", "r1_extract_patches", "r3_coarse_metrics",
-    "r6_aspect", "s7_ingest_sample_archives", "l3_balanced_sample", "m5_evaluate_models", "u2_later_source_wins",
-)
-NAMES = sorted(ORACLES) if os.environ.get("EMBERFRAME_ALL_QUERIES") else SOME
+NAMES = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="needs the given tables")
 

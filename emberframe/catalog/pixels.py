@@ -281,6 +281,37 @@ def r3(spark, d):
     return metrics.coarse_metrics(burned(spark, d, 0.05), burned(spark, d, 0.1), DAY, SIDE)
 
 
+# Labels independent of the scores; closing, pooling and counting as for the scores.
+_MARKED = "SELECT vec_id, pixel_y, pixel_x, CASE WHEN sin(v * 37e0) > 9e-1 THEN 1e0 ELSE 0e0 END AS v FROM raster"
+_OF_MARKS = lambda text: text.replace("FROM raster c", "FROM marked c").replace("JOIN raster n", "JOIN marked n")
+R3_FULL_SQL = f"""SELECT tp, fp, fn, tn, {R('cast(tp AS double) / (tp + fp + fn)')} AS iou, {R('2e0 * tp / (2 * tp + fp + fn)')} AS dice,
+    {R('cast(tp AS double) / (tp + fp)')} AS precision, {R('cast(tp AS double) / (tp + fn)')} AS recall,
+    {R('cast(tp + tn AS double) / (tp + fp + fn + tn)')} AS accuracy,
+    (SELECT {R('sum(pos * (p + coalesce(before, 1e0)) / 2) / sum(pos)')} FROM steps) AS auc_pr, (SELECT {R('sum(pos * p) / sum(pos)')} FROM steps) AS average_precision
+    FROM (SELECT count(*) FILTER (WHERE score > 1e-1 AND label = 1) AS tp, count(*) FILTER (WHERE score > 1e-1 AND label = 0) AS fp,
+          count(*) FILTER (WHERE score <= 1e-1 AND label = 1) AS fn, count(*) FILTER (WHERE score <= 1e-1 AND label = 0) AS tn FROM pooled) q"""
+_BLOCKS = "SELECT vec_id, floor(pixel_y / 2e0) AS y, floor(pixel_x / 2e0) AS x, max(v) AS v FROM {0} GROUP BY ALL"
+
+
+@register(
+    "r3_coarse_evaluation",
+    query(
+        R3_FULL_SQL, "raster", around=AROUND, dilated=DILATED_SQL, closed=GREY_SQL, marked=_MARKED, around2=_OF_MARKS(AROUND),
+        dilated2="SELECT vec_id, pixel_y, pixel_x, max(v) AS v FROM around2 GROUP BY ALL",
+        closed2=_OF_MARKS(GREY_SQL).replace("JOIN dilated n", "JOIN dilated2 n"),
+        pooled=f"SELECT a.v AS score, b.v AS label FROM ({_BLOCKS.format('closed')}) a JOIN ({_BLOCKS.format('closed2')}) b USING (vec_id, y, x)",
+        steps="""SELECT *, lag(p) OVER (ORDER BY score DESC) AS before FROM (SELECT *, cast(tp AS double) / (tp + fp) AS p FROM (
+            SELECT score, pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM (
+              SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM pooled GROUP BY score) a) b) c""",
+    ),
+)
+def r3_full(spark, d):
+    cells = raster(spark, d).select(*DAY, *PIXEL, F.col("v").alias("score"), (F.sin(F.col("v") * 37) > 0.9).cast("int").alias("label"))
+    out = metrics.coarse_evaluation(cells, DAY, SIDE, threshold=0.1)
+    rates = ("iou", "dice", "precision", "recall", "accuracy", "auc_pr", "average_precision")
+    return rounded(out.select("tp", "fp", "fn", "tn", *rates), *rates)
+
+
 CROSS_SQL = """SELECT a.vec_id, a.pixel_y, a.pixel_x FROM raster a JOIN raster n ON n.vec_id = a.vec_id
     AND abs(n.pixel_y - a.pixel_y) + abs(n.pixel_x - a.pixel_x) = 1 WHERE a.v <= 0
     GROUP BY ALL HAVING bool_and(n.v > 0)"""

@@ -206,6 +206,17 @@ def coarse_metrics(truth: DataFrame, predicted: DataFrame, keys: tuple[str, ...]
     )
 
 
+def coarse_evaluation(
+    cells: DataFrame, keys: tuple[str, ...], grid: int, score: str = "score", label: str = "label", threshold: float = 0.5, factor: int = 2,
+) -> DataFrame:
+    """All counts, rates and the exact precision-recall summary on closed, max-pooled scores and labels of dense tiles."""
+    closed = stencil.close_dense(cells.withColumns({score: F.col(score).cast("double"), label: F.col(label).cast("double")}), score, keys)
+    closed = stencil.close_dense(closed, label, keys)
+    pooled = stencil.pool(closed, factor, keys, {score: F.max(score), label: F.max(label).cast("int")}, grid)
+    rates = with_rates(confusion(pooled, F.col(score) > threshold, label))
+    return rates.crossJoin(pr_summary(pooled, score, label).drop("positive_rows", "negative_rows"))  # one row each
+
+
 def results_by_run(metrics: DataFrame, value: str, runs: list[int]) -> DataFrame:
     """Architecture x run table."""
     return metrics.groupBy("architecture").agg(

@@ -10,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 8
+from emberframe.session import cut_lineage
+
+ROWS_PER_BUCKET = 1 << 20  # rows that one window task sorts, about
+
+
+def bucket_bits(rows: int) -> int:
+    """Bits of the bucket number, so that the buckets grow with the data and their size does not."""
+    return max(0, -(-rows // ROWS_PER_BUCKET) - 1).bit_length()
 
 
 def _with_range_bucket(df: DataFrame, order: str, bits: int, group: list[str]) -> DataFrame:
@@ -19,10 +26,12 @@ def _with_range_bucket(df: DataFrame, order: str, bits: int, group: list[str]) -
     The bounds are ``2**bits - 1`` numbers (per group, of which there are few: models, say); the
     lookup is an unrolled binary search, one comparison per bit.
     """
+    if not bits:
+        return df.withColumn("_bucket", F.lit(0)).withColumn("_bounds", F.lit(None))
     n = 2**bits
     bounds = F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("_bounds")
     if group:
-        out = df.join(F.broadcast(df.groupBy(*group).agg(bounds)), group)
+        out = df.join(df.groupBy(*group).agg(bounds), group)
     else:
         out = df.withColumn("_bounds", df.select(bounds).scalar())
     out = out.withColumn("_bucket", F.lit(0))
@@ -36,14 +45,17 @@ def _with_range_bucket(df: DataFrame, order: str, bits: int, group: list[str]) -
 
 def running_sums(
     grouped: DataFrame, order: str, sums: dict[str, str], descending: bool = False,
-    bits: int = BUCKET_BITS, group: list[str] | None = None,
+    bits: int | None = None, group: list[str] | None = None,
 ) -> DataFrame:
     """Running sums of ``sums`` (input -> output column) over a numeric ``order`` column.
 
     ``order`` must be unique (per ``group``): aggregate by it first, which also folds a value held
-    by many rows into one.
+    by many rows into one.  The rows are written once (they are read for the bounds, the totals and
+    the result), and their number decides how many buckets there are unless ``bits`` does.
     """
     group = group or []
+    grouped = cut_lineage(grouped, "running-sums")
+    bits = bucket_bits(grouped.count()) if bits is None else bits
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     tagged = _with_range_bucket(grouped, order, bits, group)
     before = Window.partitionBy(*group).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,13 +64,13 @@ def running_sums(
         *group, "_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )  # at most 2**bits rows per group
     inside = Window.partitionBy(*group, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offsets), [*group, "_bucket"])
+    out = tagged.join(offsets, [*group, "_bucket"])
     out = out.withColumns({new: F.col(f"_o_{c}") + F.sum(c).over(inside) for c, new in sums.items()})
     return out.drop("_bucket", "_bounds", *[f"_o_{c}" for c in sums])
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: tuple[float, ...] | list[float], bits: int = 6
+    df: DataFrame, value: str, probs: tuple[float, ...] | list[float]
 ) -> DataFrame:
     """One row ``(q ARRAY<DOUBLE>)`` of linearly interpolated quantiles, exact at any size.
 
@@ -68,7 +80,7 @@ def exact_quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(
         F.count("*").alias("_n")
     )
-    ranked = running_sums(counted, "_v", {"_n": "_to"}, bits=bits)
+    ranked = running_sums(counted, "_v", {"_n": "_to"})
     total = df.agg(F.count(value).alias("n")).scalar()
 
     def at(p: float, side: str) -> Column:
@@ -119,8 +131,8 @@ def take_by_hash(
 ) -> DataFrame:
     """The first ``quota`` rows per group in hash order; only rows of the cut bucket are sorted.
 
-    For few groups (class labels): the bucket edges, at most ``16**digits`` rows per group, are
-    broadcast, so rows beyond the quota are dropped before any shuffle.
+    For few groups (class labels): the bucket edges are at most ``16**digits`` rows per group, few enough to be
+    broadcast by the planner, so that rows beyond the quota are dropped before any shuffle.
     """
     tagged = df.withColumn("_hash", order_hash).withColumn("_b", F.substring("_hash", 1, digits))
     counts = tagged.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
@@ -131,7 +143,7 @@ def take_by_hash(
         .where(F.col("_room") > 0)
         .select(*group, "_b", "_n", "_room")
     )
-    joined = tagged.join(F.broadcast(edges), [*group, "_b"])
+    joined = tagged.join(edges, [*group, "_b"])
     whole = joined.where(F.col("_n") <= F.col("_room"))
     inside = Window.partitionBy(*group, "_b").orderBy("_hash", *ties)
     cut = (

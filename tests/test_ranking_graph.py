@@ -147,3 +147,18 @@ def test_result_does_not_depend_on_partitions(spark):
         assert ranking.exact_quantiles(df.repartition(5), "v", (0.5, 0.9)).first() == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    """A thousand distinct values, one of them with most of the weight, in buckets of about fifty."""
+    from emberframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 50)
+    assert [ranking.bucket_bits(n) for n in (0, 1, 50, 51, 100, 101, 1000)] == [0, 0, 0, 1, 1, 2, 5]
+    rows = [(float((7 * i) % 1000), 1_000_000 if i == 3 else 1) for i in range(1000)]
+    got = ranking.running_sums(spark.createDataFrame(rows, "v double, n long").repartition(4), "v", {"n": "upto"}, descending=True)
+    total, want = 0, {}
+    for v, n in sorted(rows, reverse=True):
+        total += n
+        want[v] = total
+    assert {r["v"]: r["upto"] for r in got.collect()} == want

@@ -73,9 +73,17 @@ def pr_curve(scored: DataFrame, score: str = "score", label: str = "label", keys
     Rows fold into distinct scores first; the running sums are two-level, so no task sees the
     whole curve.  ``keys`` (a model id, say) gives one curve each in the same pass.
     """
-    grouped = scored.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
+    return curve_of(score_counts(scored, score, label, keys), keys)
+
+
+def score_counts(scored: DataFrame, score: str = "score", label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both classes per distinct score."""
+    return scored.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+
+
+def curve_of(grouped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     curve = running_sums(grouped, "threshold", {"pos": "tp", "neg": "fp"}, descending=True, group=list(keys))
     return curve.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
 
@@ -86,7 +94,11 @@ def pr_summary(scored: DataFrame, score: str = "score", label: str = "label", ke
     The point before each one is the running sum without its own rows; the curve starts at
     recall 0, precision 1.
     """
-    curve = pr_curve(scored, score, label, keys)
+    return summary_of(score_counts(scored, score, label, keys), keys)
+
+
+def summary_of(grouped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    curve = curve_of(grouped, keys)
     before_tp, before_n = F.col("tp") - F.col("pos"), F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")
     before_precision = F.when(before_n == 0, F.lit(1.0)).otherwise(F.try_divide(before_tp.cast("double"), before_n))
     summed = curve.groupBy(*keys).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.probability import sigmoid
 from emberframe.operators import metrics
+from emberframe.session import cut_lineage
 
 ALPHA = 1e-4
 
@@ -81,15 +82,22 @@ def score_models(matrix: DataFrame, models: dict[float, tuple[list[float], float
 def evaluate(scored: DataFrame, w_values: list[float], threshold: float = 0.5, label: str = "label") -> DataFrame:
     """Threshold and curve metrics per model over every pixel of a split.
 
-    The model columns become rows, so all curves come from one pass over the scored pixels.
+    The model columns become rows and fold into distinct scores; counts at the threshold and curves both come
+    from that table, so the scored pixels are read once.
     """
     entries = [
         F.struct(F.lit(i).alias("ord"), F.lit(float(w)).alias("w"), F.col(f"p_{i}").alias("score"))
         for i, w in enumerate(w_values)
     ]
     long = scored.select(F.explode(F.array(*entries)).alias("m"), label).select("m.*", label)
-    rates = metrics.binary_metrics(long, threshold=threshold, label=label, keys=("ord", "w"))
-    return rates.join(metrics.pr_summary(long, label=label, keys=("ord", "w")), ["ord", "w"])
+    keys = ("ord", "w")
+    grouped = cut_lineage(metrics.score_counts(long, "score", label, keys), "score-counts")
+    hit = F.col("threshold") >= threshold
+    count = lambda of, on: F.coalesce(F.sum(F.when(on, F.col(of))), F.lit(0))
+    counts = grouped.groupBy(*keys).agg(
+        count("pos", hit).alias("tp"), count("neg", hit).alias("fp"), count("pos", ~hit).alias("fn"), count("neg", ~hit).alias("tn")
+    )
+    return metrics.with_rates(counts).join(metrics.summary_of(grouped, keys), list(keys))
 
 
 def select_best(sweep: DataFrame, metric: str = "auc_pr") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from emberframe import constants as k
 from emberframe.operators.graph import connected_components
+from emberframe.session import cut_lineage
 
 KEYS = ("tile", "day")
 
@@ -133,7 +134,8 @@ def fill_holes(mask: DataFrame, keys: tuple[str, ...], max_size: int = 1, grid:
     """Add 4-connected background components of at most ``max_size`` cells to a sparse mask.
 
     ``max_size=1`` needs one exchange: a background cell is filled when all its in-tile
-    4-neighbours are burned.  Larger sizes label the background with connected components.
+    4-neighbours are burned.  A larger hole lies within ``max_size`` steps of the mask, so only background that
+    near is labelled; a part of it that goes on further is open, hence too large.
     """
     cells = [*keys, "pixel_y", "pixel_x"]
     mask = mask.select(*cells)
@@ -143,13 +145,18 @@ def fill_holes(mask: DataFrame, keys: tuple[str, ...], max_size: int = 1, grid:
         arrivals = push_to_neighbours(mask, CROSS, grid).groupBy(*cells).agg(F.count("*").alias("_n"))
         holes = arrivals.where(F.col("_n") == _in_grid(CROSS, grid)).select(*cells).join(mask, cells, "left_anti")
         return mask.unionByName(holes)
-    line = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    every = mask.select(*keys).distinct().withColumn("pixel_y", line).withColumn("pixel_x", line)
-    background = every.join(mask, cells, "left_anti").withColumn("id", F.concat_ws("|", *cells))
-    ahead = push_to_neighbours(background.withColumnRenamed("id", "v"), [(0, 1), (1, 0)], grid)
-    edges = ahead.join(background, cells).select(F.col("id").alias("u"), "v")
-    labelled = background.join(connected_components(background, edges), "id")
-    small = labelled.groupBy("super_id").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_size)
+    near = push_to_neighbours(mask, CROSS, grid).distinct().join(mask, cells, "left_anti")
+    for _ in range(max_size - 1):
+        near = near.unionByName(push_to_neighbours(near, CROSS, grid)).distinct().join(mask, cells, "left_anti")
+    background = cut_lineage(near.withColumn("id", F.concat_ws("|", *cells)), "background")
+    ahead = push_to_neighbours(background.withColumnRenamed("id", "v"), CROSS, grid).join(mask, cells, "left_anti")
+    met = ahead.join(background, cells, "left")
+    open_ = met.where("id IS NULL").select(F.col("v").alias("id")).distinct()
+    edges = met.where("id IS NOT NULL").select(F.col("id").alias("u"), "v")
+    labelled = background.join(connected_components(background, edges), "id").join(open_.withColumn("_open", F.lit(True)), "id", "left")
+    small = labelled.groupBy("super_id").agg(F.count("*").alias("_n"), F.max("_open").alias("_open")).where(
+        (F.col("_n") <= max_size) & F.col("_open").isNull()
+    )
     return mask.unionByName(labelled.join(small, "super_id", "left_semi").select(*cells))
 
 

@@ -8,24 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions import geo
-from emberframe.operators.tiles import TILE, TILE_DAY
+from emberframe.operators.tiles import TILE_DAY
 
 ENTRY = "array<struct<fire_id:string,day_key:string>>"
 
 
 def write_tile_fires_json(packed: DataFrame, path: str) -> None:
-    """Dictionaries ``{key: [{fire_id, day_key}]}``, one object per line, tile and year.
+    """Dictionaries ``{key: [{fire_id, day_key}]}``, one object per line and tile-day.
 
-    A line holds the days of one tile and year (at most 366 keys), so no task writes a whole year.
+    Nothing is collected beyond the fires that a key lists.
     """
     key = geo.tile_key(F.col("tile_id"), F.col("year"), F.col("dob"))
     fires = F.transform("fires", lambda f: F.struct(f["fire_id"].alias("fire_id"), f["day_key"].alias("day_key")))
-    lines = (
-        packed.withColumn("_entry", F.struct(key.alias("key"), fires.alias("value")))
-        .groupBy("year", *TILE)
-        .agg(F.to_json(F.map_from_entries(F.collect_list("_entry"))).alias("value"))
-    )
-    lines.select("year", "value").write.mode("overwrite").partitionBy("year").text(path)
+    lines = packed.select("year", F.to_json(F.create_map(key, fires)).alias("value"))
+    lines.write.mode("overwrite").partitionBy("year").text(path)
 
 
 def read_tile_fires_json(spark: SparkSession, paths: list[str], whole_file: bool = False) -> DataFrame:

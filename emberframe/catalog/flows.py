@@ -12,8 +12,12 @@ from emberframe.catalog.points import TD, located, points
 from emberframe.catalog.registry import r, register, rounded
 from emberframe.catalog.sql import CTES, R, num, query, tiling
 from emberframe.catalog.sql import _CONE as CONE
+from emberframe.functions import provenance, timeops
 from emberframe.operators import pairing, ranking, split, tiles
-from emberframe.plans import baseline, feature_build, sample_build
+from emberframe.operators.tiles import PIXEL, TILE
+from emberframe.plans import baseline, feature_build, materialise, sample_build
+from emberframe.session import cut_lineage, scratch_path
+from emberframe.sources import samples as sample_source
 
 JAN = "SELECT id, 2024 AS year, dob - 149 AS dob, fireday, lon, lat, firearea, cumuarea, row_seq, easting, northing FROM proj"
 _T = f"pow(sqrt(x * x + y * y) / {num(CONE['scale'])}, {num(1 / CONE['n'])})"
@@ -183,3 +187,124 @@ def e3(spark, d):
     config = baseline.BaselineConfig(["tmax", "rh"], DAY, SIDE, max_positive=3000, w_values=[1.0, 2.0], max_iter=10)
     _, test = baseline.run(cells, config)
     return rounded(test, "iou", "dice", "precision", "recall", "accuracy", "auc_pr", "average_precision", digits=4)
+
+
+# ---- samples as arrays, on tiles of 8 x 8 cells; each tile-day takes one patch, each tile another ----
+_PATCHES = "(SELECT count(DISTINCT vec_id) FROM raster)"
+COARSE = {"tiled": tiling("proj", 8, 2880)}
+_ENV = f"""SELECT {TD}, r.pixel_y, r.pixel_x, CASE WHEN r.v > -36e-2 THEN r.v END AS g
+    FROM (SELECT DISTINCT {TD} FROM tiled) t JOIN raster r ON r.vec_id = (tile_col * 31 + tile_row * 17 + dob) % {_PATCHES}"""
+_FIXED = f"""SELECT tile_col, tile_row, r.pixel_y, r.pixel_x, 1e1 * r.v AS f
+    FROM (SELECT DISTINCT tile_col, tile_row FROM tiled) t JOIN raster r ON r.vec_id = (tile_col * 13 + tile_row * 7) % {_PATCHES}"""
+# Fires of input days that pass the gate and of the days after them.
+GATED = f"""WITH f0 AS ({CTES['fires'][1]}), good AS (SELECT DISTINCT {TD} FROM f0 ANTI JOIN bad USING ({TD})),
+    pair AS (SELECT a.* FROM good a WHERE EXISTS (SELECT 1 FROM f0 b WHERE b.year = a.year AND b.tile_col = a.tile_col
+       AND b.tile_row = a.tile_row AND b.dob = a.dob + 1)),
+    used AS (SELECT * FROM pair UNION SELECT year, tile_col, tile_row, dob + 1 AS dob FROM pair)
+    SELECT * FROM f0 WHERE id IN (SELECT id FROM f0 JOIN used USING ({TD}))"""
+_BASE = {"tiled": COARSE["tiled"], "fires": GATED}
+_STATS = f"""SELECT avg(g) AS gm, stddev_pop(g) + 1e-8 AS gs FROM env JOIN (SELECT DISTINCT {TD} FROM dayset WHERE split = 'train') d USING ({TD})
+    ANTI JOIN bad USING ({TD})"""
+_STATIC_STATS = f"""SELECT avg(f) AS fm, stddev_pop(f) + 1e-8 AS fs FROM fixed JOIN (SELECT DISTINCT tile_col, tile_row FROM
+    (SELECT DISTINCT {TD} FROM dayset WHERE split = 'train') d ANTI JOIN bad USING ({TD})) t USING (tile_col, tile_row)"""
+_CHANNELS = f"""SELECT e.*, (g - gm) / gs AS tmax, g * 7 AS evi, g * 15 * 1e-4 AS s2_scl, (f - fm) / fs AS dem, sin(radians(3 * f)) AS aspect_sin,
+    CASE WHEN c.first_fireday IS NULL THEN 0 ELSE 1 END AS burned, coalesce(c.first_fireday, 0) / 1e2 AS fireday
+    FROM env e JOIN fixed USING (tile_col, tile_row, pixel_y, pixel_x) LEFT JOIN cur c USING ({TD}, pixel_y, pixel_x), moving, still"""
+_ARRAYS = ("tmax", "evi", "s2_scl", "dem", "aspect_sin", "previous_burn_mask", "fireday_grid")
+
+
+def materialise_inputs(spark, d):
+    """Index, dense environment, statics, gate and imagery age of the coarse tiles."""
+    place = tiles.locate(points(spark, d), 8, 2880.0)
+    patches = fixtures.load(spark, d, "raster").select(F.col("vec_id").alias("_id"), *PIXEL, "v")
+    n = patches.agg(F.count_distinct("_id").alias("n")).scalar()
+    days = place.select("year", *TILE, "dob").distinct()
+    of = lambda df, value: df.withColumn("_id", F.pmod(value, n)).join(patches, "_id").drop("_id")
+    g = F.when(F.col("v") > -0.36, F.col("v"))
+    environment = of(days, F.col("tile_col") * 31 + F.col("tile_row") * 17 + F.col("dob")).select(
+        "year", *TILE, "dob", *PIXEL, *[(g * (i + 1)).alias(c) for i, c in enumerate(k.DYNAMIC_FEATURES)]
+    )
+    statics = of(days.select(*TILE).distinct(), F.col("tile_col") * 13 + F.col("tile_row") * 7).select(
+        *TILE, *PIXEL, *[(F.col("v") * 10 * (i + 1)).alias(c) for i, c in enumerate(k.STATIC_FEATURES)]
+    )
+    environment, statics = cut_lineage(environment, "environment"), cut_lineage(statics, "statics")
+    gate = cut_lineage(materialise.bad_days(environment, statics), "bad-days")
+    return sample_build.index_samples(place, gate), environment, statics, gate, days
+
+
+def _plane(x, name: str, cells: int = 64):
+    """Sum of a channel, its cells weighted by their place."""
+    at = k.CHANNELS.index(name) * cells
+    part = F.slice(x, at + 1, cells)
+    return F.aggregate(F.transform(part, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+
+
+_SUMS = ", ".join(
+    f"{R(f'sum(CAST({c} AS FLOAT)::DOUBLE * (pixel_y * 8 + pixel_x + 1))', 2)} AS {n}"
+    for c, n in zip(("tmax", "evi", "s2_scl", "dem", "aspect_sin", "burned", "fireday"), _ARRAYS)
+)
+
+
+@register(
+    "e2_materialise_samples",
+    query(
+        f"""SELECT p.split, {TD}, {_SUMS}, count(*) FILTER (WHERE w.dob IS NOT NULL) AS label,
+                   (SELECT coalesce(min(cast(cast(make_date(p.year, 1, 1) + (p.dob - 1) AS date) - s.acq_date AS int)), 0) FROM scene s
+                    WHERE s.tile_no = (p.tile_col * 7 + p.tile_row) % 20
+                      AND s.acq_date BETWEEN cast(make_date(p.year, 1, 1) + (p.dob - 31) + 1 AS date) AND cast(make_date(p.year, 1, 1) + (p.dob - 1) AS date)) AS delta_t
+            FROM (SELECT a.* FROM dayset a ANTI JOIN bad USING ({TD}) WHERE EXISTS (SELECT 1 FROM dayset b WHERE b.year = a.year
+                    AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND b.dob = a.dob + 1 AND b.split = a.split)) p
+            JOIN channels USING ({TD}) LEFT JOIN (SELECT DISTINCT {TD}, pixel_y, pixel_x FROM grown) w USING ({TD}, pixel_y, pixel_x)
+            GROUP BY p.split, {TD}, p.year, p.tile_col, p.tile_row, p.dob""",
+        "raster", "scene", "tiled", "env", "bad", "pairs", "members", "split", "cur", "grown", "dayset", "fixed", "moving", "still", "channels",
+        instead=_BASE, env=_ENV, bad=f"SELECT DISTINCT {TD} FROM env WHERE g IS NULL", dayset=DAY_SPLIT, fixed=_FIXED,
+        moving=_STATS, still=_STATIC_STATS, channels=_CHANNELS,
+    ),
+)
+def e2_materialise_samples(spark, d):
+    """Samples written as arrays and read back: a checksum of some channels, labels and imagery age per sample."""
+    index, environment, statics, gate, days = materialise_inputs(spark, d)
+    expected = timeops.dob_to_date(F.col("year"), F.col("dob"))
+    seen = fixtures.load(spark, d, "scene").groupBy("tile_no", "acq_date").agg(F.min("cloud_cover").alias("cloud_cover"))
+    seen = seen.withColumn("burn_date", F.explode(F.expr("sequence(acq_date, date_add(acq_date, 29))"))).groupBy("tile_no", "burn_date").agg(
+        F.collect_list(F.struct(F.lit(1.0).alias("pixels_pct"), "cloud_cover", F.col("acq_date").cast("string").alias("acquisition_date"))).alias("stats")
+    )
+    placed = days.withColumns({"tile_no": F.pmod(F.col("tile_col") * 7 + F.col("tile_row"), F.lit(20)), "burn_date": expected})
+    age = placed.join(seen, ["tile_no", "burn_date"], "left").withColumn("delta_t", provenance.sat_age_days(F.col("burn_date"), F.col("stats")))
+    path = scratch_path(spark, "samples")
+    sample_source.export_samples(materialise.samples(index, environment, statics, gate, age), path)
+    back = spark.read.parquet(path)
+    return back.select(
+        "split", "year", *TILE, "dob", *[r(_plane(F.col("x"), c), 2).alias(c) for c in _ARRAYS],
+        F.aggregate("y", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("label"), F.col("delta_t").cast("int").alias("delta_t"),
+    )
+
+
+@register(
+    "e2_materialise_sequences",
+    query(
+        f"""SELECT q.split, q.year, q.tile_col, q.tile_row, q.dob AS start_dob, s.step, {R('sum(CAST(tmax AS FLOAT)::DOUBLE * (pixel_y * 8 + pixel_x + 1))', 2)} AS tmax,
+                   {R('sum(CAST(burned AS FLOAT)::DOUBLE * (pixel_y * 8 + pixel_x + 1))', 2)} AS previous_burn_mask, q.dob + s.step AS position,
+                   (SELECT count(*) FROM (SELECT DISTINCT {TD}, pixel_y, pixel_x FROM grown) w WHERE w.year = q.year AND w.tile_col = q.tile_col AND w.tile_row = q.tile_row AND w.dob = q.dob + 2) AS label
+            FROM (SELECT a.* FROM dayset a ANTI JOIN bad USING ({TD}) WHERE (SELECT count(*) FROM dayset b WHERE b.year = a.year AND b.tile_col = a.tile_col
+                    AND b.tile_row = a.tile_row AND b.split = a.split AND b.dob BETWEEN a.dob + 1 AND a.dob + 3) = 3
+                  AND (SELECT count(*) FROM bad b WHERE b.year = a.year AND b.tile_col = a.tile_col AND b.tile_row = a.tile_row AND b.dob BETWEEN a.dob + 1 AND a.dob + 2) = 0) q
+            JOIN (SELECT unnest(range(3)) AS step) s ON true
+            JOIN channels c ON c.year = q.year AND c.tile_col = q.tile_col AND c.tile_row = q.tile_row AND c.dob = q.dob + s.step
+            GROUP BY q.split, q.year, q.tile_col, q.tile_row, q.dob, s.step""",
+        "raster", "tiled", "env", "bad", "pairs", "members", "split", "cur", "grown", "dayset", "fixed", "moving", "still", "channels",
+        instead=_BASE, env=_ENV, bad=f"SELECT DISTINCT {TD} FROM env WHERE g IS NULL", dayset=DAY_SPLIT, fixed=_FIXED,
+        moving=_STATS, still=_STATIC_STATS, channels=_CHANNELS,
+    ),
+)
+def e2_materialise_sequences(spark, d):
+    """Sequences of three days as arrays, written and read back: checksums per step, positions and labels."""
+    index, environment, statics, gate, _ = materialise_inputs(spark, d)
+    path = scratch_path(spark, "sequences")
+    sample_source.export_samples(materialise.sequences(index, environment, statics, gate), path)
+    steps = spark.read.parquet(path).select("split", "year", *TILE, "start_dob", "positions", F.size(F.coalesce("y", F.array())).cast("bigint").alias("label"), F.explode("x").alias("s"))
+    return steps.select(
+        "split", "year", *TILE, "start_dob", F.col("s.step").alias("step"), r(_plane(F.col("s.x"), "tmax"), 2).alias("tmax"),
+        r(_plane(F.col("s.x"), "previous_burn_mask"), 2).alias("previous_burn_mask"),
+        F.element_at("positions", F.col("s.step") + 1).cast("int").alias("position"), "label",
+    )

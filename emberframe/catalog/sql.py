@@ -175,12 +175,12 @@ def query(body: str, *needs: str, instead: dict[str, str] | None = None, **extra
     def visit(name: str) -> None:
         if name in order:
             return
-        for dep in CTES[name][0]:
+        for dep in CTES[name][0] if name in CTES else ():
             visit(dep)
         order.append(name)
 
-    for name in needs:
+    # Names of ``extra`` may stand among the needs, where others build on them; the rest come last.
+    for name in (*needs, *extra):
         visit(name)
-    parts = [f"{n} AS ({instead.get(n, CTES[n][1]).strip()})" for n in order]
-    parts += [f"{n} AS ({text.strip()})" for n, text in extra.items()]
+    parts = [f"{n} AS ({instead.get(n, extra.get(n) or CTES[n][1]).strip()})" for n in order]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body.strip()

@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from emberframe.catalog import load_all  # noqa: E402
-from emberframe.session import build_session  # noqa: E402
+from emberframe.session import build_session, clear_scratch  # noqa: E402
 
 HEADLINE = (
     "new_growth_per_tile_day", "a1_rasterise_last", "a2_tile_fires", "a14_first_burn", "c31_growth_label",
@@ -41,6 +41,7 @@ def main() -> None:
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    clear_scratch(spark)
     spark.stop()
     sf = os.path.basename(sf_dir).removeprefix("sf")
     print(json.dumps({

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe import constants as k
@@ -73,28 +73,16 @@ def scenes_in_lookback(days: DataFrame, scenes: DataFrame, max_cloud: float = 10
     )
 
 
-def scene_order(cloud: Column, scene_id: Column) -> Column:
-    """Clear-to-cloudy order of scenes as one BIGINT.
-
-    Cloud cover in millionths of a percent (27 bits), then 36 bits of a hash of the id as tie-break.
-    A fixed-width order keeps the pixel aggregate a hash aggregate.
-    """
-    micro = F.round(cloud * 1e6).cast("bigint")
-    tie = F.conv(F.substring(F.md5(scene_id.cast("string")), 1, 9), 16, 10).cast("bigint")
-    return F.shiftleft(micro, 36).bitwiseOR(tie)
-
-
 def daily_mosaic(scenes: DataFrame, pixels: DataFrame) -> DataFrame:
     """First known value per tile, day, band and pixel, taking scenes from clear to cloudy.
 
     ``cloud`` is the cloud cover at which the pixel gets filled; a pixel no scene fills stays NULL.
-    The order is attached to the scene rows and compared inside the aggregate, which combines
-    before the shuffle: a day with very many scenes needs no sorted list of them.
+    Equally cloudy scenes keep the order of their ids. The rank is attached to the scene rows and compared inside the
+    aggregate, which combines before the shuffle: pixels are never sorted.
     """
     cloud = F.coalesce("cloud_cover", F.lit(100.0))
-    ordered = scenes.select(
-        "scene_id", *SCENE_DAY, cloud.alias("cloud_cover"), scene_order(cloud, F.col("scene_id")).alias("scene_order")
-    )
+    clear_first = Window.partitionBy(*SCENE_DAY).orderBy("cloud_cover", "scene_id")  # scenes of a day, not pixels
+    ordered = scenes.select("scene_id", *SCENE_DAY, cloud.alias("cloud_cover")).withColumn("scene_order", F.row_number().over(clear_first))
     known = F.col("value").isNotNull()
     return (
         pixels.join(ordered, "scene_id")

@@ -80,6 +80,10 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))][:k]
 
 
+def _others(found: np.ndarray, ids: np.ndarray, query: int) -> np.ndarray:
+    return found[ids[found] != query]
+
+
 def _products(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Inner products, each summed in the same order, so that equal vectors get equal scores."""
     return (rows * one).sum(axis=1)
@@ -95,7 +99,8 @@ def nearest(
     2. The radius is the one that holds ``target`` of the true neighbours of about ``calibration_queries`` queries, which
        are compared with all rows; so it follows the size and shape of the table.
     3. All rows are dealt into indexes of about 16 384 codes, all queries into blocks of about 2 048. Each block meets each index
-       in one task of bounded size, which reranks every code within the radius by the full vectors and keeps k per query.
+       in one task of bounded size, which reranks every code within the radius by the full vectors and keeps k per query; where
+       fewer than k are that near, the radius grows.
 
     Vectors that are null, zero, of another length than most or hold a null or non-finite component take no part, nor do
     rows without id; of rows that repeat an id one counts. Other columns are ignored.
@@ -128,8 +133,10 @@ def nearest(
             asked, first = np.unique(queries.column("vec_id").to_numpy(), return_index=True)
             values = _matrix(queries.column("v"))[first]
             for query, one, code in zip(asked, values, coder(values)):
-                found = index.within(code, radius)
-                found = found[ids[found] != query]
+                found, reach = _others(index.within(code, radius), ids, query), radius
+                while len(found) < k and reach < 8 * index.parts:  # a lonely query still gets k, or all there are
+                    reach += index.parts
+                    found = _others(index.within(code, reach), ids, query)
                 score = _products(rows[found], one)
                 best = _best(ids[found], score, k)
                 out.append((np.full(len(best), query), ids[found][best], score[best]))

@@ -146,6 +146,8 @@ def test_nearest_reaches_its_recall_with_exact_scores(spark, monkeypatch):
         score[q] = -np.inf
         hits += len({r["vec_id"] for r in found} & set(np.lexsort((np.arange(600), -score))[:10].tolist()))
     assert hits >= 0.9 * 10 * len(by_query)
+    lonely = frame.where("vec_id < 60").unionByName(spark.createDataFrame([(400, (-5 * data[0] - 7 * data[1]).tolist(), "x", 1)], frame.schema))
+    assert len([r for r in neighbours.nearest(lonely, "vec_id = 400", k=20, target=0.1).collect()]) == 20
     few = neighbours.nearest(frame.where("vec_id < 4"), "vec_id % 20 = 0", k=10).collect()
     assert [r["vec_id"] for r in few] and len(few) == 3
     assert neighbours.nearest(frame.limit(0), "true").count() == 0 and neighbours.nearest(frame, "vec_id = 999999").count() == 0

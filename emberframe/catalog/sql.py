@@ -149,18 +149,31 @@ CTES |= {
         ("s_second",),
         f"SELECT *, CASE WHEN count(*) OVER (PARTITION BY s1) < {k.MIN_STRATUM} THEN 'Large' ELSE s1 END AS stratum FROM s_second",
     ),
-    "ranked": (
+    # Places in proportion to the strata; the largest remainders get what the quotients leave.
+    "alloc": (
         ("stratified",),
-        """SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || super_id), super_id) AS rk,
-                  floor(count(*) OVER (PARTITION BY stratum) * 0.7e0 + 0.5e0) AS n_train,
-                  count(*) OVER (PARTITION BY stratum) AS n FROM stratified""",
+        """SELECT stratum, n, q + CASE WHEN row_number() OVER (ORDER BY r DESC, stratum) <= t - sum(q) OVER () THEN 1 ELSE 0 END AS n_train
+           FROM (SELECT stratum, n, t, n * t // big AS q, n * t % big AS r FROM (SELECT stratum, n, sum(n) OVER () AS big,
+                   sum(n) OVER () - cast(ceil(round(sum(n) OVER () * 3e-1, 6)) AS bigint) AS t
+                 FROM (SELECT stratum, count(*) AS n FROM stratified GROUP BY stratum) a) b) c""",
+    ),
+    "halves": (
+        ("alloc",),
+        """SELECT stratum, n, n_train, q + CASE WHEN row_number() OVER (ORDER BY r DESC, stratum) <= t - sum(q) OVER () THEN 1 ELSE 0 END AS n_val
+           FROM (SELECT *, rest * t // big AS q, rest * t % big AS r FROM (SELECT *, n - n_train AS rest, greatest(sum(n - n_train) OVER (), 1) AS big,
+                   sum(n - n_train) OVER () // 2 AS t FROM alloc) b) c""",
+    ),
+    "ranked": (
+        ("stratified", "halves"),
+        """SELECT s.*, row_number() OVER (PARTITION BY s.stratum ORDER BY md5('42|' || super_id), super_id) AS rk, n_train, n_val, n
+           FROM stratified s JOIN halves h ON h.stratum = s.stratum""",
     ),
     "rare": (("ranked",), "SELECT coalesce(max(CASE WHEN n - n_train = 1 THEN 1 ELSE 0 END), 0) AS rare FROM ranked"),
     "split": (
         ("ranked", "rare"),
         """SELECT super_id, stratum, CASE WHEN rk <= n_train THEN 'train'
                   WHEN rare = 1 AND rest_rk <= floor(n_rest / 2) THEN 'val'
-                  WHEN rare = 0 AND rk - n_train <= floor((n - n_train) / 2) THEN 'val' ELSE 'test' END AS split
+                  WHEN rare = 0 AND rk - n_train <= n_val THEN 'val' ELSE 'test' END AS split
            FROM (SELECT *, row_number() OVER (PARTITION BY rk <= n_train ORDER BY md5('42|' || super_id), super_id) AS rest_rk,
                         count(*) OVER (PARTITION BY rk <= n_train) AS n_rest FROM ranked) q, rare""",
     ),

@@ -67,9 +67,22 @@ def strata(binned: DataFrame, smallest: int = k.MIN_STRATUM) -> DataFrame:
     return _fall_back(labelled, "stratum", F.lit(k.FALLBACK_STRATUM), smallest)
 
 
+def _largest_remainder(counts: DataFrame, size: str, total: Column, out: str) -> DataFrame:
+    """Deal ``total`` places to strata in proportion to ``size``; the largest remainders get what the quotients leave."""
+    every = Window.partitionBy()  # one row per stratum: at most 17
+    share = F.col(size) * total
+    whole = F.greatest(F.sum(size).over(every), F.lit(1))
+    dealt = counts.withColumns({"_total": total, "_q": F.floor(share / whole), "_r": share % whole})
+    order = F.row_number().over(Window.orderBy(F.desc("_r"), "stratum"))
+    dealt = dealt.withColumn(out, F.col("_q") + (order <= F.col("_total") - F.sum("_q").over(every)).cast("bigint"))
+    return dealt.drop("_total", "_q", "_r")
+
+
 def stratified_split(stratified: DataFrame, train: float = 0.7, seed: int = 42, key: str = "super_id") -> DataFrame:
     """Add ``split``: hash order decides within each stratum; the rest is halved into val and test.
 
+    The totals are fixed (the held-out part and the test half are rounded up) and dealt to the strata by largest remainder.
+
     If a stratum leaves fewer than two members for val and test, those two are split without strata.
     """
     stratified = cut_lineage(stratified)
@@ -77,20 +90,21 @@ def stratified_split(stratified: DataFrame, train: float = 0.7, seed: int = 42,
     counts = stratified.groupBy("stratum").agg(F.count("*").alias("_n"))
     every = Window.partitionBy()
     # one row per stratum: at most 17
+    held_out = F.ceil(F.round(F.sum("_n").over(every) * F.lit(1 - train), 6))
+    plan = _largest_remainder(counts, "_n", F.sum("_n").over(every) - held_out, "_train")
     plan = (
-        counts.withColumn("_train", F.floor(F.col("_n") * train + 0.5))
-        .withColumn("_rest", F.col("_n") - F.col("_train"))
+        plan.withColumn("_rest", F.col("_n") - F.col("_train"))
         .withColumn("_rare", F.max(F.col("_rest").between(1, 1)).over(every))
         .withColumn("_all_rest", F.sum("_rest").over(every))
     )
+    plan = _largest_remainder(plan, "_rest", F.floor(F.col("_all_rest") / 2), "_val")
     placed = ranked.join(F.broadcast(plan), "stratum")
     in_train = F.col("_rank") <= F.col("_train")
     rest = ranking.rank_by_hash(
         placed.where(~in_train).withColumn("_any", F.lit(1)), ["_any"], order_hash(seed, F.col(key)), [key], "_rest_rank"
     ).drop("_any")
-    half_of = lambda n: F.floor(n / F.lit(2))
-    by_stratum = F.col("_rank") - F.col("_train") <= half_of(F.col("_rest"))
-    overall = F.col("_rest_rank") <= half_of(F.col("_all_rest"))
+    by_stratum = F.col("_rank") - F.col("_train") <= F.col("_val")
+    overall = F.col("_rest_rank") <= F.floor(F.col("_all_rest") / 2)
     is_val = F.when(F.col("_rare"), overall).otherwise(by_stratum)
     out = [c for c in stratified.columns]
     return (

@@ -143,8 +143,9 @@ def with_time_zone(df: DataFrame, regions: DataFrame, default: str = "UTC") -> D
     cells = regions.select(
         box.alias("z"), F.explode(F.sequence(F.floor("lon_min"), F.ceil("lon_max") - 1)).alias("_cell")
     ).groupBy("_cell").agg(F.collect_list("z").alias("_boxes"))
+    north = F.col("lat") if "lat" in df.columns else F.lit(0.0)
     inside = lambda z: (
-        (F.col("lon") >= z["lon_min"]) & (F.col("lon") < z["lon_max"]) & (F.col("lat") >= z["lat_min"]) & (F.col("lat") < z["lat_max"])
+        (F.col("lon") >= z["lon_min"]) & (F.col("lon") < z["lon_max"]) & (north >= z["lat_min"]) & (north < z["lat_max"])
     )
     # Time zones are a fixed list: some hundred boxes in at most 360 rows.
     joined = df.withColumn("_cell", F.floor("lon")).join(F.broadcast(cells), "_cell", "left")

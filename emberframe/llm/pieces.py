@@ -11,11 +11,35 @@ from pyspark.sql import DataFrame
 
 from emberframe.llm.text import mix
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+ROWS = 512  # texts that are held as strings at once
 ENCODED = "doc_id long, sample int, ids binary, n_pieces long, log_prob double, gumbel double, inclusion double"
 _LINE, _BLANK = 10, 32
 
 
+class PieceBytes:
+    """The bytes that each piece stands for."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        data = []
+        for i in range(model.get_piece_size()):
+            if model.is_byte(i):
+                data.append(bytes([int(model.id_to_piece(i)[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                data.append(b"")
+            else:
+                data.append(model.id_to_piece(i).replace("▁", " ").encode())
+        self.length = np.array([len(b) for b in data])
+        self.flat, self.start = np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum(self.length)[:-1]]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the text, without the blank that encoding puts in front."""
+        return self.flat[_within(self.start[ids], self.length[ids])].tobytes()[1:]
+
+
 class Vocabulary:
     """Pieces as a trie over code points, with log probabilities.
 
@@ -30,16 +54,13 @@ class Vocabulary:
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self.byte_id = np.zeros(256, np.int64)
-        self.bytes: list[bytes] = [b""] * size
         plain: dict[str, int] = {}
         for i in range(size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
-                self.bytes[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain[piece.replace("▁", " ")] = i
-                self.bytes[i] = piece.replace("▁", " ").encode()
         weight = {i: 1.0 / (2.0 - model.get_score(i)) for i in plain.values()}
         last = min(weight.values())
         total = sum(weight.values()) + 256 * last
@@ -63,9 +84,6 @@ class Vocabulary:
                 self.low[node, c] = to
         self.high = np.array([k for k, _ in high] or [-1]), np.array([v for _, v in high] or [0])
         self.longest = max(map(len, plain))
-        lengths = np.array([len(b) for b in self.bytes])
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.flat_start, self.flat_length = np.r_[0, np.cumsum(lengths)[:-1]], lengths
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Next nodes; 0 where the trie ends."""
@@ -76,12 +94,10 @@ class Vocabulary:
             out[far] = np.where(self.high[0][at] == key, self.high[1][at], 0)
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the text, without the blank that encoding puts in front."""
-        length = self.flat_length[ids]
-        ends = np.cumsum(length)
-        at = np.repeat(self.flat_start[ids] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at].tobytes()[1:]
+
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> PieceBytes:
+    return PieceBytes(path)
 
 
 @lru_cache(maxsize=2)
@@ -324,7 +340,7 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             ends = np.cumsum([len(t) + 1 for t in texts])
             first = 0
@@ -363,8 +379,8 @@ def decode(encoded: DataFrame, model_path: str, *, ids_column: str = "ids") -> D
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
-        for batch in batches:
+        vocab = piece_bytes(model_path)
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             text = [None if x is None else vocab.decode(np.frombuffer(x, "<u4")) for x in batch.column(ids_column).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + [pa.array(text, pa.binary())], names=[f.name for f in kept] + ["decoded"]

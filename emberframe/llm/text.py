@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 
 _WHITE = np.zeros(256, dtype=bool)

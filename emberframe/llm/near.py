@@ -6,18 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm.text import chunks, shingles, words
 from emberframe.operators.graph import connected_components
 from emberframe.session import cut_lineage
 
-HASHES = 96  # values of a signature
-TREES = 24  # signature orders
+HASHES = 128  # values of a signature
+TREES = 48  # signature orders
 DEPTH = 8  # values of an order
 FLOOR = 3  # values that neighbours share at least
 REACH = 6  # neighbours on each side in an order
+BEST = 3  # most similar partners of a set that are confirmed first
 VISITORS = 1000  # texts that one copy of another is held against
 SLACK = 4.5  # standard deviations that the estimate may fall below the threshold
 
@@ -65,12 +66,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document and order: its first values (head), the order's values as two sortable longs, and a 96-bit sketch."""
+    """A row per document and order: its first values (head), the order's values as two sortable longs, and one bit of each value."""
     for batch in batches:
         for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
             values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(-1, HASHES).astype(np.uint64)
-            weight = np.uint64(1) << np.arange(48, dtype=np.uint64)
-            bits = [((values[:, k : k + 48] & np.uint64(1)) * weight).sum(axis=1).astype(np.int64) for k in (0, 48)]
+            weight = np.uint64(1) << np.arange(HASHES // 2, dtype=np.uint64)
+            bits = [((values[:, k : k + HASHES // 2] & np.uint64(1)) * weight).sum(axis=1).view(np.int64) for k in (0, HASHES // 2)]
             for tree, order in enumerate(_ORDERS):
                 levels = values[:, order]
                 packed = [sum(levels[:, s + k] << np.uint64(48 - 16 * k) for k in range(4)).view(np.int64) for s in (0, 4)]
@@ -103,7 +104,7 @@ def _neighbours(similarity: float):
                 small, large = np.minimum(one[2], other[2]), np.maximum(one[2], other[2])
                 ok &= small >= similarity * large
                 at = np.flatnonzero(ok)
-                same = HASHES - np.bitwise_count(one[3:, at] ^ other[3:, at]).sum(axis=0, dtype=np.int64)
+                same = HASHES - np.bitwise_count((one[3:, at] ^ other[3:, at]).view(np.uint64)).sum(axis=0, dtype=np.int64)
                 at, same = at[same >= least], same[same >= least]
                 out.append((np.minimum(one[1, at], other[1, at]), np.maximum(one[1, at], other[1, at]), same))
             held = rows[:, -REACH:]
@@ -139,23 +140,23 @@ def _compare(percent: int):
     return run
 
 
-def meet(docs: DataFrame, pairs: DataFrame, *carried: str) -> DataFrame:
-    """Rows (key, salt, visit, doc_id, text, carried) sorted so that the text of ``a`` comes first, then those of all its ``b``.
+def meet(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (key, salt, visit, doc_id, text) sorted so that the text of ``a`` comes first, then those of all its ``b``.
 
     Texts travel, not sets: they compress better. One text waits in memory while the others stream past it, however many
     there are; one with many visitors is dealt out with a copy per VISITORS of them.
     """
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("copies"))
-    none = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried]
+    load = pairs.groupBy(F.col("a").alias("owner")).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("copies"))
     owners = load.select(
-        F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
-        F.lit(0).alias("visit"), *none,
+        F.col("owner").alias("doc_id"), F.col("owner").alias("key"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
+        F.lit(0).alias("visit"),
     )
-    visitors = pairs.join(load, "a").select(
+    visitors = pairs.join(load, F.col("a") == F.col("owner")).select(
         F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"),
-        F.lit(1).alias("visit"), *carried,
+        F.lit(1).alias("visit"),
     )
-    met = docs.join(owners.unionByName(visitors), "doc_id").select("key", "salt", "visit", "doc_id", "text", *carried)
+    # Merged at every size: a small list of pairs would otherwise be broadcast and the plan change as tables grow.
+    met = docs.hint("merge").join(owners.unionByName(visitors), "doc_id").select("key", "salt", "visit", "doc_id", "text")
     return met.repartition("key", "salt").sortWithinPartitions("key", "salt", "visit", "doc_id")
 
 
@@ -168,10 +169,10 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     """doc_id, n_shingles, component_id, kept: components of documents whose shingle sets have a Jaccard similarity of percent / 100.
 
     1. One pass makes a signature per document; equal sets (128-bit marks of the whole set) collapse to their smallest id.
-    2. Every set stands in 24 sorted orders of its signature. Sets that share the first 3 values of an order and
+    2. Every set stands in 48 sorted orders of its signature. Sets that share the first 3 values of an order and
        stand at most 6 places apart are candidates. A crowded region deepens: sorting puts the longest common
        prefixes next to each other.
-    3. Candidates are confirmed on whole sets, first each set's most similar partner; after that only
+    3. Candidates are confirmed on whole sets, first each set's three most similar partners; after that only
        pairs that those links leave in different components, since others cannot change a component.
 
     A text with fewer than five words is one shingle; a null, empty or blank text has none and stands alone. A row without id
@@ -192,7 +193,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     pairs = cut_lineage(near.groupBy("a", "b").agg(F.max("same").alias("same")), "candidates")
 
     both = pairs.select(F.col("a").alias("x"), "b", "a", "same").unionByName(pairs.select(F.col("b").alias("x"), "b", "a", "same"))
-    best = both.groupBy("x").agg(F.max(F.struct("same", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    order = Window.partitionBy("x").orderBy(F.desc("same"), "a", "b")  # at most 2 * TREES * REACH rows
+    best = cut_lineage(both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= BEST).select("a", "b").distinct(), "best")
     first = cut_lineage(confirm(whole, best, percent), "links")
     joined = _labels(pairs, first)
     open_pairs = (
@@ -200,7 +202,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         .join(joined.select(F.col("id").alias("b"), F.col("super_id").alias("cb")), "b")
         .where("ca <> cb").select("a", "b")
     )
-    second = cut_lineage(confirm(whole, open_pairs.join(best, ["a", "b"], "left_anti"), percent), "links")
+    rest = cut_lineage(open_pairs.join(best, ["a", "b"], "left_anti"), "open")
+    second = cut_lineage(confirm(whole, rest, percent), "links")
     final = _labels(pairs, first.unionByName(second))
     labelled = members.join(final, F.col("rep") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("super_id", "rep").alias("component_id")

@@ -17,9 +17,11 @@ from emberframe.session import cut_lineage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the base rule and the learned decision list keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    nested = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"))
-    judged, _ = rules.apply_rules(nested, labels, keep=("doc_id", "row"))
-    return judged.where("kept").select("row.*")
+    # The list is learned from a table of statistics alone; texts are not written for it, their statistics are counted again.
+    stats = cut_lineage(rules.text_statistics(docs), "statistics")
+    learned = rules.learn_decision_list(stats.where(~rules.base_failed()), labels)
+    nested = rules.text_statistics(docs.select("text", F.struct(*docs.columns).alias("row")), keep=("row",))
+    return nested.where(~rules.base_failed() & ~learned.rejects()).select("row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stats = cut_lineage(rules.text_statistics(docs), "statistics")
     learned = rules.learn_decision_list(stats.where(~rules.base_failed()), labels)
     nested = rules.text_statistics(docs.select("text", F.struct(*docs.columns).alias("row")), keep=("row",))
-    return nested.where(~rules.base_failed() & ~learned.rejects()).select("row.*")
+    # The row number keeps the conditions from being pushed below the statistics, where each would count them anew.
+    nested = nested.withColumn("_place", F.monotonically_increasing_id())
+    return nested.where((F.col("_place") >= 0) & ~rules.base_failed() & ~learned.rejects()).select("row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

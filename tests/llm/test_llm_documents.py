@@ -10,10 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from emberframe.llm import lm, near, packing, passages, pieces, rules, substrings
+from emberframe.llm import text as text_module
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, key long, row string, rep long, n_words int, same string, part string, block string"
@@ -235,6 +237,35 @@ def test_passages_are_found_and_nothing_else(docs, rows, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def fresh_words(seed: int, n: int) -> list[str]:
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+
+
+def covered(got, doc: int) -> set[int]:
+    return {w for r in got if r["doc_id"] == doc for w in range(r["start_word"], r["start_word"] + r["n_words"])}
+
+
+def test_passages_repeated_within_a_document_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(passages, "chunks", lambda batch, text: text_module.chunks(batch, text, 1))  # a document per chunk
+    passage = fresh_words(1, 60)
+    twice = passage + fresh_words(2, 3000) + passage
+    some = [(1, " ".join(passage)), (2, " ".join(twice))]
+    got = passages.repeated_passages(spark.createDataFrame(some, "doc_id long, text string").coalesce(1)).collect()
+    assert covered(got, 2) >= {*range(60), *range(3060, 3120)}
+
+
+def test_windows_keep_every_range_of_a_signature():
+    passage = fresh_words(1, 60)
+    some = [(1, " ".join(passage + fresh_words(2, 700) + passage)), (2, " ".join(passage)), (3, " ".join(passage))]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in some]), pa.array([t for _, t in some])], names=["doc_id", "text"])
+    rows = [r for b in passages._windows(46)(iter([batch])) for r in b.to_pylist()]
+    assert max(r["r"] for r in rows if r["doc_id"] == 1 and r["l"] < 60) > 760
+    # The same content leaves as a link to its first document, which is sent itself.
+    assert {r["other"] for r in rows if r["doc_id"] == 3} == {2}
+    assert {r["other"] for r in rows if r["doc_id"] == 2} == {None}
+
+
 def test_removed_passages_leave_the_rest(docs, rows, spark):
     spans = spark.createDataFrame([(3, 1, 2, 0, 0), (3, 2, 3, 0, 0), (95, 0, 3, 1, 0), (92, 0, 1, 1, 0)], "doc_id long, start_word long, n_words long, source_id long, source_word long")
     cut = passages.remove_passages(docs, spans)

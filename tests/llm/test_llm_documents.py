@@ -266,6 +266,24 @@ def test_windows_keep_every_range_of_a_signature():
     assert {r["other"] for r in rows if r["doc_id"] == 2} == {None}
 
 
+def stretches(one: list[str], other: list[str]) -> list[tuple[int, int, int]]:
+    value = lambda w: text_module.shingles(*text_module.words(np.frombuffer(t := " ".join(w).encode(), np.uint8), np.array([0, len(t)]))[:2])[0]
+    return passages.matches(value(one), value(other), 46, 40)
+
+
+def test_matches_count_every_place_of_a_shingle():
+    sentence, passage = fresh_words(3, 11), fresh_words(4, 39)
+    text = passage[:20] + sentence + passage[20:]
+    assert stretches(sentence + fresh_words(5, 30) + text, text) == [(0, 46, 41)]
+    refrain = fresh_words(6, 5) * 12
+    assert stretches(refrain, refrain) == [(0, 56, 0)]
+    assert stretches(fresh_words(7, 20) + refrain, fresh_words(8, 40) + refrain + fresh_words(9, 40))[0][2] in range(14, 21)
+    same = ["ab"] * 9000  # one value, convolved
+    assert stretches(same, same) == [(0, 8996, 0)]
+    found = stretches(["ab"] * 60, same)  # a short source covers a long run piece by piece
+    assert {w for s, n, _ in found for w in range(s, s + n)} == set(range(8996))
+
+
 def test_removed_passages_leave_the_rest(docs, rows, spark):
     spans = spark.createDataFrame([(3, 1, 2, 0, 0), (3, 2, 3, 0, 0), (95, 0, 3, 1, 0), (92, 0, 1, 1, 0)], "doc_id long, start_word long, n_words long, source_id long, source_word long")
     cut = passages.remove_passages(docs, spans)

@@ -76,12 +76,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
     replies = chat.expand_prefix_targets(formatted).groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("position", chat.unescape(F.col("reply")).alias("reply")))).alias("replies")
-    ).select("conv_id", F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("trained"))
+        F.sort_array(F.collect_list(F.struct("position", chat.unescape(F.col("reply")).alias("reply")))).alias("replies"),
+        F.sum(F.crc32(F.col("context").cast("binary"))).alias("contexts"),
+    ).select("conv_id", F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("trained"), "contexts")
     trained = F.coalesce("trained", F.lit(""))
     return whole.join(replies, whole["conv_id"].eqNullSafe(replies["conv_id"]), "left").select(
         whole["conv_id"], "n_turns", "turns_sha256", F.length(trained).cast("long").alias("loss_chars"),
-        F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars",
+        F.sha2(trained, 256).alias("loss_sha256"), "formatted_chars", F.coalesce("contexts", F.lit(0)).alias("contexts_crc32"),
     )
 
 

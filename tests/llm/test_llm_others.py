@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -117,6 +118,18 @@ def test_chat_reads_back_and_trains_each_reply_once(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_chat_query_reads_every_context(spark, tmp_path):
+    from emberframe.llm.queries import QUERIES
+
+    turns = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["contexts_crc32"] for r in QUERIES["op9_chat_prefix_targets"](spark, str(tmp_path)).collect() if r["conv_id"] != -1}
+    want = dict.fromkeys({c[0] for c in CHATS}, 0)
+    for r in chat.expand_prefix_targets(chat.format_conversations(turns)).collect():
+        want[r["conv_id"]] += zlib.crc32(r["context"].encode())
+    assert got == want and any(want.values())
+
+
 def _vectors(n=600, dim=24, seed=2):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, dim))

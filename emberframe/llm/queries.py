@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.llm import chat, lm, near, neighbours, packing, passages, pieces, rules, substrings, warc
+from emberframe.llm import (
+    chat, lm, near, negatives, neighbours, packing, passages, pieces, repair, rules, substrings, topk, warc,
+)
 from emberframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +115,123 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0").select("query_id", "rank", "vec_id", "score")
 
 
+def _repair_sql() -> str:
+    """The cheapest repair as a recursion over the rows of all conversations: per state (e nothing yet, s, ..u, ..a) the least
+    (cost, audit)."""
+    add = lambda x, cost, letter: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}'}}"
+    least = lambda *options: f"list_sort([{', '.join(options)}])[1]"
+    never = 1_000_000_000
+    reroled = f"(CASE WHEN dead THEN {never} ELSE 3 + surcharge END)"
+    kept = lambda initial: f"(CASE WHEN NOT dead AND initial = '{initial}' THEN surcharge ELSE {never} END)"
+    to_user = [add(x, cost, letter) for x in "esa" for cost, letter in ((reroled, "R"), (kept("u"), "K"))]
+    inserted = f"""
+      SELECT conv_id, i, e, s, u, {least("a", add("u", 3, "I"))} AS a
+      FROM (SELECT conv_id, i, e, s, a, {least("u", add("e", 3, "I"), add("s", 3, "I"), add("a", 3, "I"))} AS u FROM stepped)"""
+    step = f"""
+      SELECT dp.conv_id, dp.i + 1 AS i, {add("e", 4, "D")} AS e,
+             {least(add("s", 4, "D"), add("e", kept("s"), "K"))} AS s, {least(add("u", 4, "D"), *to_user)} AS u,
+             {least(add("a", 4, "D"), add("u", reroled, "R"), add("u", kept("a"), "K"))} AS a
+      FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1"""
+    none = f"{{'c': {never}, 'a': ''}}"
+    return f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda c: CAST(ascii(c) AS BIGINT)) AS key FROM conversations),
+c AS (
+  SELECT *, xor(list_reduce(key, lambda crc, byte: list_reduce(range(8), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)), 4294967295),
+                4294967295) % 20 AS damage FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+         CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN damage = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM c WHERE damage <> 0),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1
+                 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 2
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 3 ELSE 0 END AS fault,
+         row_number() OVER o AS i, left(role, 1) AS initial,
+         CASE WHEN row_number() OVER o > 1 THEN coalesce(lag(left(role, 1)) OVER o, '') || left(role, 1) END AS pair
+  FROM d WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+r AS (SELECT *, fault IN (1, 2) AS dead, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS surcharge FROM f),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+         count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS e, {{'c': CAST({never} AS BIGINT), 'a': ''}} AS s,
+         {{'c': CAST(3 AS BIGINT), 'a': 'I'}} AS u, {{'c': CAST(6 AS BIGINT), 'a': 'II'}} AS a FROM n
+  UNION ALL
+  SELECT * FROM (WITH stepped AS ({step}) {inserted})),
+b AS (
+  SELECT n.*, {least("e", "a")} AS best FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i),
+w AS (SELECT conv_id, best.a AS audit, unnest(range(1, len(best.a) + 1)) AS p FROM b),
+x AS (
+  SELECT w.conv_id, p, audit[p] AS letter, r.role, r.text, r.initial,
+         row_number() OVER (PARTITION BY w.conv_id ORDER BY p) AS q
+  FROM w LEFT JOIN r ON audit[p] <> 'I' AND r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = p - len(regexp_replace(audit[:p], '[^I]', '', 'g'))
+  WHERE audit[p] <> 'D'),
+y AS (SELECT *, coalesce(max(CASE WHEN q = 1 AND letter = 'K' AND initial = 's' THEN 1 END) OVER (PARTITION BY conv_id), 0) AS opened FROM x),
+z AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (q - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY q)) AS digest FROM y GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op11_branch_and_bound", oracle=_repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    plans, repaired = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), present="present")
+    hashed = repair.digests(repaired).withColumnRenamed("conv_id", "id")
+    return plans.join(hashed, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+#: Rows of ``embeddings`` that take part in integer scores, with their integer components.
+_INTEGERS = """
+SELECT vec_id, label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains([x IS NULL OR NOT isfinite(x) FOR x IN embedding], true)
+"""
+
+
+@query("op12_segment_bounds", oracle=f"""
+WITH e AS ({_INTEGERS}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM e AS q JOIN e AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@query("op13_four_russians", oracle=f"""
+WITH e AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label
+           FROM ({_INTEGERS}) WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM e AS a JOIN e AS c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives of each of five positives of every vector whose id is divisible by 50."""
+    relabelled = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END")
+    )
+    return negatives.hard_negatives(relabelled, "vec_id % 50 = 0")
+
+
 @query("op6_stupid_backoff", oracle="""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

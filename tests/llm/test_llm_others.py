@@ -196,5 +196,5 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
 def test_queries_are_registered():
     from emberframe.llm.queries import ORACLES, QUERIES
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} | {"pipeline"}
     assert set(ORACLES) <= set(QUERIES)

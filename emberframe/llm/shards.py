@@ -72,7 +72,7 @@ def meet(
                 if at != part[0]:
                     at, held, index = part[0], [], None
                 if part[1] == 0:
-                    first = extra[bounds[use]] if len(extra) else np.zeros(len(use), np.int64)
+                    first = np.where(bounds[use + 1] > bounds[use], np.r_[extra, 0][bounds[use]], 0)
                     held.append((ids[use], values[use], first))
                 elif held and len(use):
                     if index is None:

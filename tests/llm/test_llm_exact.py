@@ -166,6 +166,14 @@ def small_shards(monkeypatch):
     monkeypatch.setattr(shards, "LEAST_SHARD_ROWS", 90)
 
 
+def test_rows_without_extra_after_queries_with_it(spark, small_shards):
+    data, _, rows = vectors()
+    frame = spark.createDataFrame(rows, FIELDS).where("vec_id < 400")
+    got = topk.top_k(frame.coalesce(1), "vec_id = 7").collect()  # one query: batches hold shards with and without it
+    score = integer_scores(data)[7]
+    assert [r["vec_id"] for r in got] == [int(i) for i in np.lexsort((np.arange(400), -score)) if i != 7][:5]
+
+
 def test_top_k_is_exact(spark, small_shards):
     data, _, rows = vectors()
     frame = spark.createDataFrame(rows, FIELDS)

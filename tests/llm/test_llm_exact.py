@@ -166,12 +166,17 @@ def small_shards(monkeypatch):
     monkeypatch.setattr(shards, "LEAST_SHARD_ROWS", 90)
 
 
-def test_rows_without_extra_after_queries_with_it(spark, small_shards):
+def test_batches_may_end_anywhere(spark, small_shards):
+    """A batch may end in the rows of a shard, after the queries of another."""
     data, _, rows = vectors()
-    frame = spark.createDataFrame(rows, FIELDS).where("vec_id < 400")
-    got = topk.top_k(frame.coalesce(1), "vec_id = 7").collect()  # one query: batches hold shards with and without it
-    score = integer_scores(data)[7]
-    assert [r["vec_id"] for r in got] == [int(i) for i in np.lexsort((np.arange(400), -score)) if i != 7][:5]
+    frame, score = spark.createDataFrame(rows, FIELDS).where("vec_id < 400"), integer_scores(data)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = topk.top_k(frame, "vec_id % 100 = 7").orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [[int(i) for i in np.lexsort((np.arange(400), -score[q])) if i != q][:5] for q in range(7, 400, 100)]
+    assert [r["vec_id"] for r in got] == sum(want, [])
 
 
 def test_top_k_is_exact(spark, small_shards):

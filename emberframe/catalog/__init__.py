@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("points", "environment", "imagery", "pixels", "scores", "flows")
+MODULES = ("points", "environment", "imagery", "pixels", "scores", "flows", "spatial")
 
 
 def load_all():

@@ -115,6 +115,33 @@ SELECT name, lon_min, lon_max, lat_min, lat_max FROM (VALUES ('America/Vancouver
        AS t(name, lon_min, lon_max, lat_min, lat_max)
 """
 
+# Concave regions, a hole in the first one and an island of another zone inside that hole.
+TZ_POLYGON = """
+SELECT name, cast(ring AS int) AS ring, cast(seq AS int) AS seq, lon, lat FROM (VALUES
+       ('America/Vancouver', 0, 0, -125e0, 55e0), ('America/Vancouver', 0, 1, -1215e-1, 55e0), ('America/Vancouver', 0, 2, -1215e-1, 564e-1),
+       ('America/Vancouver', 0, 3, -1226e-1, 569e-1), ('America/Vancouver', 0, 4, -122e0, 572e-1), ('America/Vancouver', 0, 5, -123e0, 58e0),
+       ('America/Vancouver', 0, 6, -125e0, 58e0), ('America/Vancouver', 1, 0, -1239e-1, 562e-1), ('America/Vancouver', 1, 1, -1232e-1, 562e-1),
+       ('America/Vancouver', 1, 2, -1232e-1, 57e0), ('America/Vancouver', 1, 3, -1236e-1, 5645e-2), ('America/Vancouver', 1, 4, -1239e-1, 57e0),
+       ('America/Edmonton', 0, 0, -1215e-1, 55e0), ('America/Edmonton', 0, 1, -119e0, 55e0), ('America/Edmonton', 0, 2, -119e0, 573e-1),
+       ('America/Edmonton', 0, 3, -1205e-1, 566e-1), ('America/Edmonton', 0, 4, -1215e-1, 564e-1),
+       ('America/Whitehorse', 0, 0, -1238e-1, 5625e-2), ('America/Whitehorse', 0, 1, -1234e-1, 5625e-2), ('America/Whitehorse', 0, 2, -1234e-1, 564e-1))
+       AS t(name, ring, seq, lon, lat)
+"""
+
+# Footprints as oblique quadrangles, one row per corner.
+FOOTPRINT_RING = """
+SELECT o_orderkey AS scene_id, cast(o_orderdate AS date) AS acq_date, cast(seq AS int) AS seq,
+       -124e0 + (o_custkey % 40) / 1e1 + dx AS lon, 56e0 + (o_orderkey % 15) / 1e1 + dy AS lat
+FROM {orders} CROSS JOIN (VALUES (0, -22e-2, -2e-2), (1, 3e-2, -19e-2), (2, 21e-2, 4e-2), (3, -2e-2, 17e-2)) AS c(seq, dx, dy)
+"""
+
+# Stations lie anywhere, thinly in the west and densely in the east.
+STATION = """
+SELECT c_custkey AS station, -119e0 - sqrt((c_custkey * 7919) % 10007 / 10007e0) * 5e0 * ((c_custkey * 31) % 103 / 103e0) AS lon,
+       56e0 + (c_custkey * 104729) % 15013 / 1e4 AS lat, c_acctbal AS reading
+FROM {customer}
+"""
+
 TEXTS: dict[str, str | dict[str, str]] = {
     "burn_points": BURN_POINTS,
     "weather_hourly": WEATHER_HOURLY,
@@ -128,8 +155,11 @@ TEXTS: dict[str, str | dict[str, str]] = {
     "metrics": METRICS,
     "status": STATUS,
     "tz_region": TZ_REGION,
+    "tz_polygon": TZ_POLYGON,
+    "footprint_ring": FOOTPRINT_RING,
+    "station": STATION,
 }
-_SOURCES = ("lineitem", "events", "orders", "embeddings")
+_SOURCES = ("lineitem", "events", "orders", "embeddings", "customer")
 
 
 def _text(name: str, engine: str) -> str:

@@ -337,21 +337,34 @@ def r4_larger(spark, d):
     return stencil.fill_holes(burned(spark, d), DAY, 3, SIDE)
 
 
-def _at(dy: int, dx: int) -> str:
-    return f"max(CASE WHEN dy = {dy} AND dx = {dx} THEN coalesce(v, centre) END) * 100"
-
-
-_DX = f"({_at(-1, 1)} + 2 * {_at(0, 1)} + {_at(1, 1)}) - ({_at(-1, -1)} + 2 * {_at(0, -1)} + {_at(1, -1)})"
-_DY = f"({_at(1, -1)} + 2 * {_at(1, 0)} + {_at(1, 1)}) - ({_at(-1, -1)} + 2 * {_at(-1, 0)} + {_at(-1, 1)})"
-HORN = f"SELECT vec_id, pixel_y, pixel_x, {_DX} AS dx, {_DY} AS dy FROM around GROUP BY ALL"
+# The nine heights of each window: n<row><column> for offsets m (-1), z (0), p (1).
+_WINDOW = ", ".join(
+    f"max(CASE WHEN dy = {dy} AND dx = {dx} THEN v END) * 100 AS n{'mzp'[dy + 1]}{'mzp'[dx + 1]}" for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+)
+WINDOW = f"SELECT vec_id, pixel_y, pixel_x, centre * 100 AS c, {_WINDOW} FROM around GROUP BY ALL"
+# In the first and last row, columns outside repeat the edge and rows outside go on in a line; elsewhere columns go on in a line.
+SIDED = """SELECT vec_id, pixel_y, pixel_x, c,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 0 THEN nmz ELSE nmm END WHEN pixel_x = 0 THEN 2 * nmz - nmp ELSE nmm END AS mm, nmz AS mz,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 7 THEN nmz ELSE nmp END WHEN pixel_x = 7 THEN 2 * nmz - nmm ELSE nmp END AS mp,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 0 THEN nzz ELSE nzm END WHEN pixel_x = 0 THEN 2 * nzz - nzp ELSE nzm END AS zm, nzz AS zz,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 7 THEN nzz ELSE nzp END WHEN pixel_x = 7 THEN 2 * nzz - nzm ELSE nzp END AS zp,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 0 THEN npz ELSE npm END WHEN pixel_x = 0 THEN 2 * npz - npp ELSE npm END AS pm, npz AS pz,
+    CASE WHEN pixel_y IN (0, 7) THEN CASE WHEN pixel_x = 7 THEN npz ELSE npp END WHEN pixel_x = 7 THEN 2 * npz - npm ELSE npp END AS pp
+    FROM windows"""
+FILLED = """SELECT vec_id, pixel_y, pixel_x, coalesce(zm, c) AS zm, coalesce(zp, c) AS zp,
+    coalesce(CASE WHEN pixel_y = 0 THEN 2 * zm - pm ELSE mm END, c) AS mm, coalesce(CASE WHEN pixel_y = 0 THEN 2 * zz - pz ELSE mz END, c) AS mz,
+    coalesce(CASE WHEN pixel_y = 0 THEN 2 * zp - pp ELSE mp END, c) AS mp, coalesce(CASE WHEN pixel_y = 7 THEN 2 * zm - mm ELSE pm END, c) AS pm,
+    coalesce(CASE WHEN pixel_y = 7 THEN 2 * zz - mz ELSE pz END, c) AS pz, coalesce(CASE WHEN pixel_y = 7 THEN 2 * zp - mp ELSE pp END, c) AS pp FROM sided"""
+HORN = "SELECT vec_id, pixel_y, pixel_x, (mp + 2 * zp + pp) - (mm + 2 * zm + pm) AS dx, (pm + 2 * pz + pp) - (mm + 2 * mz + mp) AS dy FROM filled"
+_HORN = {"around": AROUND, "windows": WINDOW, "sided": SIDED, "filled": FILLED, "horn": HORN}
 
 
 def _terrain(spark, d) -> DataFrame:
     heights = raster(spark, d).withColumn("dem", F.col("v") * 100)
-    return stencil.slope_aspect(heights, "dem", DAY, 90.0)
+    return stencil.slope_aspect(heights, "dem", DAY, 90.0, SIDE)
 
 
-@register("r5_slope", query(f"SELECT vec_id, pixel_y, pixel_x, {R('degrees(atan(sqrt(dx * dx + dy * dy) / 72e1))')} AS slope FROM horn", "raster", around=AROUND, horn=HORN))
+@register("r5_slope", query(f"SELECT vec_id, pixel_y, pixel_x, {R('degrees(atan(sqrt(dx * dx + dy * dy) / 72e1))')} AS slope FROM horn", "raster", **_HORN))
 def r5(spark, d):
     return rounded(_terrain(spark, d).select(*DAY, *PIXEL, "slope"), "slope")
 
@@ -360,7 +373,7 @@ def r5(spark, d):
     "r6_aspect",
     query(
         f"SELECT vec_id, pixel_y, pixel_x, {R('CASE WHEN dx = 0 AND dy = 0 THEN 0e0 WHEN a > 90 THEN 450 - a ELSE 90 - a END', 4)} AS aspect FROM (SELECT *, degrees(atan2(dy, -dx)) AS a FROM horn) q",
-        "raster", around=AROUND, horn=HORN,
+        "raster", **_HORN,
     ),
 )
 def r6(spark, d):

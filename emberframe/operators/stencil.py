@@ -177,9 +177,25 @@ def average_resample(cells: DataFrame, value: str, keys: tuple[str, ...], factor
     return pool(cells, factor, keys, {value: F.avg(value)})
 
 
-def _gradients(cells: DataFrame, dem: str, keys: tuple[str, ...]) -> tuple[DataFrame, Column, Column]:
+def _gradients(cells: DataFrame, dem: str, keys: tuple[str, ...], grid: int) -> tuple[DataFrame, Column, Column]:
     around = neighbours(cells, [dem], 1, keys)
-    at = lambda dy, dx: F.coalesce(F.col(offset_name(dem, dy, dx)), F.col(dem))
+    raw = lambda dy, dx: F.col(offset_name(dem, dy, dx)) if (dy, dx) != (0, 0) else F.col(dem)
+    y, x, last = F.col("pixel_y"), F.col("pixel_x"), grid - 1
+
+    def at(dy: int, dx: int) -> Column:
+        """Outside the tile the first two rows (columns) go on in a straight line; in the first and last row a column outside
+        repeats the edge column. A missing height takes the centre's."""
+        value = raw(dy, dx)
+        if dx:
+            side = x == (0 if dx < 0 else last)
+            value = F.when(side, 2 * raw(dy, 0) - raw(dy, -dx)).otherwise(value)
+            border = F.when(side, raw(dy, 0)).otherwise(raw(dy, dx))
+            value = F.when((y == 0) | (y == last), border).otherwise(value)
+        if dy:
+            column = lambda d: F.when(x == (0 if dx < 0 else last), raw(d, 0)).otherwise(raw(d, dx)) if dx else raw(d, 0)
+            value = F.when(y == (0 if dy < 0 else last), 2 * column(0) - column(-dy)).otherwise(value)
+        return F.coalesce(value, F.col(dem))
+
     west = at(-1, -1) + 2 * at(0, -1) + at(1, -1)
     east = at(-1, 1) + 2 * at(0, 1) + at(1, 1)
     north = at(-1, -1) + 2 * at(-1, 0) + at(-1, 1)
@@ -187,12 +203,14 @@ def _gradients(cells: DataFrame, dem: str, keys: tuple[str, ...]) -> tuple[DataF
     return around, east - west, south - north
 
 
-def slope_aspect(cells: DataFrame, dem: str, keys: tuple[str, ...], pixel: float = k.PIXEL_SIZE) -> DataFrame:
+def slope_aspect(
+    cells: DataFrame, dem: str, keys: tuple[str, ...], pixel: float = k.PIXEL_SIZE, grid: int = k.GRID_SIZE
+) -> DataFrame:
     """Horn slope (degrees) and compass aspect (degrees, 0 where flat) from one neighbourhood pass.
 
-    A missing neighbour takes the centre's height.
+    Neighbours outside the tile of ``grid`` cells a side are extrapolated, others that are missing take the centre's height.
     """
-    around, dx, dy = _gradients(cells, dem, keys)
+    around, dx, dy = _gradients(cells, dem, keys, grid)
     slope = F.degrees(F.atan(F.hypot(dx, dy) / F.lit(8.0 * pixel)))
     angle = F.atan2(dy, -dx) * F.lit(180.0 / math.pi)
     compass = F.when(angle > 90, 450.0 - angle).otherwise(90.0 - angle)

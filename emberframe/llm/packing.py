@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from bisect import bisect_left, insort
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,68 +25,105 @@ GROUP = 64  # partitions whose leftovers meet in one merge task
 class WordEncoder:
     """Token ids of whole texts, with the ids of each blank-separated word kept in a bounded table.
 
-    The vocabulary drops blanks and never joins across them, so the ids of a text are those of its words.
+    Vocabularies of the kind ``BY_WORD`` drop blanks and never join across them, so the ids of a text are those of its words. With any other
+    tokenizer file whole texts are encoded.
     """
 
-    #: Letters whose lower case and composed form are the same everywhere, then ASCII marks.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
+    #: The normaliser and pre-tokeniser under which a text may be taken word by word.
+    BY_WORD = (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        ]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    )
+    #: Letters whose lower case and composed form are the same everywhere, and ASCII marks that may follow them.
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]*")
+    MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, limit: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.by_word = (described["normalizer"], described["pre_tokenizer"]) == self.BY_WORD and described["model"]["type"] == "BPE"
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
-        self.letters = {b: chr(b) if b in visible else chr(next(hidden)) for b in range(256)}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: b if b in visible else next(hidden) for b in range(256)}
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Letters followed by marks cannot hold a special string that is not itself of this form.
+        self.by_word &= not any(self.LETTERS.fullmatch(s.rstrip(self.MARKS).decode()) for s in special)
+        self.tokenize = self.tokenizer.model.tokenize
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.flat, self.first, self.count = array("I"), array("q"), array("q")
-
-    def _piece(self, part: str) -> list[int]:
-        if part not in self.parts:
-            self.parts[part] = [t.id for t in self.tokenizer.model.tokenize("".join(self.letters[b] for b in part.encode()))]
-        return self.parts[part]
-
-    def _ids(self, word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
-        if (found := self.PLAIN.fullmatch(text)) and not any(s in text for s in self.special):
-            return [i for part in found.groups() if part for i in self._piece(part.lower())]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of every text."""
+        self.parts: dict[str, array] = {}
+        self.flat, self.ends = array("I"), array("i", [0])
+
+    def _piece(self, part: str) -> array:
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = array("I", [t.id for t in self.tokenize(shown)])
+        return ids
+
+    def _ids(self, word: bytes) -> array:
+        core = word.rstrip(self.MARKS)
+        letters = core.decode("utf-8", "replace")
+        if core.isalpha() or self.LETTERS.fullmatch(letters):
+            if len(core) == len(word):
+                return self._piece(letters.lower())
+            marks = self._piece(word[len(core) :].decode())
+            return self._piece(letters.lower()) + marks if letters else marks
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def _add(self, word: bytes) -> int:
+        """Put a new word into the table."""
+        if word not in self.index:
+            self.index[word] = len(self.index)
+            self.flat += self._ids(word)
+            self.ends.append(len(self.flat))
+        return self.index[word]
+
+    def encode(self, texts: list[bytes] | pa.Array) -> list[np.ndarray]:
+        """Ids of every text, given as bytes, or as an Arrow column where nulls count as empty."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.binary())
+        texts = texts.cast(pa.binary()).fill_null(b"")
+        if not self.by_word:
+            whole = [t.decode("utf-8", "replace") for t in texts.to_pylist()]
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)]
         if len(self.index) > self.limit:
             self.clear()
-        found, counts = [], []
-        for text in texts:
-            split = text.split()
-            places = list(map(self.index.get, split))
-            if None in places:
-                for k, place in enumerate(places):
-                    if place is None:
-                        word = split[k]
-                        if word not in self.index:
-                            ids = self._ids(word)
-                            self.first.append(len(self.flat))
-                            self.count.append(len(ids))
-                            self.flat.extend(ids)
-                            self.index[word] = len(self.first) - 1
-                        places[k] = self.index[word]
-            found += places
-            counts.append(len(places))
-        if not found:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        place = np.array(found, np.int64)
-        flat, first, count = (np.array(x) for x in (self.flat, self.first, self.count))
-        lengths = count[place]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(first[place] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].astype(np.uint32)
-        cuts = np.r_[0, ends][np.cumsum(counts)]
-        return np.split(ids, cuts[:-1])
+        # Only the different words of the texts are looked up. Blanks are ASCII, so bytes that are no UTF-8 do the split no harm.
+        bare = pa.StringArray.from_buffers(len(texts), texts.buffers()[1], texts.buffers()[2], offset=texts.offset)
+        split = pc.ascii_split_whitespace(bare)
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        places = list(map(self.index.get, different))
+        if None in places:
+            places = [self._add(different[k]) if place is None else place for k, place in enumerate(places)]
+        # The table as a list of ids per word, over the memory of the arrays; ``take`` copies what the texts need.
+        lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(self.ends, np.int32)), pa.array(np.frombuffer(self.flat, np.uint32)))
+        taken = lists.take(pa.array(np.array(places, np.int32)[words.indices.to_numpy()]))
+        ends = np.asarray(taken.offsets)[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        values = np.asarray(taken.values)
+        return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of this worker process; the words it knows serve all tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 class OpenWindows:
@@ -149,13 +188,12 @@ def pack(
     """
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer_path), TaskContext.get().partitionId()
         windows, done, base = OpenWindows(window, open_windows), [], part << 32
         for batch in batches:
             ids = batch.column(id_column).to_pylist()
-            for rows, data, offsets in chunks(batch, text_column, 1 << 20):
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            for rows, _, _ in chunks(batch, text_column, 4 << 20):
+                texts = batch.column(text_column).slice(rows.start, rows.stop - rows.start)
                 for doc_id, tokens in zip(ids[rows], encoder.encode(texts)):
                     tokens = np.append(tokens, np.uint32(end_id))
                     for start in range(0, len(tokens), window):

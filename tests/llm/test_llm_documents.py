@@ -106,7 +106,7 @@ def test_word_encoder_equals_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path, limit=50)
     samples = [
-        "it's I'LL 12ab ab12", "<|endoftext|> x<|startoftext|>y", "á é b c", "ÀÈß ÿŒ _x_ a-b... #!", "İstanbul ΣΑΣ", "", " \x1c a\x1fb",
+        "it's I'LL 12ab ab12", "<|endoftext|> x<|startoftext|>y", "á é b c", "ÀÈß ÿŒ _x_ a-b... #!", "İstanbul ΣΑΣ", "", " \x1c a\x1fb", "  lead trail \n", "...", "a.b.c é!! !?x ß's \x0b\x0c",
         *(t or "" for _, t in texts(9)),
     ]
     for _ in range(2):
@@ -114,6 +114,16 @@ def test_word_encoder_equals_the_tokenizer():
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    samples = ["Two  words\n", "", "it's ÀÈ 12ab", *(t or "" for _, t in texts(4))]
+    got = encoder.encode([s.encode() for s in samples])
+    assert not encoder.by_word and [x.tolist() for x in got] == [tokenizer.encode(s, add_special_tokens=False).ids for s in samples]
+
+
 def test_bounded_windows_keep_to_their_number():
     windows = packing.OpenWindows(10, 3)
     for k, length in enumerate([6, 7, 8, 5, 4, 9, 1, 10, 2]):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+HEADER_BYTES = 8 << 20  # a longer header is damage
+DIGITS = 18  # of a length; a longer number is damage
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 READ_SCHEMA = (
     "path string, kind string, start long, length long, reason string, record_type string, record_id string, "
@@ -54,17 +56,18 @@ def first_holders(pages: DataFrame, *, key: str, payload: str, min_bytes: int =
     """``pages`` plus ``refers_to``: for all but the smallest key of equal payloads, that smallest key.
 
     Only digests are grouped and joined, never payloads: SHA-256 and length per row, the minimum
-    per digest with map-side combine, then one join of the digests and one by key.
+    per digest with map-side combine, then one join of the digests and one by key. An input column ``refers_to`` is replaced.
     """
+    pages = pages.drop("refers_to") if "refers_to" not in (key, payload) else pages
+    own = {c.lower() for c in pages.columns}
+    again_key, first = (next(n for i in range(len(own) + 1) if (n := f"_{base}{i}") not in own) for base in ("key", "first"))
     content = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    marks = pages.select(F.col(key).alias("_key"), F.sha2(content, 256).alias("_mark"), F.octet_length(content).alias("_n")).where(
-        (F.col("_n") >= min_bytes) & F.col("_key").isNotNull()
+    marks = pages.select(F.col(key).alias(again_key), F.sha2(content, 256).alias("_mark"), F.octet_length(content).alias("_n")).where(
+        (F.col("_n") >= min_bytes) & F.col(again_key).isNotNull()
     )
-    again = (
-        marks.groupBy("_mark").agg(F.min("_key").alias("_first"), F.count("*").alias("_c")).where("_c > 1").select("_mark", "_first")
-    )
-    later = marks.join(again, "_mark").where("_key > _first").select("_key", "_first").distinct()
-    return pages.join(later, F.col(key) == F.col("_key"), "left").drop("_key").withColumnRenamed("_first", "refers_to")
+    again = marks.groupBy("_mark").agg(F.min(again_key).alias(first), F.count("*").alias("_c")).where("_c > 1").select("_mark", first)
+    later = marks.join(again, "_mark").where(F.col(again_key) > F.col(first)).select(again_key, first).distinct()
+    return pages.join(later, F.col(key) == F.col(again_key), "left").drop(again_key).withColumnRenamed(first, "refers_to")
 
 
 def write(
@@ -110,7 +113,7 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """The record at ``at``: (fields or None, end, reason)."""
     if not (version := VERSION.match(data, at)):
         return None, at, "no version line"
-    close = data.find(b"\r\n\r\n", at)
+    close = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if close < 0:
         return None, at, "header is cut off"
     fields = {}
@@ -122,6 +125,8 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return None, at, "no content length"
+    if len(size.lstrip("0")) > DIGITS:
+        return None, at, "content length is out of range"
     start, end = close + 4, close + 4 + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "block does not end where its length says"
@@ -131,7 +136,7 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
     _, blank, payload = block.partition(b"\r\n\r\n")
     fields["payload"] = payload if blank and "application/http" in fields.get("content-type", "") else block
     if fields.get("warc-type") == "revisit":
-        length = re.search(rb"(?i)content-length: *(\d+)", block)
+        length = re.search(rb"(?i)content-length: *0*(\d{1,%d})(?!\d)" % DIGITS, block)
         fields["payload_bytes"], fields["payload"] = (int(length[1]) if length else None), None
     else:
         fields["payload_bytes"] = len(fields["payload"])
@@ -141,15 +146,18 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int, str]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """The gzip member at ``at``: (content or None, end, reason)."""
-    unpack = zlib.decompressobj(31)
-    try:
-        content = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        return None, at, f"gzip: {e}"
+    """The gzip member at ``at``: (content or None, end, reason). Reads growing blocks, so the cost is that of the member."""
+    unpack, parts, whole, block = zlib.decompressobj(31), [], memoryview(data), 1 << 12
+    place = at
+    while place < len(data) and not unpack.eof:
+        try:
+            parts.append(unpack.decompress(whole[place : place + block]))
+        except zlib.error as e:
+            return None, at, f"gzip: {e}"
+        place, block = min(place + block, len(data)), min(block * 4, 1 << 18)
     if not unpack.eof:
         return None, at, "gzip member is cut off"
-    return content, len(data) - len(unpack.unused_data), ""
+    return b"".join(parts), place - len(unpack.unused_data), ""
 
 
 def _blank(data: bytes, at: int) -> int:
@@ -166,6 +174,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     member carries the member's place.
     """
     at, bad, why = 0, None, ""
+    seen = {MAGIC: -1, b"WARC/1.": -1}  # the next place of each mark, as far as it is known
     while at < len(data):
         if data.startswith(MAGIC, at):
             content, end, reason = _member(data, at)
@@ -180,8 +189,11 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
             content, found = (b"", [fields]) if fields is not None else (None, [])
         if content is None:
             bad, why = (at, reason) if bad is None else (bad, why)
-            spots = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(spots, default=len(data))
+            for mark, place in seen.items():
+                if place <= at:
+                    found_at = data.find(mark, at + 1)
+                    seen[mark] = found_at if found_at >= 0 else len(data)
+            at = min(seen.values())
             continue
         if bad is not None:
             yield bad, at - bad, why

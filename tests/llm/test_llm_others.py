@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
@@ -91,6 +93,38 @@ def test_a_wrong_length_does_not_hide_later_records():
     assert found == ["<urn:record:0>", "block digest differs", "<urn:record:2>"]
 
 
+def test_numbers_out_of_range_are_damage(spark):
+    parts = _records(3, False)
+    long_ = parts[0].replace(b"msgtype=response\r\nContent-Length: ", b"msgtype=response\r\nContent-Length: " + b"9" * 5000, 1)
+    revisit = warc.record("urn:record:9", b"x", refers_to="urn:record:0").replace(b"\r\nContent-Length: 1\r\n\r\n", b"\r\nContent-Length: " + b"7" * 30 + b"\r\n\r\n")
+    revisit = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", revisit)
+    size = len(revisit) - revisit.index(b"HTTP/1.1") - 4
+    revisit = re.sub(rb"msgtype=response\r\nContent-Length: \d+", b"msgtype=response\r\nContent-Length: %d" % size, revisit)
+    folder = scratch_path(spark, "damaged")
+    spark.createDataFrame([((long_ + parts[1] + revisit + parts[2])[:-4].decode(),)], "value string").write.option("lineSep", "\r\n\r\n").text(folder)
+    got = sorted(warc.read(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["record_id"] or r["reason"] for r in got] == ["content length is out of range", "urn:record:1", "urn:record:9", "urn:record:2"]
+    assert got[2]["payload_bytes"] is None and got[2]["record_type"] == "revisit"
+
+
+def test_reading_is_linear_in_the_members():
+    one = b"".join(gzip.compress(warc.record(f"urn:record:{k}", f"page {k}".encode()), mtime=0) for k in range(500))
+    spent = []
+    for times in (4, 40):
+        start = time.process_time()
+        assert sum(isinstance(x, dict) for _, _, x in warc.salvage(one * times)) == 500 * times
+        spent.append(time.process_time() - start)
+    assert spent[1] < 40 * spent[0]
+    big = _records(1, True)[0] + gzip.compress(warc.record("urn:record:big", b"0123456789" * 100_000 + bytes(range(256)) * 999), mtime=0)
+    assert [x["warc-record-id"] for _, _, x in warc.salvage(big)] == ["<urn:record:0>", "<urn:record:big>"]
+
+
+def test_first_holders_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(3, "a", 1, 2, 9), (1, "a", 1, 2, 9), (2, "b", 1, 2, 9)], "page_id long, html string, _key int, _first0 int, refers_to int")
+    got = {r["page_id"]: r["refers_to"] for r in warc.first_holders(rows, key="page_id", payload="html").collect()}
+    assert got == {3: 1, 1: None, 2: None}
+
+
 CHATS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi </s> <\\s>"), (1, 2, "assistant", "[INST] \\ [\\INST] <s>"), (1, 3, "user", None), (1, 4, "assistant", ""),
     (2, 0, "user", "only"), (3, 5, "assistant", "ß😀\n\n"), (3, 5, "assistant", "ß😀\n\n"), (3, None, None, "no role"), (None, 0, "user", "x"),

@@ -409,3 +409,26 @@ def test_decision_list_learns_and_keeps(spark, empty):
     judged, none = rules.apply_rules(frame, spark.createDataFrame([], labels.schema))
     assert not none.rules and judged.where("kept").count() == 420
     assert rules.apply_rules(empty, labels)[0].count() == 0
+
+
+def shared_lines(n: int, lines: int, size: int, seed: int = 1) -> list[tuple[int, str]]:
+    """Texts of ten lines each, drawn from a few that many texts share."""
+    rng = np.random.default_rng(seed)
+    drawn = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, size)) for _ in range(lines)]
+    return [(i, "\n".join(drawn[k] for k in rng.integers(0, lines, 10))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "lines", "size"), [(300, 60, 18), (300, 60, 27), (600, 200, 27)])
+def test_passages_of_frequent_lines_are_found(spark, monkeypatch, n, lines, size):
+    """Every signature of such a passage may belong to a line that other, unrelated texts hold first."""
+    monkeypatch.setattr(passages, "chunks", lambda batch, text: text_module.chunks(batch, text, 1))  # a document per chunk
+    some = shared_lines(n, lines, size)
+    grams = collections.defaultdict(set)
+    for i, text in some:
+        words = text.split()
+        for k in range(len(words) - 49):
+            grams[tuple(words[k : k + 50])].add(i)
+    want = {i for ids in grams.values() for i in ids if i != min(ids)}
+    got = passages.repeated_passages(spark.createDataFrame(some, "doc_id long, text string"))
+    found = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
+    assert len(want) > 5 and len(want - found) <= 0.02 * len(want)

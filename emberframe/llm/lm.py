@@ -17,7 +17,7 @@ from emberframe.session import cut_lineage
 BLOCK_BYTES = 12 << 20  # text of a block of documents, about
 RANGE_NGRAMS = 1 << 21  # n-grams in a hash range, about
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-BLOCK = "block long, span int, level int, grams binary, counts binary"
+BLOCK = "block long, span int, level int, n int, grams binary, counts binary"
 
 
 def _ngrams(hashed: np.ndarray, row: np.ndarray, order: int) -> list[np.ndarray]:
@@ -58,14 +58,28 @@ def _spans(grams: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _pack(grams: np.ndarray) -> bytes:
-    """Leading six bytes of each hash."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Sorted 64-bit hashes as the first one and the differences, each in as many bytes as the largest needs (six for a million)."""
+    steps = np.diff(grams)
+    wide = (int(steps.max(initial=0)).bit_length() + 7) // 8
+    low = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide])
+    return bytes([wide]) + grams[:1].astype("<u8").tobytes() + low.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.reshape(-1).view(">u8").astype(np.uint64)
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0], steps[1:, : data[0]] = np.frombuffer(data, np.uint8, 8, 1), np.frombuffer(data, np.uint8, offset=9).reshape(n - 1, data[0])
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte per count; those that fill it follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
 
 
 def _count(order: int, bits: int):
@@ -75,14 +89,14 @@ def _count(order: int, bits: int):
         out: list[tuple] = []
         for n, (grams, counts) in enumerate(_distinct(texts.to_batches(), order)):
             if n == 0:
-                out.append((0, 0, bytes(6), np.array([counts.sum()])))
+                out.append((0, 0, np.zeros(1, np.uint64), counts.sum(keepdims=True)))
             cut = _spans(grams, bits)
-            out += [(span, n + 1, _pack(grams[a:b]), counts[a:b]) for span, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+            out += [(span, n + 1, grams[a:b], counts[a:b]) for span, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
         span, level, grams, counts = zip(*out)
         return pa.table({
             "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "span": pa.array(span, pa.int32()),
-            "level": pa.array(level, pa.int32()), "grams": pa.array(grams, pa.binary()),
-            "counts": pa.array([c.astype(np.uint32).tobytes() for c in counts], pa.binary()),
+            "level": pa.array(level, pa.int32()), "n": pa.array([len(g) for g in grams], pa.int32()),
+            "grams": pa.array([_pack(g) for g in grams], pa.binary()), "counts": pa.array([_pack_counts(c) for c in counts], pa.binary()),
         })
 
     return run
@@ -90,15 +104,14 @@ def _count(order: int, bits: int):
 
 def _total(key: tuple, table: pa.Table) -> pa.Table:
     """One hash range of one length: the counts over all blocks, handed back to each block in its own order."""
-    parts = [_unpack(x.as_py()) for x in table.column("grams")]
-    local = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
-    grams, place = np.unique(np.concatenate(parts), return_inverse=True)
+    sizes = table.column("n").to_pylist()
+    local = np.concatenate([_unpack_counts(x.as_py(), n) for x, n in zip(table.column("counts"), sizes)])
+    grams, place = np.unique(np.concatenate([_unpack(x.as_py(), n) for x, n in zip(table.column("grams"), sizes)]), return_inverse=True)
     total = np.bincount(place, weights=local, minlength=len(grams)).astype(np.int64)
-    back = np.split(total[place], np.cumsum([len(p) for p in parts])[:-1])
+    back = np.split(total[place], np.cumsum(sizes)[:-1])
     return pa.table({
-        "block": table.column("block"), "span": table.column("span"), "level": table.column("level"),
-        "grams": pa.array([b""] * len(parts), pa.binary()),
-        "counts": pa.array([b.astype(np.int64).tobytes() for b in back], pa.binary()),
+        "block": table.column("block"), "span": table.column("span"), "level": table.column("level"), "n": table.column("n"),
+        "grams": pa.array([b""] * len(sizes), pa.binary()), "counts": pa.array([_pack_counts(b) for b in back], pa.binary()),
     })
 
 
@@ -108,13 +121,13 @@ def _score(order: int, alpha: float, min_count: int):
         known = _distinct(part, order)
         table = [np.zeros(len(g), np.int64) for g, _ in known]
         corpus_words = 0
-        rows = sorted(zip(totals.column("level").to_pylist(), totals.column("span").to_pylist(), range(totals.num_rows)))
+        rows = sorted(zip(*(totals.column(c).to_pylist() for c in ("level", "span", "n")), range(totals.num_rows)))
+        held = lambda wanted: [_unpack_counts(totals.column("counts")[k].as_py(), n) for level, _, n, k in rows if level == wanted]
         for n in range(order):
-            mine = [np.frombuffer(totals.column("counts")[k].as_py(), np.int64) for level, _, k in rows if level == n + 1]
-            if n == 0:
-                corpus_words = next((int(np.frombuffer(totals.column("counts")[k].as_py(), np.int64)[0]) for level, _, k in rows if not level), 0)
-            if mine:
+            if mine := held(n + 1):
                 table[n] = np.concatenate(mine)
+        if whole := held(0):
+            corpus_words = int(whole[0][0])
         out: list[list] = [[], [], [], []]
         for ids, hashed, row, n_rows in _words_of(part):
             grams = _ngrams(hashed, row, order)
@@ -157,9 +170,9 @@ def stupid_backoff(
     its share of all words. Words of a text have no context beyond it. ``n_backoff`` counts words that did not use their longest
     context. Letters A-Z are lower-cased.
 
-    Documents are dealt by a hash of their id into blocks of about 12 MB. A block sends its distinct n-grams with
+    Rows are dealt at random (by a hash of their place in the input) into blocks of about 12 MB. A block sends its distinct n-grams with
     their counts to hash ranges, each of bounded size however common an n-gram is; a range adds up the counts and
-    hands each block the totals of its own n-grams, which the block joins to its texts. N-grams go by the leading 48 bits of their hash.
+    hands each block the totals of its own n-grams, which the block joins to its texts. N-grams go by a 64-bit hash.
 
     A null, empty or blank text has no words and score 0; a row without id keeps a null id; repeated rows count
     and are scored each; other columns are ignored; an empty table gives an empty result.
@@ -168,7 +181,7 @@ def stupid_backoff(
     size = whole.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-(size["b"] or 0) // BLOCK_BYTES))
     bits = max(0, ((size["b"] or 0) // 6 // RANGE_NGRAMS).bit_length())
-    dealt = whole.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)))
+    dealt = whole.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     texts = bucketed(dealt, "block")
     local = texts.groupBy("block").applyInArrow(_count(order, bits), BLOCK)
     totals = cut_lineage(local.groupBy("span", "level").applyInArrow(_total, BLOCK), "totals")

@@ -304,6 +304,18 @@ def test_removed_passages_leave_the_rest(docs, rows, spark):
     assert got[95].strip() == "" and got[92] is None and got[4] == text[4]
 
 
+def test_grams_and_counts_pack_and_unpack():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        for top in (2**8, 2**40, 2**64 - 1):
+            grams = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+            assert (lm._unpack(lm._pack(grams), n) == grams).all()
+        counts = rng.choice([1, 2, 254, 255, 256, 10**12], n)
+        assert (lm._unpack_counts(lm._pack_counts(counts), n) == counts).all()
+    grams = np.unique(rng.integers(0, 2**64 - 1, 1 << 20, dtype=np.uint64))
+    assert len(lm._pack(grams)) < 6.1 * len(grams)
+
+
 def test_stupid_backoff_equals_counting(docs, rows, empty):
     from math import log
 

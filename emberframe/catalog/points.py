@@ -11,6 +11,7 @@ from emberframe.catalog.sql import R, query, tiling
 from emberframe.functions import geo, timeops, values
 from emberframe.operators import burn, graph, pairing, sampling, split, tiles
 from emberframe.operators.tiles import PIXEL, TILE, TILE_DAY
+from emberframe.plans import super_fires as grow
 from emberframe.session import scratch_path
 from emberframe.sources import burn_points as csv_source
 from emberframe.sources import samples as sample_source
@@ -562,6 +563,17 @@ def g1(spark, d):
     return graph.super_fires(fires_of(spark, d))
 
 
+@register("g1_incremental", query("SELECT id, super_id FROM members", "members"))
+def g1_incremental(spark, d):
+    """Months arrive in two runs; the second breaks off before its record and is repeated."""
+    fires = fires_of(spark, d).withColumn("day", F.col("year") * 12 + F.floor(F.col("dob") / 31).cast("int"))
+    path = scratch_path(spark, "super-fires")
+    grow.add_pending(fires.where("day % 12 < 7"), path)
+    grow.add_pending(fires, path, commit=False)
+    grow.add_pending(fires, path)
+    return grow.read_super_fires(spark, path)
+
+
 @register(
     "a13_merge_masks",
     query(

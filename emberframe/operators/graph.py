@@ -66,3 +66,29 @@ def connected_components(vertices: DataFrame, edges: DataFrame, salts: int = SAL
 
 def super_fires(fires: DataFrame) -> DataFrame:
     return connected_components(fires.select("id"), star_edges(fires))
+
+
+def extend_components(labels: DataFrame, vertices: DataFrame, edges: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows ``(id, super_id)`` that a batch of vertices and edges adds to ``labels`` or changes there.
+
+    The edges are contracted onto the labels they meet, so only the components of the batch form a graph; the
+    vertices known before are read for their labels, never sent round again. A label can only become smaller:
+    ``current_labels`` over old and returned rows is the partition of all edges so far.
+    """
+    ends = vertices.select("id").unionByName(edges.select(F.col("u").alias("id"))).unionByName(edges.select(F.col("v").alias("id")))
+    known = labels.select("id", F.col("super_id").alias("_root"))
+    met = cut_lineage(ends.distinct().join(known, "id", "left").select("id", "_root", F.coalesce("_root", "id").alias("root")), "met")
+    root_of = lambda end: met.select(F.col("id").alias(end), F.col("root").alias(f"r{end}"))
+    quotient = salted_join(edges.select("u", "v"), root_of("u"), ["u"], F.col("v"), salts=salts)
+    quotient = salted_join(quotient, root_of("v"), ["v"], F.col("u"), salts=salts)
+    pairs = quotient.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
+    merged = cut_lineage(connected_components(met.select(F.col("root").alias("id")), pairs, salts), "merged")
+    to = merged.select(F.col("id").alias("root"), F.col("super_id").alias("to"))
+    added = salted_join(met.where("_root IS NULL"), to, ["root"], F.col("id"), salts=salts)
+    moved = salted_join(known.withColumnRenamed("_root", "root"), to.where("root <> to"), ["root"], F.col("id"), salts=salts)
+    return added.select("id", F.col("to").alias("super_id")).unionByName(moved.select("id", F.col("to").alias("super_id")))
+
+
+def current_labels(history: DataFrame) -> DataFrame:
+    """The label of each id among the rows that batches have returned: the smallest, as components only grow."""
+    return history.groupBy("id").agg(F.min("super_id").alias("super_id"))

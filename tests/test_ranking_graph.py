@@ -83,6 +83,25 @@ def test_components_of_a_hub_a_chain_and_noise(spark):
     assert {r["id"]: r["super_id"] for r in got.collect()} == brute_components(names, edges)
 
 
+def test_batches_of_edges_give_the_components_of_all(spark):
+    rng = random.Random(11)
+    names = [f"f{i:04d}" for i in range(300)]
+    edges = [(names[150], n) for n in names[151:250]] + [tuple(rng.sample(names[:150], 2)) for _ in range(110)]
+    rng.shuffle(edges)
+    history = spark.createDataFrame([], "id string, super_id string")
+    for part in range(3):
+        labels = graph.current_labels(history)
+        before = dict(labels.collect())
+        batch = spark.createDataFrame(edges[part::3], "u string, v string")
+        here = names[part * 100 : part * 100 + 100]
+        delta = graph.extend_components(labels, spark.createDataFrame([(n,) for n in here], "id string"), batch)
+        rows = [tuple(r) for r in delta.collect()]
+        assert len({i for i, _ in rows}) == len(rows)
+        assert all(before.get(i) != s for i, s in rows)  # nothing but what is new or has changed
+        history = history.unionByName(spark.createDataFrame(rows, "id string, super_id string"))
+    assert dict(graph.current_labels(history).collect()) == brute_components(names, edges)
+
+
 def test_grouped_split_never_leaks(spark):
     rng = random.Random(5)
     rows, pts = [], []

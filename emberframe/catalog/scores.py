@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,7 +269,7 @@ def a21(spark, d):
     "m2_train_logistic",
     query(
         """SELECT w, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives, 0e0 AS slope_0, 0e0 AS slope_1, 0e0 AS slope_2, 0e0 AS intercept
-           FROM prediction, (VALUES (1e0), (4e0)) t(w) GROUP BY w""",
+           FROM prediction, (VALUES (1e0), (2e0), (3e0), (4e0), (5e0), (6e0), (7e0), (8e0)) t(w) GROUP BY w""",
         "prediction",
     ),
 )
@@ -276,7 +277,7 @@ def m2(spark, d):
     """Fitted on the table itself. The coefficients depend on the solver's path; at the optimum the gradient is zero."""
     rows = matrix(spark, d)
     scaled = model.standardise(rows, model.fit_scaler(rows))
-    fitted = model.train_sweep(scaled, [1.0, 4.0])
+    fitted = model.train_sweep(scaled, [float(w) for w in range(1, 9)])
     counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("positives"))
     flat = lambda c: F.round(c, 3) + F.lit(0.0)
     out = [
@@ -285,7 +286,7 @@ def m2(spark, d):
         )
         for w, (coef, b) in fitted.items()
     ]
-    return out[0].unionByName(out[1])
+    return reduce(DataFrame.unionByName, out)
 
 
 # Fixed coefficients: scoring and evaluation are deterministic given a model.

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -56,14 +61,88 @@ def train_logistic(matrix: DataFrame, w: float, alpha: float = ALPHA, max_iter:
     return solver.fit(rows)
 
 
-def train_sweep(matrix: DataFrame, w_values: list[float], alpha: float = ALPHA, max_iter: int = 30) -> dict[float, tuple[list[float], float]]:
-    """One model per no-fire weight over a cached matrix: ``{w: (coefficients, intercept)}``."""
-    rows = matrix.select("features", "label").persist()
-    try:
-        fitted = {float(w): train_logistic(rows, w, alpha, max_iter) for w in w_values}
-    finally:
-        rows.unpersist()
-    return {w: (m.coefficients.toArray().tolist(), float(m.intercept)) for w, m in fitted.items()}
+def _curves(points: np.ndarray, class_weights: np.ndarray):
+    """Partial sums of a partition at one point per model, as rows (model, row, sums).
+
+    Row ``i`` of a model holds row ``i`` of its weighted second-moment matrix (intercept last), then entry ``i`` of its gradient and its loss.
+    """
+    models, size = points.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((models, size, size + 2))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = np.column_stack([values.reshape(batch.num_rows, -1), np.ones(batch.num_rows)])
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            z = x @ points.T
+            p = np.exp(-np.logaddexp(0, -z))
+            for k in range(models):
+                weight = class_weights[k][(y != 0).astype(int)]
+                sums[k, :, :size] += (x * (weight * p[:, k] * (1 - p[:, k]))[:, None]).T @ x
+                sums[k, :, size] += (weight * (p[:, k] - y)) @ x
+                sums[k, :, size + 1] += (weight * (np.logaddexp(0, z[:, k]) - y * z[:, k])).sum()
+        flat = pa.array(sums.ravel())
+        offsets = pa.array(np.arange(models * size + 1) * (size + 2), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(models), size), pa.int32()), pa.array(np.tile(np.arange(size), models), pa.int32()),
+             pa.ListArray.from_arrays(offsets, flat)],
+            names=["model", "row", "sums"],
+        )
+
+    return run
+
+
+def train_sweep(
+    matrix: DataFrame, w_values: list[float], alpha: float = ALPHA, max_iter: int = 30, tolerance: float = 1e-9
+) -> dict[float, tuple[list[float], float]]:
+    """One model per no-fire weight, all fitted together: ``{w: (coefficients, intercept)}``.
+
+    Each iteration is one scan that sums the gradient and curvature of every open model (Newton's method); a model
+    whose loss grows goes back half a step. The sums of a partition are added row by row of each model's
+    matrix, so neither a task nor the driver holds more than the models do. Ends when every gradient is below
+    ``tolerance`` or after ``max_iter`` scans. The loss is that of ``train_logistic``; the rows must be complete
+    (no null feature or label). With one class alone the intercept is infinite and all else zero.
+    """
+    rows = cut_lineage(matrix.select("features", F.col("label").cast("double").alias("label")), "matrix")
+    count = rows.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"), F.max(F.size("features")).alias("d")).first()
+    if not count["n0"] + count["n1"]:
+        raise ValueError("no rows to train on")
+    if not count["n0"] or not count["n1"]:
+        return {float(w): ([0.0] * count["d"], math.inf if count["n1"] else -math.inf) for w in w_values}
+    n, size = count["n0"] + count["n1"], count["d"] + 1
+    weights = np.array([[float(w) * n / count["n0"], n / count["n1"]] for w in w_values])
+    total = weights @ [count["n0"], count["n1"]]
+    ridge = np.append(np.full(size - 1, alpha), 0.0)
+    at, best, step = np.zeros((len(w_values), size)), np.full(len(w_values), np.inf), np.zeros((len(w_values), size))
+    open_ = np.arange(len(w_values))
+    for _ in range(max_iter):
+        part = rows.mapInArrow(_curves((at + step)[open_], weights[open_]), "model int, row int, sums array<double>")
+        folded = part.groupBy("model", "row").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).collect()
+        sums = np.zeros((len(open_), size, size + 2))
+        for entry in folded:
+            sums[entry["model"], entry["row"]] = entry["sums"]
+        left = []
+        for k, m in enumerate(open_):
+            here = at[m] + step[m]
+            loss = sums[k, 0, size + 1] / total[m] + 0.5 * ridge @ here**2
+            if not loss <= best[m] + 1e-12 * abs(loss):
+                step[m] /= 2
+                left.append(m)
+                continue
+            at[m], best[m] = here, loss
+            slope = sums[k, :, size] / total[m] + ridge * here
+            curve = sums[k, :, :size] / total[m] + np.diag(ridge)
+            step[m] = -np.linalg.lstsq(curve, slope, rcond=None)[0]
+            if np.abs(slope).max() > tolerance:
+                left.append(m)
+            else:
+                step[m] = 0
+        open_ = np.array(left, dtype=int)
+        if not len(open_):
+            break
+    return {float(w): (at[m, :-1].tolist(), float(at[m, -1])) for m, w in enumerate(w_values)}
 
 
 def loss_gradient(

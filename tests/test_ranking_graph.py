@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.functions.probability import order_hash
-from emberframe.operators import graph, metrics, ranking, sampling, split
+from emberframe.operators import graph, metrics, model, ranking, sampling, split
 from emberframe.streaming import resume
 
 
@@ -146,6 +146,29 @@ def test_best_model_first_wins_ties(spark):
     assert metrics.best_of(df, "m", "ord", ["name"]).first()["name"] == "b"
 
 
+def test_sweep_in_one_iteration_matches_single_fits(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 3)) * [1.0, 2.0, 0.0]  # the last feature is constant
+    y = (rng.random(600) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - x[:, 1] - 1)))).astype(int)
+    df = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "features array<double>, label int").repartition(5)
+    got = model.train_sweep(df, [1.0, 8.0])
+    for w, (coefficients, intercept) in got.items():
+        single = model.train_logistic(df, w, max_iter=200)
+        assert np.allclose(coefficients, single.coefficients.toArray(), atol=1e-4) and abs(intercept - single.intercept) < 1e-4
+        slope = model.loss_gradient(df, w, coefficients, intercept).first()
+        assert max(map(abs, [*slope["slopes"], slope["intercept"]])) < 1e-8
+
+
+def test_sweep_of_separable_rows_one_class_and_none(spark):
+    df = spark.createDataFrame([([float(v)], int(v > 0)) for v in range(-20, 20)], "features array<double>, label int")
+    (w, b), = model.train_sweep(df, [2.0]).values()
+    slope = model.loss_gradient(df, 2.0, w, b).first()
+    assert w[0] > 0 and max(abs(slope["slopes"][0]), abs(slope["intercept"])) < 1e-8
+    assert model.train_sweep(df.where("label = 1"), [1.0]) == {1.0: ([0.0], float("inf"))}
+    with pytest.raises(ValueError):
+        model.train_sweep(df.limit(0), [1.0])
+
+
 def test_resume_retries_failures_only(spark):
     work = spark.createDataFrame([(1,), (2,), (3,)], "fire_id int")
     log = spark.createDataFrame([(1, 1, "success"), (2, 1, "success"), (2, 2, "failed")], "fire_id int, run int, status string")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from emberframe.session import cut_lineage
 
 ROWS_PER_BUCKET = 1 << 20  # rows that one window task sorts, about
+LEVEL_BITS = 8  # bits of the bucket number that one set of bounds decides
+HASH_DIGITS = 4  # leading hex digits of a hash that make its bucket: 10^12 rows leave about 15 million in each
 
 
 def bucket_bits(rows: int) -> int:
@@ -23,24 +25,33 @@ def bucket_bits(rows: int) -> int:
 def _with_range_bucket(df: DataFrame, order: str, bits: int, group: list[str]) -> DataFrame:
     """Add ``_bucket``: number of approximate quantile bounds not above the value.
 
-    The bounds are ``2**bits - 1`` numbers (per group, of which there are few: models, say); the
-    lookup is an unrolled binary search, one comparison per bit.
+    The order is refined level by level: at most ``2**LEVEL_BITS - 1`` bounds are taken from all rows (per group, of
+    which there are few: models, say), then as many inside each bucket, and so on. So a sketch of quantiles has
+    the same size however many rows there are; only the number of sketches grows. Any bounds give exact
+    results. The lookup is an unrolled binary search, one comparison per bit.
     """
-    if not bits:
-        return df.withColumn("_bucket", F.lit(0)).withColumn("_bounds", F.lit(None))
+    out = df.withColumn("_bucket", F.lit(0))
+    done = 0
+    while done < bits:
+        step = min(LEVEL_BITS, bits - done)
+        out = _refined(out, order, step, [*group, "_bucket"] if done else group)
+        done += step
+    return out
+
+
+def _refined(df: DataFrame, order: str, bits: int, within: list[str]) -> DataFrame:
+    """Split each bucket in ``2**bits`` by bounds taken ``within`` it."""
     n = 2**bits
     bounds = F.percentile_approx(order, [i / n for i in range(1, n)], 20 * n).alias("_bounds")
-    if group:
-        out = df.join(df.groupBy(*group).agg(bounds), group)
+    if within:
+        out = df.join(df.groupBy(*within).agg(bounds), within)
     else:
         out = df.withColumn("_bounds", df.select(bounds).scalar())
-    out = out.withColumn("_bucket", F.lit(0))
+    out = out.withColumn("_local", F.lit(0))
     for step in (2**b for b in reversed(range(bits))):
-        probe = F.element_at("_bounds", F.col("_bucket") + F.lit(step))
-        out = out.withColumn(
-            "_bucket", F.col("_bucket") + F.when(probe <= F.col(order), F.lit(step)).otherwise(F.lit(0))
-        )
-    return out
+        probe = F.element_at("_bounds", F.col("_local") + F.lit(step))
+        out = out.withColumn("_local", F.col("_local") + F.when(probe <= F.col(order), F.lit(step)).otherwise(F.lit(0)))
+    return out.withColumn("_bucket", F.col("_bucket") * n + F.col("_local")).drop("_local", "_bounds")
 
 
 def running_sums(
@@ -66,7 +77,7 @@ def running_sums(
     inside = Window.partitionBy(*group, "_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.join(offsets, [*group, "_bucket"])
     out = out.withColumns({new: F.col(f"_o_{c}") + F.sum(c).over(inside) for c, new in sums.items()})
-    return out.drop("_bucket", "_bounds", *[f"_o_{c}" for c in sums])
+    return out.drop("_bucket", *[f"_o_{c}" for c in sums])
 
 
 def exact_quantiles(
@@ -110,7 +121,7 @@ def bin_by_quantiles(
 
 
 def rank_by_hash(
-    df: DataFrame, group: list[str], order_hash: Column, ties: list[str], out: str = "hash_rank", digits: int = 3
+    df: DataFrame, group: list[str], order_hash: Column, ties: list[str], out: str = "hash_rank", digits: int = HASH_DIGITS
 ) -> DataFrame:
     """``row_number() over (partition by group order by hash, ties)`` spread over hash buckets.
 
@@ -127,32 +138,28 @@ def rank_by_hash(
 
 
 def take_by_hash(
-    df: DataFrame, group: list[str], order_hash: Column, ties: list[str], quota: Column, digits: int = 3
+    df: DataFrame, group: list[str], order_hash: Column, ties: list[str], quota: Column, digits: int = HASH_DIGITS
 ) -> DataFrame:
     """The first ``quota`` rows per group in hash order; only rows of the cut bucket are sorted.
 
-    For few groups (class labels): the bucket edges are at most ``16**digits`` rows per group, few enough to be
-    broadcast by the planner, so that rows beyond the quota are dropped before any shuffle.
+    What is joined is one row per group (class labels: a few), so the planner broadcasts it and rows beyond the
+    quota are dropped before any shuffle.
     """
     tagged = df.withColumn("_hash", order_hash).withColumn("_b", F.substring("_hash", 1, digits))
     counts = tagged.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_b")
-    edges = (
-        counts.select(*group, "_b", "_n", F.sum("_n").over(upto).alias("_to"))
-        .withColumn("_room", quota - (F.col("_to") - F.col("_n")))
-        .where(F.col("_room") > 0)
-        .select(*group, "_b", "_n", "_room")
+    begun = counts.select(*group, "_b", "_n", F.sum("_n").over(upto).alias("_to")).withColumn(
+        "_room", quota - (F.col("_to") - F.col("_n"))
     )
-    joined = tagged.join(edges, [*group, "_b"])
-    whole = joined.where(F.col("_n") <= F.col("_room"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_hash", *ties)
-    cut = (
-        joined.where(F.col("_n") > F.col("_room"))
-        .withColumn("_rn", F.row_number().over(inside))
-        .where(F.col("_rn") <= F.col("_room"))
-        .drop("_rn")
+    last = F.max(F.struct("_b", "_n", "_room")).alias("_cut")
+    cuts = begun.where(F.col("_room") > 0).groupBy(*group).agg(last).select(
+        *group, F.col("_cut._b").alias("_last"), F.col("_cut._n").alias("_n"), F.col("_cut._room").alias("_room")
     )
-    return whole.unionByName(cut).drop("_hash", "_b", "_n", "_room")
+    joined = tagged.join(cuts, group).where(F.col("_b") <= F.col("_last"))
+    open_ = (F.col("_b") == F.col("_last")) & (F.col("_n") > F.col("_room"))
+    inside = Window.partitionBy(*group).orderBy("_hash", *ties)
+    cut = joined.where(open_).withColumn("_rn", F.row_number().over(inside)).where(F.col("_rn") <= F.col("_room")).drop("_rn")
+    return joined.where(~open_).unionByName(cut).drop("_hash", "_b", "_last", "_n", "_room")
 
 
 def rank_by_prefix(df: DataFrame, prefix: list[str], order: list[str], out: str = "rank", group: list[str] | None = None) -> DataFrame:

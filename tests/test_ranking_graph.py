@@ -29,6 +29,21 @@ def test_running_sums_with_ties_and_groups(spark):
             assert got[(g, v)] == sum(1 for x in values if x >= v)
 
 
+def test_running_sums_refined_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "LEVEL_BITS", 2)
+    data = [(i % 2, v) for i, v in enumerate(skewed_values())]
+    counted = spark.createDataFrame(data, "g int, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
+    buckets = ranking._with_range_bucket(counted, "v", 5, ["g"]).groupBy("g", "_bucket").agg(
+        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    ).orderBy("g", "_bucket").collect()
+    assert len(buckets) > 40 and max(r["n"] for r in buckets) < 200
+    assert all(a["high"] < b["low"] for a, b in zip(buckets, buckets[1:]) if a["g"] == b["g"])
+    got = {(r["g"], r["v"]): r["c"] for r in ranking.running_sums(counted, "v", {"n": "c"}, True, 5, ["g"]).collect()}
+    for g in (0, 1):
+        values = np.array([v for k, v in data if k == g])
+        assert all(got[(g, v)] == (values >= v).sum() for v in set(values.tolist()))
+
+
 def test_exact_quantiles(spark):
     values = skewed_values(3001)
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
@@ -44,6 +59,9 @@ def test_hash_sample_equals_a_window(spark):
     full = ranking.rank_by_hash(df, ["label"], order, ["id"], digits=2)
     assert got == {r["id"] for r in full.where((F.col("label") == 0) | (F.col("hash_rank") <= 700)).collect()}
     assert len(got) == 700 + 2000
+    for few in (0, 1, 700, 1000):
+        some = ranking.take_by_hash(df, ["label"], order, ["id"], F.when(F.col("label") == 1, few).otherwise(0), digits=1)
+        assert {r["id"] for r in some.collect()} == {r["id"] for r in full.where(f"label = 1 AND hash_rank <= {few}").collect()}
     ranks = sorted(r["hash_rank"] for r in full.where("label = 1").collect())
     assert ranks == list(range(1, 1001))
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from emberframe import constants as k
 from emberframe.catalog import fixtures
 from emberframe.catalog.pixels import raster
-from emberframe.catalog.points import located
+from emberframe.catalog.points import TD, label_inputs, located
 from emberframe.catalog.registry import r, register, rounded
 from emberframe.catalog.sql import R, SPAN, num, query
 from emberframe.functions import timeops
 from emberframe.functions.geo import lambert_parameters
-from emberframe.operators import nearest, regions, resample, states, tiles
-from emberframe.operators.tiles import TILE
+from emberframe.operators import burn, nearest, regions, resample, states, strips, tiles
+from emberframe.operators.tiles import PIXEL, TILE, TILE_DAY
 from emberframe.session import scratch_path
 from emberframe.sources import day_store
 
@@ -173,3 +173,45 @@ def a6_merged(spark, d):
     run(days)
     merged = states.summary(states.merge_states(day_store.read_days(spark, path), "feature"))
     return rounded(merged, "mean", "std", "min", "max", "median")
+
+
+# ---- samples of 256 x 256 pixels of 90 m, as strips ------------------------------------------------------------------
+
+_CELL = "pixel_y * 256 + pixel_x + 1"
+
+
+@register(
+    "e2_strip_samples",
+    query(
+        f"""SELECT {TD}, 65536 AS cells, coalesce(burned, 0) AS burned, coalesce(fireday, 0) AS fireday, coalesce(reached, 0) AS reached,
+                   coalesce(around, 0) AS around, coalesce(n_grown, 0) AS grown, coalesce(label, 0) AS label
+            FROM (SELECT {TD} FROM pairs) p LEFT JOIN old USING ({TD}) LEFT JOIN front USING ({TD}) LEFT JOIN fresh USING ({TD})""",
+        "grown", "cur", "pairs",
+        base=f"SELECT c.* FROM cur c JOIN pairs USING ({TD})",
+        near=f"""SELECT {TD}, y, x, count(*) AS n FROM
+            (SELECT {TD}, pixel_y + dy AS y, pixel_x + dx AS x FROM base, (SELECT unnest(range(-1, 2)) AS dy) a, (SELECT unnest(range(-1, 2)) AS dx) b) m
+            WHERE y BETWEEN 0 AND 255 AND x BETWEEN 0 AND 255 GROUP BY ALL""",
+        front=f"SELECT {TD}, count(*) AS reached, cast(sum(n * (y * 256 + x + 1)) AS bigint) AS around FROM near GROUP BY {TD}",
+        old=f"SELECT {TD}, count(*) AS burned, cast(sum(first_fireday * ({_CELL})) AS bigint) AS fireday FROM base GROUP BY {TD}",
+        fresh=f"SELECT {TD}, count(*) AS n_grown, cast(sum({_CELL}) AS bigint) AS label FROM grown GROUP BY {TD}",
+    ),
+)
+def e2_strip_samples(spark, d):
+    """Input and label arrays of every next-day pair at full size: first burn day, burned cells around each cell, new growth."""
+    _, pairs, current, target = label_inputs(spark, d)
+    grown = burn.growth_labels(pairs, current, target)
+    rows = strips.fill(strips.scaffold(pairs), current.select(*TILE_DAY, *PIXEL, F.col("first_fireday").cast("smallint"), F.lit(1).cast("tinyint").alias("burned")), {"first_fireday": 0, "burned": 0})
+    rows = strips.fill(rows, grown.select(*TILE_DAY, *PIXEL, F.col("label").cast("tinyint")), {"label": 0})
+    rows = strips.window(rows, "burned", "around", lambda a, b: a + b, 0)
+    packed = strips.pack(rows, ["first_fireday", "burned", "around", "label"])
+    # Read back strip by strip; strips of zeros add nothing.
+    names = {"first_fireday": "fireday", "burned": "burned", "around": "around", "label": "label"}
+    place = lambda i: F.col("y") * 256 + i + 1
+    placed = lambda c: F.aggregate(F.transform(c, lambda v, i: v * place(i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    rows = lambda y: F.struct(y.alias("y"), *[F.slice(c, y * 256 + 1, F.lit(256)).alias(c) for c in names])
+    cut = packed.select(*TILE_DAY, F.size("label").alias("cells"), F.inline(F.transform(F.sequence(F.lit(0), F.lit(255)), rows)))
+    cut = cut.withColumns({f"n_{c}": F.size(F.array_remove(c, F.lit(0).cast("smallint" if c == "first_fireday" else "tinyint"))).cast("bigint") for c in names})
+    return cut.groupBy(*TILE_DAY, "cells").agg(
+        *[F.sum(F.when(F.col(f"n_{c}") > 0, placed(c)).otherwise(0)).alias(new) for c, new in names.items() if c != "burned"],
+        *[F.sum(f"n_{c}").alias(new) for c, new in (("burned", "burned"), ("around", "reached"), ("label", "grown"))],
+    )

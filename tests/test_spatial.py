@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators import nearest, regions, resample, states, stencil
+from emberframe.operators import nearest, regions, resample, states, stencil, strips
 from emberframe.session import scratch_path
 from emberframe.sources import day_store
 
@@ -170,3 +170,44 @@ def test_a_day_is_added_without_the_others(spark):
     assert merged() == whole and day_store.pending_days(days, path).isEmpty()
     add(pixels, days)  # nothing is pending: nothing changes
     assert merged() == whole
+
+
+def test_strips_hold_full_sparse_and_missing_rows(spark):
+    rng = np.random.default_rng(6)
+    want = np.full((9, 9), -1)
+    rows = []
+    for y in range(9):
+        for x in {0: range(9), 3: (0, 8), 4: (5,), 8: range(9)}.get(y, ()):
+            want[y, x] = rng.integers(1, 90)
+            rows.append((1, y, x, int(want[y, x])))
+    rows[2] = (*rows[2][:3], None)
+    want[0, 2] = -1
+    cells = spark.createDataFrame(rows, "t int, pixel_y int, pixel_x int, v int").repartition(4)
+    days = spark.createDataFrame([(1,), (2,)], "t int")
+    filled = strips.fill(strips.scaffold(days, ("t",), 9), cells, {"v": -1}, ("t",), 9)
+    got = {r["t"]: r["v"] for r in strips.pack(filled, ["v"], ("t",)).collect()}
+    assert got == {1: want.ravel().tolist(), 2: [-1] * 81}
+    for radius in (1, 2, 12):
+        around = strips.window(filled, "v", "most", F.greatest, -5, radius, ("t",)).where("t = 1")
+        most = np.array(strips.pack(around, ["most"], ("t",)).first()["most"]).reshape(9, 9)
+        for y in range(9):
+            for x in range(9):
+                part = want[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1]
+                assert most[y, x] == part.max()
+    assert strips.pack(strips.fill(strips.scaffold(days.limit(0), ("t",), 9), cells.limit(0), {"v": -1}, ("t",), 9), ["v"], ("t",)).count() == 0
+
+
+def test_patches_of_strips_are_those_of_cells(spark):
+    rng = np.random.default_rng(7)
+    rows = [(t, y, x, float(v), float(w)) for t in (1, 2) for y in range(6) for x in range(6) for v, w in [rng.normal(size=2)]]
+    rows[5], rows[9] = (*rows[5][:3], float("nan"), 1.0), (*rows[9][:3], float("inf"), float("-inf"))
+    cells = spark.createDataFrame(rows, "t int, pixel_y int, pixel_x int, a double, b double")
+    filled = strips.fill(strips.scaffold(cells.select("t").distinct(), ("t",), 6), cells, {"a": 0.0, "b": 0.0}, ("t",), 6)
+    for patch in (1, 3, 5):
+        made = strips.patches(filled, ["a", "b"], patch, ("t",))
+        long = made.select("t", "pixel_y", F.posexplode("features").alias("pixel_x", "features"))
+        got = {tuple(r[:3]): r["features"] for r in long.select("t", "pixel_y", "pixel_x", "features").collect()}
+        whole = stencil.extract_patches(cells, ["a", "b"], patch, ("t",)).select("t", "pixel_y", "pixel_x", "features")
+        assert got == {tuple(r[:3]): r["features"] for r in whole.collect()}
+    with pytest.raises(ValueError):
+        strips.patches(filled, ["a"], 2, ("t",))

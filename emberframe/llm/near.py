@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm.text import chunks, shingles, words
-from emberframe.operators.graph import connected_components
+from emberframe.operators.graph import connected_components, current_labels, extend_components
+from emberframe.operators.skew import salted_join
 from emberframe.session import cut_lineage
 
 HASHES = 128  # values of a signature
@@ -19,6 +20,8 @@ DEPTH = 8  # values of an order
 FLOOR = 3  # values that neighbours share at least
 REACH = 6  # neighbours on each side in an order
 BEST = 3  # most similar partners of a set that are confirmed first
+CROWDED = 7  # orders in which a set must be crowded to be looked up by its shingles as well
+SALTS = 4  # places that rows of one key are dealt to
 VISITORS = 1000  # texts that one copy of another is held against
 SLACK = 4.5  # standard deviations that the estimate may fall below the threshold
 
@@ -87,9 +90,11 @@ def _neighbours(similarity: float):
     """Pairs of rows at most REACH apart in an order that share its first FLOOR values and may be similar enough.
 
     Rows arrive sorted, so a region with a common prefix deepens by itself: those next to a row share its longest prefixes.
+    Where a region goes on beyond the reach, its rows leave once more without a partner, as crowded there.
     """
     agree = (1 + similarity) / 2
     least = HASHES * agree - SLACK * np.sqrt(HASHES * agree * (1 - agree))
+    reach = REACH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -98,19 +103,26 @@ def _neighbours(similarity: float):
             rows = new if held is None else np.concatenate([held, new], axis=1)
             fresh = 0 if held is None else held.shape[1]
             out = []
-            for k in range(1, REACH + 1):
+            for k in range(1, reach + 2):
                 one, other = rows[:, :-k], rows[:, k:]
                 ok = (one[0] == other[0]) & (one[1] != other[1]) & (np.arange(k, k + one.shape[1]) >= fresh)
+                if k > reach:
+                    crowded = np.unique(np.concatenate([one[:2, ok], other[:2, ok]], axis=1), axis=1)
+                    break
                 small, large = np.minimum(one[2], other[2]), np.maximum(one[2], other[2])
                 ok &= small >= similarity * large
                 at = np.flatnonzero(ok)
                 same = HASHES - np.bitwise_count((one[3:, at] ^ other[3:, at]).view(np.uint64)).sum(axis=0, dtype=np.int64)
                 at, same = at[same >= least], same[same >= least]
                 out.append((np.minimum(one[1, at], other[1, at]), np.maximum(one[1, at], other[1, at]), same))
-            held = rows[:, -REACH:]
+            held = rows[:, -(reach + 1) :]
             a, b, same = (np.concatenate(x) for x in zip(*out))
+            names = ["a", "b", "same", "head"]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same)], names=["a", "b", "same"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(same), pa.nulls(len(a), pa.int64())], names=names)
+            if crowded.shape[1]:
+                none = pa.nulls(crowded.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(crowded[1]), none, none, pa.array(crowded[0])], names=names)
 
     return run
 
@@ -165,6 +177,72 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return meet(docs, pairs).mapInArrow(_compare(percent), "u long, v long")
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document and distinct shingle. Rows are sorted by document; one that repeats an id adds nothing."""
+    last = None
+    for batch in batches:
+        ids, groups = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component"))
+        for rows, data, offsets in chunks(batch, "text"):
+            value, starts = shingle_sets(data, offsets)
+            doc, n = ids[rows], np.diff(starts)
+            new = np.r_[doc[:1] != last if last is not None else True, doc[1:] != doc[:-1]]
+            times, last = np.where(new, n, 0), int(doc[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[np.repeat(new, n)].view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (doc, groups[rows], n))],
+                names=["shingle", "doc_id", "component", "n"],
+            )
+
+
+def crowded_sets(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, component: sets whose partners the forest may have passed by.
+
+    Those are the sets that have more neighbours than the reach, in CROWDED orders or more, in regions that still hold several components.
+    A pair at the threshold shares the first values of about 20 of the 48 orders (of fewer than 7 with a probability of
+    1e-5), and is passed by only if it is out of reach in every one of them.
+    """
+    known = labels.select(F.col("id").alias("doc_id"), F.col("super_id").alias("component"))
+    crowd = met.where("b is null").select("head", F.col("a").alias("doc_id")).distinct().join(known, "doc_id", "left")
+    crowd = cut_lineage(crowd.withColumn("component", F.coalesce("component", "doc_id")), "crowded")
+    mixed = crowd.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("head")
+    inside = salted_join(crowd, mixed, ["head"], F.col("doc_id"), salts=SALTS)
+    return inside.groupBy("doc_id").agg(F.min("component").alias("component"), F.count("*").alias("orders")).where(
+        F.col("orders") >= CROWDED
+    ).drop("orders")
+
+
+def prefix_pairs(whole: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``sets`` in different components that may reach ``percent``: none that does is missing.
+
+    Shingles that one component alone has come first in the common order, the others by the number of sets that hold them.
+    Two sets that are similar enough have their first common shingle in the first quarter of the larger one and the first seventh of
+    the smaller one (at 75), with enough shingles after it in both. The shingles of a template that all have stand at the end,
+    so a large group of middling similarity meets by its rare shingles only. The size of the partner that
+    a place in the order allows for is part of the key.
+    """
+    p = F.lit(percent)
+    texts = whole.hint("merge").join(sets, "doc_id").select("doc_id", "component", "text").sortWithinPartitions("doc_id")
+    postings = cut_lineage(texts.mapInArrow(_postings, "shingle long, doc_id long, component long, n long"), "postings")
+    shared = postings.groupBy("shingle").agg(
+        F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo < hi").select("shingle", "f")
+    mine = salted_join(postings, shared, ["shingle"], F.col("doc_id"), salts=SALTS)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("f"), F.desc("shingle"))
+    ranked = mine.withColumn("left", F.row_number().over(order).cast("long"))  # this shingle and those after it
+    prefixes = cut_lineage(ranked.where(F.col("left") * 100 >= p * F.col("n")).drop("f"), "prefixes")
+    size = lambda n: F.floor(F.log(n) * 10).cast("int")
+    least, most = F.ceil(p * F.col("n") / 100), F.least(F.col("n"), F.floor(F.col("left") * (100 + p) / p) - F.col("n"))
+    probes = prefixes.where(least <= most).withColumn("size", F.explode(F.sequence(size(least), size(most))))
+    index = prefixes.where(F.col("left") * (100 + p) >= 2 * p * F.col("n")).select(
+        "shingle", size(F.col("n")).alias("size"), F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"),
+        F.col("left").alias("lb"),
+    )
+    met = salted_join(probes, index, ["shingle", "size"], F.col("doc_id"), salts=SALTS).where(
+        (F.col("component") != F.col("cb")) & ((F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("doc_id"))))
+        & (100 * F.col("nb") >= p * F.col("n")) & ((100 + p) * F.least("left", "lb") >= p * (F.col("n") + F.col("nb")))
+    )
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of documents whose shingle sets have a Jaccard similarity of percent / 100.
 
@@ -174,6 +252,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
        prefixes next to each other.
     3. Candidates are confirmed on whole sets, first each set's three most similar partners; after that only
        pairs that those links leave in different components, since others cannot change a component.
+    4. Sets of regions too crowded for the reach, where these still hold several components, meet by an exact
+       prefix join on their shingles, so that no link is lost there; its pairs are confirmed in the same way.
 
     A text with fewer than five words is one shingle; a null, empty or blank text has none and stands alone. A row without id
     takes no part. Rows that repeat an id and its text give one result. Other columns are ignored.
@@ -182,15 +262,16 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     sketches = cut_lineage(whole.mapInArrow(_sketch, SKETCH), "sketches")
     some = sketches.where("n_shingles > 0")
     classes = some.groupBy("mark1", "mark2").agg(F.min("doc_id").alias("rep"))
-    members = some.select("doc_id", "n_shingles", "mark1", "mark2").join(classes, ["mark1", "mark2"])
-    members = cut_lineage(members, "members")
+    members = some.select("doc_id", "n_shingles", "mark1", "mark2")
+    members = cut_lineage(salted_join(members, classes, ["mark1", "mark2"], F.col("doc_id"), salts=SALTS), "members")
     copies = members.where("doc_id <> rep").select("doc_id", "mark1", "mark2").distinct()
     reps = some.join(copies, ["doc_id", "mark1", "mark2"], "left_anti").select("doc_id", "n_shingles", "signature")
     orders = reps.mapInArrow(_forest, "head long, high long, low long, doc_id long, n long, bits1 long, bits2 long")
     near = orders.repartition("head").sortWithinPartitions("head", "high", "low", "doc_id").mapInArrow(
-        _neighbours(percent / 100), "a long, b long, same long"
+        _neighbours(percent / 100), "a long, b long, same long, head long"
     )
-    pairs = cut_lineage(near.groupBy("a", "b").agg(F.max("same").alias("same")), "candidates")
+    met = cut_lineage(near, "neighbours")
+    pairs = cut_lineage(met.where("b is not null").groupBy("a", "b").agg(F.max("same").alias("same")), "candidates")
 
     both = pairs.select(F.col("a").alias("x"), "b", "a", "same").unionByName(pairs.select(F.col("b").alias("x"), "b", "a", "same"))
     order = Window.partitionBy("x").orderBy(F.desc("same"), "a", "b")  # at most 2 * TREES * REACH rows
@@ -204,7 +285,10 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     )
     rest = cut_lineage(open_pairs.join(best, ["a", "b"], "left_anti"), "open")
     second = cut_lineage(confirm(whole, rest, percent), "links")
-    final = _labels(pairs, first.unionByName(second))
+    found = _labels(pairs, first.unionByName(second))
+    tied = cut_lineage(prefix_pairs(whole, cut_lineage(crowded_sets(met, found), "tied"), percent), "candidates")
+    third = cut_lineage(confirm(whole, tied, percent), "links")
+    final = current_labels(found.unionByName(extend_components(found, third.select(F.col("u").alias("id")), third, salts=2)))
     labelled = members.join(final, F.col("rep") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("super_id", "rep").alias("component_id")
     )

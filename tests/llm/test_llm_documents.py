@@ -159,6 +159,45 @@ def test_near_duplicates_equal_brute_force(docs, rows, empty):
     assert near.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_lose_no_link_in_a_crowded_region(spark, monkeypatch):
+    """Texts on one template (similarity 0.67), a few pairs of them at 0.77; neighbours meet one place on each side only."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    template = [word() for _ in range(170)]
+    rows, common = [], []
+    for i in range(500):
+        if i % 25 != 1:
+            common = [] if i % 25 else [word() for _ in range(14)]
+        rows.append((i, " ".join(template + common + [word() for _ in range(36 - len(common))])))
+    rows += [(500, rows[3][1]), (501, None), (3, rows[3][1]), (502, " ".join(template[:150])), (503, " ".join(template + ["x"] * 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = components(rows)
+    monkeypatch.setattr(near, "REACH", 1)
+    found = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(docs).collect()}
+    assert found() == want
+    monkeypatch.setattr(near, "CROWDED", near.TREES + 1)
+    assert found() != want  # the forest alone passes some by
+
+
+def test_prefix_join_equals_all_pairs(spark):
+    """Random sets of all sizes over few words: every pair that is similar enough is a candidate."""
+    rng = random.Random(4)
+    base = [[rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 60))] for _ in range(12)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 12])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh") * 3
+        rows.append((i, " ".join(w[: rng.randint(max(1, len(w) * 2 // 3), len(w))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingle_set(t) for i, t in rows}
+    for percent in (75, 50, 100):
+        alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = near.prefix_pairs(docs, docs.select("doc_id", F.col("doc_id").alias("component")), percent)
+        assert alike <= {(r["a"], r["b"]) for r in got.collect()}
+        assert {(r["u"], r["v"]) for r in near.confirm(docs, got, percent).collect()} == alike
+
+
 def test_confirm_deals_out_a_text_with_many_visitors(spark, monkeypatch):
     monkeypatch.setattr(near, "VISITORS", 2)
     same = spark.createDataFrame([(i, "a b c d e f g") for i in range(9)], "doc_id long, text string")

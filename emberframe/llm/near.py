@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     tied = cut_lineage(prefix_pairs(whole, cut_lineage(crowded_sets(met, found), "tied"), percent), "candidates")
     third = cut_lineage(confirm(whole, tied, percent), "links")
     final = current_labels(found.unionByName(extend_components(found, third.select(F.col("u").alias("id")), third, salts=2)))
-    labelled = members.join(final, F.col("rep") == F.col("id"), "left").select(
+    of_rep = final.withColumnRenamed("id", "rep")
+    labelled = salted_join(members, of_rep, ["rep"], F.col("doc_id"), "left", SALTS).select(
         "doc_id", "n_shingles", F.coalesce("super_id", "rep").alias("component_id")
     )
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

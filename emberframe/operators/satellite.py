@@ -78,14 +78,15 @@ def daily_mosaic(scenes: DataFrame, pixels: DataFrame) -> DataFrame:
 
     ``cloud`` is the cloud cover at which the pixel gets filled; a pixel no scene fills stays NULL.
     Equally cloudy scenes keep the order of their ids. The rank is attached to the scene rows and compared inside the
-    aggregate, which combines before the shuffle: pixels are never sorted.
+    aggregate, which combines before the shuffle: pixels are never sorted by cloud. Pixels often come from an explode, whose size
+    the planner takes for that of its input, so neither side may be broadcast.
     """
     cloud = F.coalesce("cloud_cover", F.lit(100.0))
     clear_first = Window.partitionBy(*SCENE_DAY).orderBy("cloud_cover", "scene_id")  # scenes of a day, not pixels
     ordered = scenes.select("scene_id", *SCENE_DAY, cloud.alias("cloud_cover")).withColumn("scene_order", F.row_number().over(clear_first))
     known = F.col("value").isNotNull()
     return (
-        pixels.join(ordered, "scene_id")
+        pixels.join(ordered.hint("merge"), "scene_id")
         .groupBy(*SCENE_DAY, "band", "pixel")
         .agg(
             F.min_by("value", F.when(known, F.col("scene_order"))).alias("value"),

@@ -240,3 +240,13 @@ def test_decision_boundary_differs_by_flag(spark):
     df = spark.createDataFrame([(0.5, 1)], "score double, label int")
     assert metrics.binary_metrics(df, inclusive=True).first()["tp"] == 1
     assert metrics.binary_metrics(df, inclusive=False).first()["tp"] == 0
+
+
+def test_mosaic_never_broadcasts_exploded_pixels(spark):
+    """An explode counts as large as its input for the planner, so the pixels of many scenes looked small enough to broadcast."""
+    scenes = spark.range(20).selectExpr("id AS scene_id", "0 AS tile_no", "date'2024-06-01' AS acq_date", "1.0 AS cloud_cover")
+    pixels = spark.range(20).selectExpr("id AS scene_id", "0 AS band", "explode(sequence(0, 999)) AS pixel", "1 AS value")
+    mosaic = satellite.daily_mosaic(scenes, pixels)
+    plan = mosaic._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert mosaic.count() == 1000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.probability import order_hash
 from emberframe.operators import graph, metrics, model, ranking, sampling, split
+from emberframe.operators.skew import salted_join
 from emberframe.streaming import resume
 
 
@@ -222,3 +223,13 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
         total += n
         want[v] = total
     assert {r["v"]: r["upto"] for r in got.collect()} == want
+
+
+def test_salted_side_is_never_broadcast(spark):
+    """The planner takes a side repeated once per salt for as small as the side itself."""
+    many = spark.range(100).selectExpr("id % 3 AS k", "id AS v")
+    one = spark.range(3).selectExpr("id AS k", "id * 10 AS w")
+    out = salted_join(many, one, ["k"], F.col("v"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert out.where("w = k * 10").count() == 100

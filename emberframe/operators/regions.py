@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from emberframe.operators.satellite import search_catalogue
 
+NEAR = 1e-9  # part of a cell by which rounding may move the place of an edge
+
 
 def ring_edges(vertices: DataFrame, *keys: str) -> DataFrame:
     """Edges x1, y1, x2, y2 of closed rings from their vertices (keys, seq, lon, lat)."""
@@ -20,13 +22,27 @@ def _x_at(e, y: Column) -> Column:
     return e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
 
 
-def _y_at(e, x: Column) -> Column:
-    return e["y1"] + (x - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
+def _range(low: Column, high: Column, cell: float) -> Column:
+    """Cells that an edge touches; an edge on a border, or beside it by rounding, belongs to the cells on both sides."""
+    return F.sequence(F.ceil(low / F.lit(cell) - F.lit(NEAR)) - 1, F.floor(high / F.lit(cell) + F.lit(NEAR)))
 
 
-def _range(low: Column, high: Column, cell: float) -> Column:
-    """Cells that an edge touches; an edge on a border belongs to the cells on both sides."""
-    return F.sequence(F.ceil(low / F.lit(cell)) - 1, F.floor(high / F.lit(cell)))
+def _crosses(e, x: Column, y: Column) -> Column:
+    """Whether a ray from (x, y) to the east meets the edge."""
+    return (e["y1"] != e["y2"]) & ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y1"] != e["y2"], _x_at(e, y) > x)
+
+
+def _beyond(e, x: Column, y: Column) -> Column:
+    """The same for a border x: an edge with both ends on one side of it lies on that side, however its place is rounded."""
+    right = (e["x1"] > x) & (e["x2"] > x)
+    return ((e["y1"] > y) != (e["y2"] > y)) & (right | (((e["x1"] > x) != (e["x2"] > x)) & _crosses(e, x, y)))
+
+
+def _over(e, x: Column, y: Column) -> Column:
+    """Whether the edge meets the border x above y. It is read off ``_beyond``, so that both agree at every rounding."""
+    rises = (e["x1"] > x) == (e["y1"] > y)  # the end beyond the border is the upper one
+    met = F.when((e["y1"] > y) == (e["y2"] > y), e["y1"] > y).otherwise(_beyond(e, x, y) != rises)
+    return ((e["x1"] > x) != (e["x2"] > x)) & met
 
 
 def index_regions(vertices: DataFrame, cell: float) -> DataFrame:
@@ -47,9 +63,8 @@ def index_regions(vertices: DataFrame, cell: float) -> DataFrame:
     corner_x, corner_y = (F.col("_cx") + 1) * F.lit(cell), (F.col("_cy") + 1) * F.lit(cell)
     e = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     banded = edges.withColumn("_cy", F.explode(_range(low("y1", "y2"), high("y1", "y2"), cell)))
-    crossed = ((e["y1"] > corner_y) != (e["y2"] > corner_y)) & (_x_at(e, corner_y) > corner_x)
     # A band holds an edge for each row of cells it touches; the corner above a row is tested against that row's edges only.
-    parity = cells.join(banded, ["name", "_cy"]).where((e["y1"] != e["y2"]) & crossed).groupBy("name", "_cx", "_cy").agg((F.count("*") % 2).alias("_odd"))
+    parity = cells.join(banded, ["name", "_cy"]).where(_beyond(e, corner_x, corner_y)).groupBy("name", "_cx", "_cy").agg((F.count("*") % 2).alias("_odd"))
     near = banded.withColumn("_cx", F.explode(_range(low("x1", "x2"), high("x1", "x2"), cell))).groupBy("name", "_cx", "_cy").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
     )
@@ -64,22 +79,17 @@ def locate_in_regions(points: DataFrame, index: DataFrame, cell: float, into: st
     """``points`` with the name of their region, NULL outside all; where regions overlap the first name counts.
 
     One equi-join on the cell, which never multiplies a point. Inside a cell the path from the point east to the border and
-    then up to the corner is followed: each edge of the cell that it crosses turns the corner's answer around.
+    then up to the corner is followed: each edge of the cell that it crosses turns the corner's answer around. An edge adds its
+    crossings of the whole ray from the point, from the border and from the corner, so the answer is that of the ray from
+    the point against all edges, for points on an edge too.
     """
     x, y = F.col(lon), F.col(lat)
     corner_x, corner_y = (F.col("_cx") + 1) * F.lit(cell), (F.col("_cy") + 1) * F.lit(cell)
 
     def crossings(edges: Column) -> Column:
-        east = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (_x_at(e, y) > x) & (_x_at(e, y) <= corner_x)
-
-        def up(e):
-            # Just right of the border a rising edge is above the height where it meets the border, any other one is not.
-            height, rises = _y_at(e, corner_x), (e["y2"] - e["y1"]) * (e["x2"] - e["x1"]) > 0
-            over = (height > y) | ((height == y) & rises)
-            return ((e["x1"] > corner_x) != (e["x2"] > corner_x)) & over & ((height < corner_y) | ((height == corner_y) & ~rises))
-
-        flat = lambda e, a, b, test: F.when(e[a] != e[b], test(e).cast("int")).otherwise(0)
-        turns = F.transform(edges, lambda e: flat(e, "y1", "y2", east) + flat(e, "x1", "x2", up))
+        east = lambda e: _crosses(e, x, y) != _beyond(e, corner_x, y)
+        up = lambda e: _over(e, corner_x, y) != _over(e, corner_x, corner_y)
+        turns = F.transform(edges, lambda e: (east(e) != up(e)).cast("int"))
         return F.aggregate(turns, F.lit(0), lambda a, t: a + t)
 
     inside = lambda r: (crossings(r["edges"]) % 2 == 1) != r["odd"]

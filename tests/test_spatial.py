@@ -77,6 +77,23 @@ def test_points_in_polygons(spark, cell):
     assert "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_points_on_slanted_edges(spark):
+    """Points on an edge up to rounding: the cells answer as the ray against all edges does, wherever the edge leaves the cell."""
+    ring = [(-125.0, 55.0), (-121.5, 55.0), (-121.5, 56.4), (-122.6, 56.9), (-122.0, 57.2), (-123.0, 58.0), (-125.0, 58.0)]
+    hole = [(-123.9, 56.2), (-123.2, 56.2), (-123.2, 57.0), (-123.6, 56.45), (-123.9, 57.0)]
+    points = []
+    for (ax, ay), (bx, by) in [pair for r in (ring, hole) for pair in zip(r, r[1:] + r[:1])]:
+        for i in range(801):
+            y = ay + (by - ay) * i / 800
+            x = ax + (y - ay) * (bx - ax) / (by - ay) if ay != by else ax + (bx - ax) * i / 800
+            points += [(x, y), (float(np.nextafter(x, 0)), y), (float(np.nextafter(x, -200)), y), (x, float(np.nextafter(y, 0)))]
+    vertices = [("a", i, j, *p) for i, r in enumerate((ring, hole)) for j, p in enumerate(r)]
+    index = regions.index_regions(spark.createDataFrame(vertices, "name string, ring int, seq int, lon double, lat double"), 0.25)
+    out = regions.locate_in_regions(spark.createDataFrame(points, "lon double, lat double"), index, 0.25)
+    wrong = [p for p in out.collect() if (p["region"] == "a") != inside((ring, hole), p["lon"], p["lat"])]
+    assert not wrong
+
+
 def test_footprints_against_boxes(spark):
     day = "date'2020-06-01'"
     boxes = spark.sql(f"SELECT 't' AS tile, 0e0 AS min_lon, 1e0 AS max_lon, 0e0 AS min_lat, 1e0 AS max_lat, {day} AS first_date, {day} AS last_date")

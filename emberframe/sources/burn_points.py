@@ -24,7 +24,8 @@ def with_row_order(raw: DataFrame) -> DataFrame:
     })
     blocks = marked.groupBy("_path", "_start").agg(F.min("_id").alias("_first"))
     blocks = blocks.withColumn("_block", F.row_number().over(Window.orderBy("_path", "_start")).cast("bigint"))
-    placed = marked.join(blocks, ["_path", "_start"])
+    # A join dealt by block would bring all rows of a block into one task; there is one row here per block of a file.
+    placed = marked.join(F.broadcast(blocks), ["_path", "_start"])
     return placed.withColumn("row_seq", F.shiftleft("_block", 33) + F.col("_id") - F.col("_first")).drop(
         "_path", "_start", "_id", "_first", "_block"
     )

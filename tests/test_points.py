@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from emberframe.catalog import fixtures
 from emberframe.functions import geo, timeops, values
 from emberframe.operators import burn, pairing, surface, tiles
 from emberframe.sources import burn_points, tile_index
@@ -156,3 +157,11 @@ def test_whole_file_index_and_override(spark, tmp_path):
     rows = tile_index.read_tile_fires_json(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")], whole_file=True)
     got = sorted((r["dob"], r["first_seq"], r["id"], r["fireday"]) for r in tile_index.later_source_wins(rows).collect())
     assert got == [(5, 0, "z", 9), (5, 1, "y", 1), (6, 0, "x", 3)]
+
+
+def test_spread_follows_the_rows(spark, monkeypatch):
+    """A larger table is dealt to more tasks, not to larger ones."""
+    monkeypatch.setattr(fixtures, "ROWS_PER_PARTITION", 100)
+    spread = fixtures._spread(spark.range(2345).toDF("k"))
+    sizes = [r["n"] for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2345 and max(sizes) <= 110

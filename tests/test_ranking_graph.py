@@ -233,3 +233,26 @@ def test_salted_side_is_never_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert out.where("w = k * 10").count() == 100
+
+
+def test_super_fires_link_tile_days(spark, monkeypatch):
+    """Many fires on few tile-days: the graph has the tile-days, not the fires, and the labels are those of brute force."""
+    rng = random.Random(5)
+    rows = [(f"f{i}", 2020, i % 3, 0, 100 + rng.randrange(4), 1, i) for i in range(300)] + [("f1", 2020, 0, 0, 100, 2, 999), ("alone", 2020, 9, 9, 5, 1, 7), ("nowhere", 2020, None, 0, 5, 1, 8)]
+    rows += [(f"m{i}", 2020, None, 1, 5, 1, i) for i in range(2)]  # without a tile they share nothing
+    sizes, contract = [], graph.connected_components
+
+    def counted(vertices, edges, *args, **options):
+        sizes.append(edges.count())
+        return contract(vertices, edges, *args, **options)
+
+    monkeypatch.setattr(graph, "connected_components", counted)
+    fires = spark.createDataFrame(rows, "id string, year int, tile_col int, tile_row int, dob int, fireday int, first_seq long")
+    got = {r["id"]: r["super_id"] for r in graph.super_fires(fires).collect()}
+    groups = [{i} for i in {r[0] for r in rows}]
+    for day in {r[1:5] for r in rows if None not in r[1:5]}:
+        here = {r[0] for r in rows if r[1:5] == day}
+        joined = [g for g in groups if g & here]
+        groups = [g for g in groups if not g & here] + [set().union(*joined)]
+    assert got == {i: min(g) for g in groups for i in g}
+    assert max(sizes) <= len({r[1:5] for r in rows})

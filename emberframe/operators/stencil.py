@@ -10,15 +10,17 @@ burned area rather than the 65 536 cells of a tile.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe import constants as k
-from emberframe.operators.graph import connected_components
-from emberframe.session import cut_lineage
 
 KEYS = ("tile", "day")
+CELLS_AT_ONCE = 1 << 19  # burned cells whose holes are labelled together, about
 
 
 def by_tile(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -134,8 +136,8 @@ def fill_holes(mask: DataFrame, keys: tuple[str, ...], max_size: int = 1, grid:
     """Add 4-connected background components of at most ``max_size`` cells to a sparse mask.
 
     ``max_size=1`` needs one exchange: a background cell is filled when all its in-tile
-    4-neighbours are burned.  A larger hole lies within ``max_size`` steps of the mask, so only background that
-    near is labelled; a part of it that goes on further is open, hence too large.
+    4-neighbours are burned.  Larger holes need one too: the cells of a tile-day meet as one list (at most grid**2 numbers),
+    and only background within ``max_size`` steps of the mask is labelled; a part of it that goes on further is too large.
     """
     cells = [*keys, "pixel_y", "pixel_x"]
     mask = mask.select(*cells)
@@ -145,19 +147,69 @@ def fill_holes(mask: DataFrame, keys: tuple[str, ...], max_size: int = 1, grid:
         arrivals = push_to_neighbours(mask, CROSS, grid).groupBy(*cells).agg(F.count("*").alias("_n"))
         holes = arrivals.where(F.col("_n") == _in_grid(CROSS, grid)).select(*cells).join(mask, cells, "left_anti")
         return mask.unionByName(holes)
-    near = push_to_neighbours(mask, CROSS, grid).distinct().join(mask, cells, "left_anti")
-    for _ in range(max_size - 1):
-        near = near.unionByName(push_to_neighbours(near, CROSS, grid)).distinct().join(mask, cells, "left_anti")
-    background = cut_lineage(near.withColumn("id", F.concat_ws("|", *cells)), "background")
-    ahead = push_to_neighbours(background.withColumnRenamed("id", "v"), CROSS, grid).join(mask, cells, "left_anti")
-    met = ahead.join(background, cells, "left")
-    open_ = met.where("id IS NULL").select(F.col("v").alias("id")).distinct()
-    edges = met.where("id IS NOT NULL").select(F.col("id").alias("u"), "v")
-    labelled = background.join(connected_components(background, edges), "id").join(open_.withColumn("_open", F.lit(True)), "id", "left")
-    small = labelled.groupBy("super_id").agg(F.count("*").alias("_n"), F.max("_open").alias("_open")).where(
-        (F.col("_n") <= max_size) & F.col("_open").isNull()
-    )
-    return mask.unionByName(labelled.join(small, "super_id", "left_semi").select(*cells))
+    place = (F.col("pixel_y") * grid + F.col("pixel_x")).cast("int")
+    packed = mask.groupBy(*keys).agg(F.collect_list(place).alias("_cells"))
+    kinds = [f"`{c}` {mask.schema[c].dataType.simpleString()}" for c in keys]
+    found = packed.mapInArrow(_small_holes(max_size, grid), ", ".join([*kinds, "_hole int"]))
+    at = {"pixel_y": F.floor(F.col("_hole") / grid), "pixel_x": F.col("_hole") % grid}
+    holes = found.select(*keys, *[c.cast(mask.schema[n].dataType).alias(n) for n, c in at.items()])
+    return mask.unionByName(holes)
+
+
+def _small_holes(max_size: int, grid: int):
+    """Rows of a tile-day's burned cells (``_cells``: y * grid + x) to rows of the cells of its small holes (``_hole``)."""
+    wide = grid + 2  # a rim on all sides
+    moves = (-wide, -1, 1, wide)
+
+    def inside(code: np.ndarray) -> np.ndarray:
+        y, x = code % (wide * wide) // wide, code % wide
+        return (y >= 1) & (y <= grid) & (x >= 1) & (x <= grid)
+
+    def holes(burned: np.ndarray) -> np.ndarray:
+        near = np.zeros(0, np.int64)
+        edge = burned
+        for _ in range(max_size):
+            edge = np.unique(np.concatenate([edge + m for m in moves]))
+            edge = edge[inside(edge)]
+            edge = np.setdiff1d(np.setdiff1d(edge, burned, assume_unique=True), near, assume_unique=True)
+            near = np.union1d(near, edge)
+        if not len(near):
+            return near
+        met = []
+        for m in moves:
+            at = np.minimum(np.searchsorted(near, near + m), len(near) - 1)
+            met.append((at, near[at] == near + m))
+        label = np.arange(len(near))
+        for _ in range(max_size - 1):  # a component of max_size cells has one label by then
+            label = np.minimum.reduce([label, *[np.where(hit, label[at], label) for at, hit in met]])
+        large = np.zeros(len(near), bool)
+        for (at, hit), m in zip(met, moves):
+            beyond = ~hit & inside(near + m) & ~np.isin(near + m, burned)
+            large[label[beyond | (hit & (label[at] != label))]] = True
+        large |= np.bincount(label, minlength=len(near)) > max_size
+        return near[~large[label]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_cells")
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(batch):
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + CELLS_AT_ONCE, side="right")))
+                part = lists.slice(first, last - first)
+                cells = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(last - first), part.value_lengths().to_numpy(zero_copy_only=False))
+                found = holes(np.unique(row * (wide * wide) + (cells // grid + 1) * wide + cells % grid + 1))
+                row, place = found // (wide * wide) + first, found % (wide * wide)
+                cell = (place // wide - 1) * grid + place % wide - 1
+                keys = [c for c in batch.schema.names if c != "_cells"]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(pa.array(row)) for c in keys], pa.array(cell.astype(np.int32))], names=[*keys, "_hole"]
+                )
+                first = last
+
+    return run
 
 
 def pool(cells: DataFrame, factor: int, keys: tuple[str, ...], aggs: dict[str, Column], grid: int | None = None) -> DataFrame:

@@ -250,3 +250,19 @@ def test_mosaic_never_broadcasts_exploded_pixels(spark):
     plan = mosaic._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert mosaic.count() == 1000
+
+
+def test_larger_holes_shuffle_once(spark, monkeypatch):
+    """Several tile-days in chunks of few cells, with a hole of four cells that stays open, in one shuffle."""
+    monkeypatch.setattr(stencil, "CELLS_AT_ONCE", 60)
+    rng = np.random.default_rng(4)
+    masks = [rng.random((GRID, GRID)) < p for p in (0.3, 0.6, 0.9, 1.0)]
+    masks[3][2, 2:6] = False
+    rows = [(t, "d", int(y), int(x)) for t, m in enumerate(masks) for y, x in zip(*np.nonzero(m))]
+    frame = spark.createDataFrame(rows, "tile int, day string, pixel_y int, pixel_x int")
+    for size in (2, 3, 5):
+        filled = stencil.fill_holes(frame, ("tile", "day"), size, GRID)
+        got = {tuple(r) for r in filled.collect()}
+        want = {(t, "d", int(y), int(x)) for t, m in enumerate(masks) for y, x in zip(*np.nonzero(small_background(m, size)))}
+        assert got == want
+        assert filled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from emberframe import constants as k
 from emberframe.catalog import fixtures
 from emberframe.catalog.pixels import raster
-from emberframe.catalog.points import TD, label_inputs, located
+from emberframe.catalog.points import TD, located
 from emberframe.catalog.registry import r, register, rounded
 from emberframe.catalog.sql import R, SPAN, num, query
 from emberframe.functions import timeops
 from emberframe.functions.geo import lambert_parameters
-from emberframe.operators import burn, nearest, regions, resample, states, strips, tiles
+from emberframe.operators import burn, nearest, pairing, regions, resample, states, strips, tiles
 from emberframe.operators.tiles import PIXEL, TILE, TILE_DAY
 from emberframe.session import scratch_path
 from emberframe.sources import day_store
@@ -198,18 +198,27 @@ _CELL = "pixel_y * 256 + pixel_x + 1"
 )
 def e2_strip_samples(spark, d):
     """Input and label arrays of every next-day pair at full size: first burn day, burned cells around each cell, new growth."""
-    _, pairs, current, target = label_inputs(spark, d)
-    grown = burn.growth_labels(pairs, current, target)
-    rows = strips.fill(strips.scaffold(pairs), current.select(*TILE_DAY, *PIXEL, F.col("first_fireday").cast("smallint"), F.lit(1).cast("tinyint").alias("burned")), {"first_fireday": 0, "burned": 0})
-    rows = strips.fill(rows, grown.select(*TILE_DAY, *PIXEL, F.col("label").cast("tinyint")), {"label": 0})
-    rows = strips.window(rows, "burned", "around", lambda a, b: a + b, 0)
-    packed = strips.pack(rows, ["first_fireday", "burned", "around", "label"])
+    table = burn.burn_table(located(spark, d))
+    fires, masks = tiles.tile_fires(table), burn.masks_of(table)
+    pairs = pairing.next_day_pairs(pairing.tile_days(fires))
+    keys = (*TILE_DAY, "day_block")
+    block = burn.day_block(F.col("dob")).alias("day_block")
+    current = burn.history_cells(fires.join(pairs, list(TILE_DAY), "left_semi"), masks)
+    grown = burn.new_growth(fires, masks, pairs)
+    rows = strips.fill(
+        strips.scaffold(pairs.select(*TILE_DAY, block), keys),
+        current.select(*keys, *PIXEL, F.col("first_fireday").cast("smallint"), F.lit(1).cast("tinyint").alias("burned")),
+        {"first_fireday": 0, "burned": 0}, keys,
+    )
+    rows = strips.fill(rows, grown.select(*TILE_DAY, block, *PIXEL, F.lit(1).cast("tinyint").alias("label")), {"label": 0}, keys)
+    rows = strips.window(rows, "burned", "around", lambda a, b: a + b, 0, keys=keys)
+    packed = strips.pack(rows, ["first_fireday", "burned", "around", "label"], keys)
     # Read back strip by strip; strips of zeros add nothing.
     names = {"first_fireday": "fireday", "burned": "burned", "around": "around", "label": "label"}
     place = lambda i: F.col("y") * 256 + i + 1
     placed = lambda c: F.aggregate(F.transform(c, lambda v, i: v * place(i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    rows = lambda y: F.struct(y.alias("y"), *[F.slice(c, y * 256 + 1, F.lit(256)).alias(c) for c in names])
-    cut = packed.select(*TILE_DAY, F.size("label").alias("cells"), F.inline(F.transform(F.sequence(F.lit(0), F.lit(255)), rows)))
+    cut = packed.select(*TILE_DAY, *names, F.size("label").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("y"))
+    cut = cut.select(*TILE_DAY, "cells", "y", *[F.slice(c, F.col("y") * 256 + 1, F.lit(256)).alias(c) for c in names])
     cut = cut.withColumns({f"n_{c}": F.size(F.array_remove(c, F.lit(0).cast("smallint" if c == "first_fireday" else "tinyint"))).cast("bigint") for c in names})
     return cut.groupBy(*TILE_DAY, "cells").agg(
         *[F.sum(F.when(F.col(f"n_{c}") > 0, placed(c)).otherwise(0)).alias(new) for c, new in names.items() if c != "burned"],

@@ -25,21 +25,23 @@ def fill(
 ) -> DataFrame:
     """Add a channel per column of ``values`` (name to default) from cells, at most one per pixel; missing and NULL cells take the default.
 
-    Cells fold to a strip before they meet the scaffold; a sparse strip is its cells in order with the gaps between them.
-    Defaults take the type of the column.
+    Cells fold to a strip's arrays before they meet the scaffold, so rows of pixels are shuffled, not entries; a sparse strip is its
+    cells in order, each with the gap up to the next. Defaults take the type of the column.
     """
     entry = F.struct("pixel_x", *values)
     held = cells.groupBy(*keys, "pixel_y").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    other = {name: F.lit(default).cast(cells.schema[name].dataType) for name, default in values.items()}
+    after = lambda i: F.coalesce(F.get("_e", i + 1)["pixel_x"], F.lit(grid))
+
+    def row(name: str) -> Column:
+        value = lambda e: F.coalesce(e[name], other[name])
+        spaced = F.transform("_e", lambda e, i: F.concat(F.array(value(e)), F.array_repeat(other[name], after(i) - e["pixel_x"] - 1)))
+        sparse = F.concat(F.array_repeat(other[name], F.col("_e")[0]["pixel_x"]), F.flatten(spaced))
+        return F.when(F.size("_e") == grid, F.transform("_e", value)).otherwise(sparse)
+
+    held = held.select(*keys, "pixel_y", *[row(name).alias(name) for name in values])
     out = strips.join(held, [*keys, "pixel_y"], "left")
-    for name, default in values.items():
-        other = F.lit(default).cast(cells.schema[name].dataType)
-        value = lambda e: F.coalesce(e[name], other)  # noqa: B023, E731
-        gap = lambda n: F.array_repeat(other, n)  # noqa: B023, E731
-        start = F.array_repeat(other, F.lit(0))
-        sparse = F.aggregate("_e", start, lambda a, e: F.concat(a, gap(e["pixel_x"] - F.size(a)), F.array(value(e))), lambda a: F.concat(a, gap(F.lit(grid) - F.size(a))))  # noqa: B023
-        full = F.transform("_e", value)
-        out = out.withColumn(name, F.when(F.col("_e").isNull(), gap(F.lit(grid))).when(F.size("_e") == grid, full).otherwise(sparse))
-    return out.drop("_e")
+    return out.withColumns({name: F.coalesce(F.col(name), F.array_repeat(other[name], grid)) for name in values})
 
 
 def shift(row: Column, by: int, outside: Column) -> Column:

@@ -206,6 +206,7 @@ def pack(
             yield _rows(done, base, None)
         if rest := windows.rest():
             yield _rows(rest, base, part)
+        pa.default_memory_pool().release_unused()  # the worker may wait for long before its next task
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         """Largest piece first into the tightest of all windows."""

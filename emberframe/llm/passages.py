@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 from emberframe.llm.near import VISITORS
 from emberframe.llm.substrings import _sliding_min
 from emberframe.llm.text import SHINGLE_WORDS, _powers, chunks, mix, shingles, words
+from emberframe.operators.skew import salted_join
 from emberframe.session import cut_lineage
 
 WORDS = 50  # least length of a passage
 HASHES = 4
 DRIFT = 6  # words by which a passage may shift against its source
-ROW = "key long, doc_id long, l int, r int, other long, ol int, orr int"
+FEW = 3  # windows of a signature that are linked all with all at once
+BLOCK = 1024  # neighbourhoods of a signature that one task compares with as many others
+ROW = "key long, doc_id long, l int, r int, other long, ol int, orr int, c int"
+LINK = "a long, b long, al int, ar int, bl int, br int"
 _SALTS = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -83,14 +88,14 @@ def _signatures(key: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, be
     return c[at], l[at], r[at], mix(key[at] ^ np.concatenate(sides))
 
 
-def _rows(key, doc, l, r, other=None, ol=None, orr=None) -> pa.RecordBatch:
-    ints = [None if x is None else pa.array(x.astype(np.int32)) for x in (l, r, ol, orr)]
+def _rows(key, doc, l, r, other=None, ol=None, orr=None, c=None) -> pa.RecordBatch:
     n = len(key)
+    ints = [pa.nulls(n, pa.int32()) if x is None else pa.array(x.astype(np.int32)) for x in (l, r, ol, orr, c)]
     return pa.RecordBatch.from_arrays(
         [pa.array(key.view(np.int64)), pa.array(doc), ints[0], ints[1],
          pa.nulls(n, pa.int64()) if other is None else pa.array(other),
-         ints[2] if ints[2] is not None else pa.nulls(n, pa.int32()), ints[3] if ints[3] is not None else pa.nulls(n, pa.int32())],
-        names=["key", "doc_id", "l", "r", "other", "ol", "orr"],
+         *ints[2:]],
+        names=["key", "doc_id", "l", "r", "other", "ol", "orr", "c"],
     )
 
 
@@ -121,17 +126,19 @@ def _windows(width: int):
                     c, l, r, key = _signatures(own[c] + salt, l, c, r, beside, width)
                     where = row[c]
                     order = np.lexsort((l, where, key))
-                    key, where, l, r = key[order], where[order], l[order], r[order]
+                    key, where, l, r, c = key[order], where[order], l[order], r[order], c[order]
                     head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (where[1:] != where[:-1])])
-                    key, where, l, r = key[head], where[head], l[head], np.maximum.reduceat(r, head)
+                    several = np.diff(np.r_[head, len(key)]) > 1
+                    key, where, l, r, c = key[head], where[head], l[head], np.maximum.reduceat(r, head), c[head]
                     content = mix((total[r + 1] - total[l]) * down[l] + (r - l).astype(np.uint64))
-                    doc, l, r = ids[rows][where], l - base[where], r - base[where]
+                    doc, l, r, c = ids[rows][where], l - base[where], r - base[where], c - base[where]
+                    c = np.where(several, ~c, c)
                     order = np.lexsort((l, doc, content, key))
-                    key, content, doc, l, r = key[order], content[order], doc[order], l[order], r[order]
+                    key, content, doc, l, r, c = key[order], content[order], doc[order], l[order], r[order], c[order]
                     head = np.r_[True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])]
                     lead = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
                     away = doc != doc[lead]
-                    yield _rows(key[~away], doc[~away], l[~away], r[~away])
+                    yield _rows(key[~away], doc[~away], l[~away], r[~away], c=c[~away])
                     link = np.flatnonzero(away)
                     if len(link):
                         to = lead[link]
@@ -142,35 +149,256 @@ def _windows(width: int):
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id, l): each window of a signature is linked with the signature's first window and the one before it."""
-    names = ("key", "doc_id", "l", "r")
-    lead = last = None
-    for batch in batches:
-        done = batch.filter(pc.is_valid(batch.column("other")))
-        if done.num_rows:
-            yield done.select(["other", "doc_id", "ol", "orr", "l", "r"]).rename_columns(["a", "b", "al", "ar", "bl", "br"])
-        rest = batch.filter(pc.is_null(batch.column("other")))
-        if not rest.num_rows:
-            continue
-        rows = np.stack([rest.column(c).to_numpy().astype(np.int64) for c in names])
-        held = [x for x in (lead, last) if x is not None]
-        rows = np.concatenate([*held, rows], axis=1)
+    """Rows sorted by (key, doc_id, l): up to FEW windows of a signature are linked all with all, those of others leave with key and place."""
+    names = ("key", "doc_id", "l", "r", "c")
+    rows, open_key = np.zeros((5, 0), np.int64), None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            done = batch.filter(pc.is_valid(batch.column("other")))
+            if done.num_rows:
+                n = done.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*(done.column(x) for x in ("other", "doc_id", "ol", "orr", "l", "r")), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+                    names=["a", "b", "al", "ar", "bl", "br", "key", "c"],
+                )
+            rest = batch.filter(pc.is_null(batch.column("other")))
+            rows = np.concatenate([rows, np.stack([rest.column(x).to_numpy().astype(np.int64) for x in names])], axis=1)
         n = rows.shape[1]
-        head = np.r_[True, rows[0, 1:] != rows[0, :-1]]
-        first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        fresh = np.arange(n) >= len(held)
-        before = np.arange(n) - 1
-        out = []
-        for to, ok in ((first, fresh & ~head), (before, fresh & ~head & (before != first))):
-            at = np.flatnonzero(ok & (rows[1, to] != rows[1]))
-            out.append(np.concatenate([rows[1:, to[at]], rows[1:, at]]))
-        a = np.concatenate(out, axis=1)
-        if a.shape[1]:
-            small = [pa.array(a[k].astype(np.int32)) for k in (1, 2, 4, 5)]
+        if not n:
+            continue
+        heads = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        which = np.searchsorted(heads, np.arange(n), side="right") - 1
+        many = np.diff(np.r_[heads, n])[which] > FEW
+        if open_key is not None:
+            many |= rows[0] == open_key
+        waits = ~many & (which == which[-1]) & (batch is not None)  # the last signature may go on
+        at = [np.flatnonzero((which[k:] == which[:-k]) & ~many[k:] & ~waits[k:] & (rows[1, k:] != rows[1, :-k])) for k in range(1, min(FEW, n))]
+        one, other = np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *(x + k for k, x in enumerate(at, 1))])
+        m, crowd = len(one), rows[:, many]
+        if m:
+            small = [pa.array(rows[k, x].astype(np.int32)) for x in (one, other) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[1, one]), pa.array(rows[1, other]), *small, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())],
+                names=["a", "b", "al", "ar", "bl", "br", "key", "c"],
+            )
+        if crowd.shape[1]:
+            none, small = pa.nulls(crowd.shape[1], pa.int32()), [pa.array(crowd[k].astype(np.int32)) for k in (2, 3, 4)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[0]), pa.array(a[3]), *small], names=["a", "b", "al", "ar", "bl", "br"]
+                [pa.array(crowd[1]), pa.nulls(crowd.shape[1], pa.int64()), small[0], small[1], none, none, pa.array(crowd[0]), small[2]],
+                names=["a", "b", "al", "ar", "bl", "br", "key", "c"],
             )
-        lead, last = rows[:, first[-1:]].copy(), rows[:, -1:].copy()
+        open_key, rows = (rows[0, -1] if many[-1] else None), rows[:, waits]
+
+
+def _surroundings(width: int):
+    """Of each window the shingles around its least one, as 32 bits, 0 beyond the window; once for equal ones of a document and signature.
+
+    ``width`` - 1 places on each side hold every passage of ``width`` shingles through the least one; its counterpart may lie 2 * DRIFT further.
+    A window that stands for several of its signature (c is negative) is cut into pieces of that size, each ``width`` after the last, so that every
+    passage lies in one; pieces without the least shingle drop out.
+    """
+    reach = width - 1 + 2 * DRIFT
+    near = np.arange(-reach, reach + 1)
+    weight = mix(np.arange(1, len(near) + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = batch.column("doc_id").to_numpy(), batch.column("windows")
+            for rows, data, offsets in chunks(batch, "text"):
+                hashed, word_row, _, _ = words(data, offsets)
+                value, row, _ = shingles(hashed, word_row)
+                bounds = np.searchsorted(row, np.arange(len(offsets)))
+                short = np.maximum(value >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+                for k in range(len(offsets) - 1):
+                    own, mine, seen = value[bounds[k] : bounds[k + 1]], short[bounds[k] : bounds[k + 1]], set()
+                    found = held[rows.start + k].values if held[rows.start + k].is_valid else None
+                    if found is None or not len(own):
+                        continue
+                    key, l, r, c = (found.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("key", "l", "r", "c"))
+                    ok = r < len(own)  # a row that repeats the id may be shorter
+                    key, l, r, c = key[ok], l[ok], r[ok], c[ok]
+                    several, c = c < 0, np.where(c < 0, ~c, c)
+                    upto = np.cumsum(np.where(several, np.maximum(r - l + 1, width) // width, 1))
+                    for first in range(0, int(upto[-1]) if len(upto) else 0, 4096):
+                        step = np.arange(first, min(first + 4096, int(upto[-1])))
+                        w = np.searchsorted(upto, step, side="right")
+                        at = np.where(several[w], l[w] + (step - np.r_[0, upto][w]) * width + width - 1, c[w])
+                        place = at[:, None] + near
+                        beyond = (place < l[w][:, None]) | (place > r[w][:, None])
+                        token = np.where(beyond, np.uint32(0), mine[place.clip(0, len(mine) - 1)])
+                        inside = (token[:, 2 * DRIFT : -2 * DRIFT] == mine[c[w]][:, None]).any(axis=1)
+                        w, token = w[inside], token[inside]
+                        content = mix((token.astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                        new = []
+                        for x, name in enumerate(zip(key[w].tolist(), content.tolist())):
+                            if name not in seen:
+                                seen.add(name)
+                                new.append(x)
+                        if new:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(key[w][new]), pa.array(np.full(len(new), ids[rows.start + k])), pa.array(l[w][new].astype(np.int32)),
+                                 pa.array(r[w][new].astype(np.int32)), pa.array(content[new]),
+                                 pa.array([t.tobytes() for t in token[new]], pa.binary())],
+                                names=["key", "doc_id", "l", "r", "content", "tokens"],
+                            )
+
+    return run
+
+
+def _chosen(doc: np.ndarray, tokens: np.ndarray, width: int, least: int) -> list[tuple[int, int]]:
+    """(earlier, later) rows of one signature, sorted by document, that are to be compared.
+
+    A row meets, for each of its stretches of ``width`` shingles, the first earlier one that holds ``least`` of them, and one of each group of such
+    earlier ones that no meeting has joined yet: so every stretch meets a source, if the rows hold one, and all that are similar stay connected.
+    """
+    n, out = len(doc), []
+    value, name = np.unique(tokens, return_inverse=True)
+    name = name.reshape(tokens.shape)
+    pairs = np.unique(name * n + np.arange(n)[:, None])  # each shingle once per row
+    times = np.bincount(pairs // n, minlength=len(value))
+    shared = np.flatnonzero((times > 1) & (value != 0))
+    number = np.full(len(value), len(shared))  # the last column stands for all that no other row holds
+    number[shared] = np.arange(len(shared))
+    has = np.zeros((n, len(shared) + 1), bool)
+    has[np.arange(n)[:, None], number[name]] = True
+    has[:, -1] = False
+    middle = tokens.shape[1] // 2
+    inner = number[name[:, middle - width + 1 : middle + width]]
+    held = lambda x, least: (y := np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1, dtype=np.int16))[:, width:] - y[:, :-width] >= least
+    whole = held(tokens[:, middle - width + 1 : middle + width] != 0, width)
+    may = np.flatnonzero((held(inner < len(shared), least) & whole).any(axis=1))
+    group = np.arange(n)
+    for k in may[may > 0].tolist():
+        before = np.flatnonzero(doc[:k] != doc[k])
+        before = before[has[before][:, inner[k]].sum(axis=1) >= least]
+        if not len(before):
+            continue
+        covers = held(has[before[:, None], inner[k]], least) & whole[k]
+        near = covers.any(axis=1)
+        if not near.any():
+            continue
+        before, covers = before[near], covers[near]
+        first = np.zeros(len(before), bool)
+        first[covers.argmax(axis=0)[covers.any(axis=0)]] = True
+        groups, lead = np.unique(group[before], return_index=True)
+        first[lead[np.isin(groups, group[before[first]], invert=True)]] = True
+        out += [(x, k) for x in before[first].tolist()]
+        group[: k + 1][np.isin(group[: k + 1], groups)] = k
+        group[k] = k
+    return out
+
+
+_PLACE = ("doc_id", "l", "r")
+
+
+def _links(one: list, other: list) -> pa.RecordBatch:
+    """Links of (doc_id, l, r) in ``one`` and in ``other``, the smaller document first."""
+    small, large = zip(*((x, y) if x[0] < y[0] else (y, x) for x, y in zip(one, other)))
+    (a, al, ar), (b, bl, br) = zip(*small), zip(*large)
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(x, pa.int32()) for x in (al, ar, bl, br))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "al", "ar", "bl", "br"])
+
+
+def _met(rows: list, width: int, least: int, across: bool = False) -> list[tuple[tuple, tuple]]:
+    """Pairs of places among rows (doc_id, l, r, tokens, part) of one signature; with ``across`` those of different parts only."""
+    rows = sorted(rows, key=lambda x: x[:3])
+    tokens = np.frombuffer(b"".join(x[3] for x in rows), np.uint32).reshape(len(rows), -1)
+    found = _chosen(np.array([x[0] for x in rows], np.int64), tokens, width, least)
+    return [(rows[x][:3], rows[y][:3]) for x, y in found if not across or rows[x][4] != rows[y][4]]
+
+
+def _meet_signature(width: int, least: int):
+    """Rows sorted by (key, content, doc_id): equal surroundings are linked with their first, which meet at the end of the signature.
+
+    The first ones of a signature that has more than BLOCK of them leave with their key and shingles instead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = content = first = None
+        rows, large = [], False
+        names = ["a", "b", "al", "ar", "bl", "br", "key", "tokens"]
+
+        def linked(found):
+            batch, n = _links(*zip(*found)), len(found)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+
+        def parted(key, rows):
+            doc, l, r, tokens, _ = zip(*rows)
+            none = pa.nulls(len(rows), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(l, pa.int32()), pa.array(r, pa.int32()), none, none,
+                 pa.array([key] * len(rows), pa.int64()), pa.array(tokens, pa.binary())], names=names,
+            )
+
+        for batch in chain(batches, [None]):
+            found = []
+            columns = [batch.column(x).to_pylist() for x in ("key", "content", *_PLACE, "tokens")] if batch is not None else [[None]] * 6
+            for k, c, doc, l, r, tokens in zip(*columns):
+                if k != key:
+                    if large and rows:
+                        yield parted(key, rows)
+                    elif len(rows) > 1:
+                        found += _met(rows, width, least)
+                    key, content, rows, large = k, None, [], False
+                if k is None:  # the end
+                    break
+                if c == content:
+                    if doc != first[0]:
+                        found.append((first, (doc, l, r)))
+                    continue
+                content, first = c, (doc, l, r)
+                rows.append((doc, l, r, tokens, 0))
+                if len(rows) > BLOCK:
+                    yield parted(key, rows)
+                    rows, large = [], True
+            if found:
+                yield linked(found)
+
+    return run
+
+
+def _meet_blocks(width: int, least: int):
+    """Rows sorted by (key, i, j): the rows of blocks i and j of a signature, those of one block among themselves if i is j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows = None, []
+        for batch in chain(batches, [None]):
+            found = []
+            columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", *_PLACE, "tokens", "block")] if batch is not None else [[None]] * 8
+            for k, i, j, *row in zip(*columns):
+                if (k, i, j) != name:
+                    if len(rows) > 1:
+                        found += _met(rows, width, least, name[1] != name[2])
+                    name, rows = (k, i, j), []
+                if k is None:  # the end
+                    break
+                rows.append(tuple(row))
+            if found:
+                yield _links(*zip(*found))
+
+    return run
+
+
+def _crowded_links(docs: DataFrame, crowd: DataFrame, width: int, least: int) -> DataFrame:
+    """Links among the windows (key, doc_id, l, r, c) of signatures that many have: the shingles around the least one decide who meets.
+
+    A signature is compared in one task up to BLOCK different surroundings, beyond that in a task for each two of its blocks.
+    """
+    of_doc = crowd.groupBy("doc_id").agg(F.collect_list(F.struct("key", "l", "r", "c")).alias("windows"))
+    around = docs.hint("merge").join(of_doc, "doc_id").select("doc_id", "windows", "text").mapInArrow(
+        _surroundings(width), "key long, doc_id long, l int, r int, content long, tokens binary"
+    )
+    met = cut_lineage(around.repartition("key").sortWithinPartitions("key", "content", "doc_id").mapInArrow(
+        _meet_signature(width, least), f"{LINK}, key long, tokens binary"
+    ), "crowded")
+    large = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("al").alias("l"), F.col("ar").alias("r"), "tokens")
+    load = large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = salted_join(large, load, ["key"], F.col("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id", "l"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "l", "r", "tokens", "block"
+    )
+    across = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet_blocks(width, least), LINK)
+    return met.where("b is not null").drop("key", "tokens").unionByName(across)
 
 
 def matches(one: np.ndarray, other: np.ndarray, width: int, least: int) -> list[tuple[int, int, int]]:
@@ -287,8 +515,13 @@ def _meet(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.repartition("key", "salt").sortWithinPartitions("key", "salt", "visit", "doc_id", "lo")
 
 
+def _least(width: int, percent: int) -> int:
+    """Shingles that two stretches of ``width`` have in common at a Jaccard similarity of ``percent``."""
+    return -(-2 * width * percent // (100 + percent))
+
+
 def _verify(width: int, percent: int):
-    least = -(-2 * width * percent // (100 + percent))
+    least = _least(width, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, own, base = None, None, 0
@@ -325,9 +558,11 @@ def repeated_passages(
     Jaccard similarity of ``percent`` / 100 or more. Words count from 0, letters A-Z are lower-cased.
 
     Each text gives, per hash function, the compact windows of its shingles: about two per ``min_words`` words. Spark
-    sorts them by signature (function and least value); one that stands alone drops out, others are linked with the
-    first document of the signature and the one before, never all with all. The links of a pair of documents are joined into
-    the ranges they span, and these are compared shingle by shingle.
+    sorts them by signature (function and least value); one that stands alone drops out, up to FEW are linked all with all. Of a signature
+    that more windows have, the shingles around the least one meet: equal ones are linked with their first; of the others, each
+    stretch of a document with the first document that has it. No holder is left untried, though documents that share
+    a passage may be linked through others only. The links of a pair of documents are joined into the ranges they span, and these are compared
+    shingle by shingle.
 
     A document may have a passage with several sources, and overlapping passages. Null, empty and short texts have none; rows without id take
     no part; rows that repeat an id have the passages of each; other columns are ignored.
@@ -335,9 +570,9 @@ def repeated_passages(
     whole = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     width = min_words - SHINGLE_WORDS + 1
     windows = whole.mapInArrow(_windows(width), ROW)
-    links = windows.repartition("key").sortWithinPartitions("key", "doc_id", "l").mapInArrow(
-        _link, "a long, b long, al int, ar int, bl int, br int"
-    )
+    met = cut_lineage(windows.repartition("key").sortWithinPartitions("key", "doc_id", "l").mapInArrow(_link, f"{LINK}, key long, c int"), "links")
+    crowd = met.where("b is null").select("key", F.col("a").alias("doc_id"), F.col("al").alias("l"), F.col("ar").alias("r"), "c")
+    links = met.where("b is not null").drop("key", "c").unionByName(_crowded_links(whole, crowd, width, _least(width, percent)))
     pairs = cut_lineage(links.groupBy("a", "b").agg(
         F.min("al").alias("al"), F.max("ar").alias("ar"), F.min("bl").alias("bl"), F.max("br").alias("br")
     ), "pairs")

@@ -483,3 +483,52 @@ def test_passages_of_frequent_lines_are_found(spark, monkeypatch, n, lines, size
     got = passages.repeated_passages(spark.createDataFrame(some, "doc_id long, text string"))
     found = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
     assert len(want) > 5 and len(want - found) <= 0.02 * len(want)
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_passages_meet_every_holder_of_a_signature(spark, monkeypatch, block):
+    """Every line stands in a third of the texts, so the first holder of a signature and the one before are mostly unrelated."""
+    monkeypatch.setattr(passages, "chunks", lambda batch, text: text_module.chunks(batch, text, 1))  # a document per chunk
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 18)) for _ in range(90)]
+    some = [(i, "\n".join(lines[k] for k in rng.integers(0, 90, 30))) for i in range(1000)]
+    grams = collections.defaultdict(set)
+    for i, text in some:
+        words = text.split()
+        for k in range(len(words) - 49):
+            grams[tuple(words[k : k + 50])].add(i)
+    got = passages.repeated_passages(spark.createDataFrame(some, "doc_id long, text string"))
+    found = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
+    want = {i for ids in grams.values() for i in ids if i != min(ids)}
+    assert len(want) > 300 and want <= found
+
+
+def test_rows_of_a_signature_meet_by_stretches():
+    rng = np.random.default_rng(2)
+    fresh = lambda n: rng.integers(1, 1 << 32, n).astype(np.uint32)
+    around, least = lambda left, middle, right: np.r_[fresh(left), middle, fresh(right)], fresh(115)
+    shared = np.stack([
+        least, around(20, least[20:66], 49), around(12, least[12:110], 5), around(20, least[20:66], 49), around(40, least[40:70], 45),
+        np.r_[least[:20], fresh(1), least[21:66], fresh(49)],
+    ])
+    for doc in (np.arange(6), np.array([0, 1, 2, 3, 4, 5]) * 7):
+        # All meet the first but the row that has 30 shingles of it only.
+        assert set(passages._chosen(doc, shared, 46, 40)) == {(0, 1), (0, 2), (0, 3), (0, 5)}
+    # Without the first: the stretch of the second is met again, what goes beyond it has no other holder.
+    assert set(passages._chosen(np.arange(4), shared[[4, 1, 2, 3]], 46, 40)) >= {(1, 2), (1, 3)}
+    assert passages._chosen(np.zeros(6, np.int64), shared, 46, 40) == []
+
+
+def test_few_windows_of_a_signature_are_linked_all_with_all():
+    keys = [1] * 3 + [2] * 5 + [3] * 2 + [4]
+    n = len(keys)
+    ints = lambda x: pa.array([x] * n, pa.int32())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(keys), pa.array(range(n)), ints(0), ints(60), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.int32())] * 2, ints(9)],
+        names=["key", "doc_id", "l", "r", "other", "ol", "orr", "c"],
+    )
+    for cuts in ([0, n], [0, 1, 4, 5, 8, 9, n], list(range(n + 1))):
+        rows = [r for b in passages._link(batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:])) for r in b.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in rows if r["b"] is not None) == [(0, 1), (0, 2), (1, 2), (8, 9)]
+        assert sorted((r["a"], r["key"], r["c"]) for r in rows if r["b"] is None) == [(i, 2, 9) for i in range(3, 8)]

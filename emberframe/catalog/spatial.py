@@ -133,7 +133,7 @@ def j8_polygons(spark, d):
     ),
 )
 def j3_station(spark, d):
-    first = tiles.first_rows(located(spark, d)).withColumn("key", F.concat_ws("|", "id", "year", *TILE, "fireday"))
+    first = tiles.first_rows(located(spark, d)).withColumn("key", F.monotonically_increasing_id())
     found = nearest.nearest_site(first, fixtures.load(spark, d, "station"), "key", "station")
     known = {"station": F.coalesce("station", F.lit(-1)), "distance": r(F.coalesce("distance", F.lit(-1.0)))}
     return found.withColumns(known).select("id", *TILE, "fireday", *known)

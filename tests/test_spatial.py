@@ -126,6 +126,33 @@ def test_nearest_site_against_brute_force(spark):
     assert nearest.nearest_site(frame, table.limit(0), "id", "site").where("site IS NULL AND distance IS NULL").count() == len(points)
 
 
+def test_nearest_site_in_several_lists(spark, monkeypatch):
+    """Points are read once, and a cell's list of sites may come in several parts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.normal(0, 0.1, (80, 2)), rng.uniform(-9, 9, (20, 2))]).round(1))]
+    asked = np.vstack([rng.normal(0, 0.3, (60, 2)), rng.uniform(-9, 9, (60, 2))]).round(1)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        reads.add(1)
+        return v
+
+    frame = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(asked)], "id int, x double, lat double")
+    frame = frame.withColumn("lon", counted.asNondeterministic()("x"))
+    table = spark.createDataFrame(rows, "site int, lon double, lat double")
+    low, high = (np.array([r[1:] for r in rows]).__getattribute__(f)(axis=0) for f in ("min", "max"))
+    for size in (1024, 3):
+        monkeypatch.setattr(nearest, "SITES_PER_LIST", size, raising=False)
+        before = reads.value
+        got = {r["id"]: (r["site"], r["distance"]) for r in nearest.nearest_site(frame, table, "id", "site", cell=2.0).collect()}
+        assert reads.value - before == len(asked) == len(got)
+        for i, p in enumerate(asked):
+            want = min((math.hypot(p[0] - r[1], p[1] - r[2]), r[0]) for r in rows)
+            want = (want[1], want[0]) if (low <= p).all() and (p <= high).all() else (None, None)
+            assert got[i][0] == want[0] and (want[0] is None or abs(got[i][1] - want[1]) < 1e-12)
+
+
 def test_terrain_edges_are_extrapolated(spark):
     height = lambda y, x: 100.0 - 9.0 * y + 18.0 * x
     rows = [("t", y, x, height(y, x)) for y in range(4) for x in range(4)]

@@ -254,8 +254,12 @@ def _chosen(doc: np.ndarray, tokens: np.ndarray, width: int, least: int) -> list
     n, out = len(doc), []
     value, name = np.unique(tokens, return_inverse=True)
     name = name.reshape(tokens.shape)
-    pairs = np.unique(name * n + np.arange(n)[:, None])  # each shingle once per row
-    times = np.bincount(pairs // n, minlength=len(value))
+    if n * len(value) <= 1 << 22:
+        times = np.zeros((n, len(value)), bool)
+        times[np.arange(n)[:, None], name] = True
+        times = times.sum(axis=0)
+    else:
+        times = np.bincount(np.unique(name * n + np.arange(n)[:, None]) // n, minlength=len(value))  # each shingle once per row
     shared = np.flatnonzero((times > 1) & (value != 0))
     number = np.full(len(value), len(shared))  # the last column stands for all that no other row holds
     number[shared] = np.arange(len(shared))
@@ -264,16 +268,27 @@ def _chosen(doc: np.ndarray, tokens: np.ndarray, width: int, least: int) -> list
     has[:, -1] = False
     middle = tokens.shape[1] // 2
     inner = number[name[:, middle - width + 1 : middle + width]]
-    held = lambda x, least: (y := np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1, dtype=np.int16))[:, width:] - y[:, :-width] >= least
+
+    def held(x: np.ndarray, least: int) -> np.ndarray:
+        sums = np.zeros((len(x), x.shape[1] + 1), np.int16)
+        np.cumsum(x, axis=1, out=sums[:, 1:])
+        return sums[:, width:] - sums[:, :-width] >= least
+
     whole = held(tokens[:, middle - width + 1 : middle + width] != 0, width)
     may = np.flatnonzero((held(inner < len(shared), least) & whole).any(axis=1))
     group = np.arange(n)
     for k in may[may > 0].tolist():
         before = np.flatnonzero(doc[:k] != doc[k])
-        before = before[has[before][:, inner[k]].sum(axis=1) >= least]
-        if not len(before):
+        met = has[:k].take(inner[k], axis=1)[before]
+        some = met.sum(axis=1) >= least
+        if not some.any():
+            continue
+        before, met = before[some], met[some]
+        covers = held(met, least) & whole[k]
+        if covers[0].sum() == whole[k].sum() and (group[before] == group[before[0]]).all():  # the first has all
+            out.append((int(before[0]), k))
+            group[k] = group[before[0]]
             continue
-        covers = held(has[before[:, None], inner[k]], least) & whole[k]
         near = covers.any(axis=1)
         if not near.any():
             continue

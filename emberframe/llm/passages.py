@@ -41,30 +41,29 @@ def compact_windows(value: np.ndarray, row: np.ndarray, width: int) -> tuple[np.
     place = np.uint64((1 << 31) - 1)
     order = value & ~place | np.arange(n, dtype=np.uint64)
     least = (_sliding_min(order, width) & place).astype(np.int64)
-    c = np.unique(least[row[: n - width + 1] == row[width - 1 :]])
-    if not len(c):
+    least = least[row[: n - width + 1] == row[width - 1 :]]
+    if not len(least):
         return none, none, none
-    m, v, doc = len(c), order[c], row[c]
-    starts = np.searchsorted(row, doc, side="left")
-    ends = np.searchsorted(row, doc, side="right") - 1
-    left = np.arange(m) - 1
-    while True:
-        on = np.flatnonzero((left >= 0) & (doc[left] == doc) & (v[left] > v))
-        if not len(on):
-            break
-        left[on] = left[left[on]]
-    right = np.arange(m) + 1
-    while True:
-        at = np.minimum(right, m - 1)
-        on = np.flatnonzero((right < m) & (doc[at] == doc) & (v[at] > v))
-        if not len(on):
-            break
-        right[on] = right[right[on]]
-    inside = (left >= 0) & (doc[left] == doc)
-    l = np.where(inside, c[left] + 1, starts)
-    at = np.minimum(right, m - 1)
-    inside = (right < m) & (doc[at] == doc)
-    return l, c, np.where(inside, c[at] - 1, ends)
+    c = least[np.r_[True, least[1:] != least[:-1]]]  # the place of the least value never goes back
+    m = len(c)
+    # One more node, which both ends point to, belongs to no row.
+    v, doc = np.r_[order[c], np.uint64(0)], np.r_[row[c], -1]
+    left, right = np.arange(m) - 1, np.arange(m) + 1
+    for bound, way in ((left, 1), (right, -1)):
+        on = np.arange(m)
+        while len(on) > 16:  # only nodes whose bound still moves are looked at again
+            at = bound[on]
+            on = on[(doc[at] == doc[on]) & (v[at] > v[on])]
+            bound[on] = bound[bound[on]]
+        for k in on[::way].tolist():  # a few may have a long way to go
+            at, mine = bound[k], v[k]
+            while doc[at] == doc[k] and v[at] > mine:
+                at = bound[at]
+            bound[k] = at
+    starts = np.searchsorted(row, doc[:m], side="left")
+    ends = np.searchsorted(row, doc[:m], side="right") - 1
+    place = np.r_[c, 0]
+    return np.where(doc[left] == doc[:m], place[left] + 1, starts), c, np.where(doc[right] == doc[:m], place[right] - 1, ends)
 
 
 def _least_beside(value: np.ndarray, n: int) -> np.ndarray:
@@ -271,35 +270,46 @@ def _chosen(doc: np.ndarray, tokens: np.ndarray, width: int, least: int) -> list
 
     def held(x: np.ndarray, least: int) -> np.ndarray:
         sums = np.zeros((len(x), x.shape[1] + 1), np.int16)
-        np.cumsum(x, axis=1, out=sums[:, 1:])
+        np.cumsum(x, axis=1, dtype=np.int16, out=sums[:, 1:])
         return sums[:, width:] - sums[:, :-width] >= least
 
     whole = held(tokens[:, middle - width + 1 : middle + width] != 0, width)
     may = np.flatnonzero((held(inner < len(shared), least) & whole).any(axis=1))
-    group = np.arange(n)
-    for k in may[may > 0].tolist():
-        before = np.flatnonzero(doc[:k] != doc[k])
-        met = has[:k].take(inner[k], axis=1)[before]
-        some = met.sum(axis=1) >= least
-        if not some.any():
-            continue
-        before, met = before[some], met[some]
-        covers = held(met, least) & whole[k]
-        if covers[0].sum() == whole[k].sum() and (group[before] == group[before[0]]).all():  # the first has all
-            out.append((int(before[0]), k))
-            group[k] = group[before[0]]
-            continue
-        near = covers.any(axis=1)
-        if not near.any():
-            continue
-        before, covers = before[near], covers[near]
-        first = np.zeros(len(before), bool)
-        first[covers.argmax(axis=0)[covers.any(axis=0)]] = True
-        groups, lead = np.unique(group[before], return_index=True)
-        first[lead[np.isin(groups, group[before[first]], invert=True)]] = True
-        out += [(x, k) for x in before[first].tolist()]
-        group[: k + 1][np.isin(group[: k + 1], groups)] = k
-        group[k] = k
+    may, group = may[may > 0], np.arange(n)
+    step = max(1, (1 << 20) // (n * inner.shape[1]))
+    for some in (may[x : x + step] for x in range(0, len(may), step)):  # so many later rows at a time against all before them
+        upto = some[-1]
+        met = has[:upto].take(inner[some], axis=1)
+        hit = (np.count_nonzero(met, axis=2) >= least) & (np.arange(upto)[:, None] < some) & (doc[:upto, None] != doc[some])
+        which, earlier = np.nonzero(hit.T)
+        covered = held(met[earlier, which], least) & whole[some[which]]
+        near = covered.any(axis=1)
+        all_of_it = covered.sum(axis=1) == whole[some].sum(axis=1)[which]
+        bounds = np.searchsorted(which, np.arange(len(some) + 1)).tolist()
+        for k, x, y in zip(some.tolist(), bounds, bounds[1:]):
+            if x == y:
+                continue
+            of = group[earlier[x:y]]
+            if all_of_it[x] and (of == of[0]).all():  # the first has all
+                out.append((int(earlier[x]), k))
+                group[k] = of[0]
+                continue
+            before, covers, of = earlier[x:y][near[x:y]], covered[x:y][near[x:y]], of[near[x:y]]
+            if not len(before):
+                continue
+            first = np.zeros(len(before), bool)
+            first[covers.argmax(axis=0)[covers.any(axis=0)]] = True
+            if (of == of[0]).all():
+                group[k] = of[0]
+            else:
+                joined, lead = np.zeros(n, bool), np.zeros(n, np.int64)
+                joined[of[first]] = True
+                lead[of[::-1]] = np.arange(len(of))[::-1]  # the first of each group
+                first[lead[of[~joined[of]]]] = True
+                joined[of] = True
+                group[:k][joined[group[:k]]] = k
+                group[k] = k
+            out += [(j, k) for j in before[first].tolist()]
     return out
 
 
@@ -424,22 +434,38 @@ def matches(one: np.ndarray, other: np.ndarray, width: int, least: int) -> list[
         return []
     order = np.argsort(one, kind="stable")
     ordered = one[order]
-    low, high = np.searchsorted(ordered, other), np.searchsorted(ordered, other, side="right")
-    places = np.searchsorted(ordered, ordered) * (m + 1) + order  # ascending: by value, then by place
-    windows = lambda ok: np.convolve(ok.astype(np.int64), np.ones(width, np.int64), "valid") >= least
-    out = []
-    for a, b in _stretches(windows(high > low)):
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    low = np.searchsorted(ordered, other)
+    hit = ordered[np.minimum(low, m - 1)] == other
+    runs = np.diff(heads, append=m)
+    times = np.where(hit, np.repeat(runs, runs)[np.minimum(low, m - 1)], 0)
+    high, places, out = low + times, None, []
+
+    def windows(ok: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(ok) + 1, np.int32)
+        np.cumsum(ok, out=sums[1:])
+        return sums[width:] - sums[:-width] >= least
+
+    for a, b in _stretches(windows(hit)):
         lo, hi = low[a : b + width - 1], high[a : b + width - 1]
-        n, missing = len(lo), np.ones(b - a, bool)
+        n = len(lo)
+        main = _only_shift(order, lo, times[a : b + width - 1])
+        if main is not None and -DRIFT <= main <= m - n + DRIFT:
+            out.append((a, n, max(0, main)))
+            continue
+        if places is None:
+            places = np.repeat(heads, runs) * (m + 1) + order  # ascending: by value, then by place
+        missing = np.ones(b - a, bool)
         # A stretch may have several sources; shifts are looked at until every window of it has one.
         for main in _main_shifts(order, lo, hi, least):
             s, e = max(0, -main - DRIFT), min(n, m - main + DRIFT)
             if e - s < width or not missing[s : e - width + 1].any():
                 continue
-            target = np.arange(s, e) + main
-            k = np.searchsorted(places, lo[s:e] * (m + 1) + np.clip(target, 0, m))
-            gap = [np.abs(order[np.clip(x, lo[s:e], np.maximum(hi[s:e] - 1, lo[s:e])).clip(max=m - 1)] - target) for x in (k - 1, k)]
-            close = (hi[s:e] > lo[s:e]) & (np.minimum(*gap) <= DRIFT)
+            target, x, y = np.arange(s, e) + main, lo[s:e], hi[s:e]
+            last = np.minimum(np.maximum(y - 1, x), m - 1)
+            k = np.searchsorted(places, x * (m + 1) + np.minimum(np.maximum(target, 0), m))
+            gap = [np.abs(order[np.minimum(np.maximum(z, x), last)] - target) for z in (k - 1, k)]
+            close = (y > x) & (np.minimum(*gap) <= DRIFT)
             for x, y in _stretches(windows(close)):
                 if missing[s + x : s + y].any():
                     out.append((a + s + x, y - x + width - 1, max(0, s + x + main)))
@@ -449,6 +475,26 @@ def matches(one: np.ndarray, other: np.ndarray, width: int, least: int) -> list[
     return out
 
 
+def _shift_order(shift: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The most frequent shifts first; equal counts in scattered order, as neighbours of a long run would each add a few places only."""
+    return np.lexsort((mix(shift.astype(np.uint64)), -count))
+
+
+def _only_shift(order: np.ndarray, lo: np.ndarray, times: np.ndarray) -> int | None:
+    """The first of the main shifts of a stretch without recurring shingles whose shifts all lie within DRIFT of each other."""
+    if times.max() > 1:
+        return None
+    at = np.flatnonzero(times)
+    shift = order[lo[at]] - at
+    least = int(shift.min())
+    if shift.max() - least > DRIFT:
+        return None
+    count = np.bincount(shift - least)
+    found = np.flatnonzero(count)
+    # As in _main_shifts, shifts are numbered from 1 - len(lo).
+    return least + int(found[_shift_order(found + least + len(lo) - 1, count[found])[0]])
+
+
 def _main_shifts(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> Iterator[int]:
     """Shifts by which many places order[lo:hi] lie behind their shingle, the most frequent first, if ``least`` pairs are within DRIFT of it."""
     m, n = len(order), len(lo)
@@ -475,16 +521,17 @@ def _main_shifts(order: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int)
     at = np.flatnonzero(count)
     at = at[total[np.minimum(at + DRIFT + 1, m + n)] - total[np.maximum(at - DRIFT, 0)] >= least]
     taken = np.zeros(m + n, bool)
-    # Equal counts in scattered order: neighbouring shifts of a long run would each add a few places only.
-    for k in at[np.lexsort((mix(at.astype(np.uint64)), -count[at]))].tolist():
+    for k in at[_shift_order(at, count[at])].tolist():
         if not taken[k]:
             taken[max(0, k - DRIFT // 2) : k + DRIFT // 2 + 1] = True
             yield k - n + 1
 
 
 def _stretches(on: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.r_[False, on, False].astype(np.int8)))
-    return [tuple(x) for x in edge.reshape(-1, 2).tolist()]
+    padded = np.zeros(len(on) + 2, bool)
+    padded[1:-1] = on
+    edge = np.flatnonzero(padded[1:] != padded[:-1]).tolist()
+    return list(zip(edge[::2], edge[1::2]))
 
 
 def _trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

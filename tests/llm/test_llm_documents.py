@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -261,6 +262,18 @@ def test_compact_windows_cover_every_range_once():
                     assert len(inside) == 1 and inside[0][1] == i + part.index(min(part))
 
 
+def test_compact_windows_of_a_long_ascent_take_no_quadratic_work():
+    """The last value is the least, and its node passes all others; a repeated text has equal, that is ascending, values."""
+    n = 200_000
+    rising = np.r_[np.arange(1, n + 1, dtype=np.uint64) << np.uint64(31), np.uint64(0)]
+    began = time.process_time()
+    for value, back in ((rising, False), (rising[::-1].copy(), True)):
+        l, c, r = passages.compact_windows(value, np.zeros(n + 1, np.int64), 5)
+        k = np.flatnonzero(c == (0 if back else n))[0]
+        assert (l[k], r[k], len(c)) == (0, n, n - 3)
+    assert time.process_time() - began < 30
+
+
 def test_passages_are_found_and_nothing_else(docs, rows, empty):
     got = passages.repeated_passages(docs).collect()
     by_id = {i: lower(t) for i, t in rows}
@@ -333,6 +346,22 @@ def test_matches_count_every_place_of_a_shingle():
     assert {w for s, n, _ in found for w in range(s, s + n)} == set(range(8996))
 
 
+def test_only_shift_is_the_first_main_shift():
+    rng, seen = np.random.default_rng(6), 0
+    for _ in range(300):
+        one = rng.permutation(400).astype(np.uint64)
+        other = one[(start := rng.integers(0, 250)) : start + rng.integers(60, 140)]
+        other = np.delete(other, rng.integers(0, len(other), rng.integers(0, 9)))
+        other[rng.integers(0, len(other), 3)] = 1000
+        order, ordered = np.argsort(one), np.sort(one)
+        low, high = np.searchsorted(ordered, other), np.searchsorted(ordered, other, side="right")
+        main = passages._only_shift(order, low, high - low)
+        if main is not None:
+            seen += 1
+            assert main == next(passages._main_shifts(order, low, high, 1))
+    assert seen > 50
+
+
 def test_removed_passages_leave_the_rest(docs, rows, spark):
     spans = spark.createDataFrame([(3, 1, 2, 0, 0), (3, 2, 3, 0, 0), (95, 0, 3, 1, 0), (92, 0, 1, 1, 0)], "doc_id long, start_word long, n_words long, source_id long, source_word long")
     cut = passages.remove_passages(docs, spans)

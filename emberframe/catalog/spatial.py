@@ -198,29 +198,22 @@ _CELL = "pixel_y * 256 + pixel_x + 1"
 )
 def e2_strip_samples(spark, d):
     """Input and label arrays of every next-day pair at full size: first burn day, burned cells around each cell, new growth."""
-    table = burn.burn_table(located(spark, d))
-    fires, masks = tiles.tile_fires(table), burn.masks_of(table)
-    pairs = pairing.next_day_pairs(pairing.tile_days(fires))
+    cells = burn.pair_cells(burn.fire_lists(located(spark, d)))
     keys = (*TILE_DAY, "day_block")
-    block = burn.day_block(F.col("dob")).alias("day_block")
-    current = burn.history_cells(fires.join(pairs, list(TILE_DAY), "left_semi"), masks)
-    grown = burn.new_growth(fires, masks, pairs)
-    rows = strips.fill(
-        strips.scaffold(pairs.select(*TILE_DAY, block), keys),
-        current.select(*keys, *PIXEL, F.col("first_fireday").cast("smallint"), F.lit(1).cast("tinyint").alias("burned")),
-        {"first_fireday": 0, "burned": 0}, keys,
-    )
-    rows = strips.fill(rows, grown.select(*TILE_DAY, block, *PIXEL, F.lit(1).cast("tinyint").alias("label")), {"label": 0}, keys)
+    # A word per cell: new growth, burned so far, first burn day in 16 bits.
+    day = F.col("first_fireday").cast("smallint").cast("bigint").bitwiseAND(F.lit((1 << 16) - 1)) * 4 + 2
+    channels = {
+        "first_fireday": lambda w: F.shiftright(F.shiftleft(w, 46), 48).cast("smallint"),
+        "burned": lambda w: F.getbit(w, F.lit(1)), "label": lambda w: F.getbit(w, F.lit(0)),
+    }
+    rows = strips.gather(cells, F.coalesce(day, F.col("grown").cast("bigint")), channels, keys)
     rows = strips.window(rows, "burned", "around", lambda a, b: a + b, 0, keys=keys)
     packed = strips.pack(rows, ["first_fireday", "burned", "around", "label"], keys)
-    # Read back strip by strip; strips of zeros add nothing.
-    names = {"first_fireday": "fireday", "burned": "burned", "around": "around", "label": "label"}
-    place = lambda i: F.col("y") * 256 + i + 1
-    placed = lambda c: F.aggregate(F.transform(c, lambda v, i: v * place(i)), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    cut = packed.select(*TILE_DAY, *names, F.size("label").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("y"))
-    cut = cut.select(*TILE_DAY, "cells", "y", *[F.slice(c, F.col("y") * 256 + 1, F.lit(256)).alias(c) for c in names])
-    cut = cut.withColumns({f"n_{c}": F.size(F.array_remove(c, F.lit(0).cast("smallint" if c == "first_fireday" else "tinyint"))).cast("bigint") for c in names})
-    return cut.groupBy(*TILE_DAY, "cells").agg(
-        *[F.sum(F.when(F.col(f"n_{c}") > 0, placed(c)).otherwise(0)).alias(new) for c, new in names.items() if c != "burned"],
-        *[F.sum(f"n_{c}").alias(new) for c, new in (("burned", "burned"), ("around", "reached"), ("label", "grown"))],
-    )
+    # Read back cell by cell.
+    names = {"first_fireday": "fireday", "around": "around", "label": "label"}
+    cells = packed.select(*keys, "burned", *names, F.size("label").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(k.GRID_SIZE**2 - 1))).alias("i"))
+    value = lambda c: F.get(c, F.col("i")).cast("bigint")
+    return cells.groupBy(*keys, "cells").agg(
+        *[F.sum(value(c) * (F.col("i") + 1)).alias(new) for c, new in names.items()],
+        *[F.count_if(value(c) != 0).alias(new) for c, new in (("burned", "burned"), ("around", "reached"), ("label", "grown"))],
+    ).drop("day_block")

@@ -44,6 +44,29 @@ def fill(
     return out.withColumns({name: F.coalesce(F.col(name), F.array_repeat(other[name], grid)) for name in values})
 
 
+def gather(
+    cells: DataFrame, word: Column, channels: dict[str, Callable[[Column], Column]], keys: tuple[str, ...] = TILE_DAY, grid: int = k.GRID_SIZE
+) -> DataFrame:
+    """Strips from cells and from rows without ``pixel_x`` that name the strips to make; cells of other strips are left out.
+
+    ``word``: what a cell holds, from 0 (as in missing cells) to 2^40 - 1, so that entries are sorted as plain numbers;
+    ``channels`` read it. Unlike ``scaffold`` and ``fill`` this has no join: cells dealt by (part of) ``keys`` become
+    strips where they lie, and nothing dense is shuffled.
+    """
+    entry = F.when(F.col("pixel_x").isNotNull(), F.col("pixel_x").cast("bigint") * F.lit(1 << 40) + word)
+    held = cells.groupBy(*keys, "pixel_y").agg(F.sort_array(F.collect_list(entry)).alias("_e"), F.max(F.col("pixel_x").isNull()).alias("_named"))
+    value = lambda e: e.bitwiseAND(F.lit((1 << 40) - 1))
+    column = lambda e: F.shiftright(e, 40).cast("int")
+    none = F.lit(0).cast("bigint")
+    after = lambda i: F.coalesce(column(F.get("_e", i + 1)), F.lit(grid))
+    spaced = F.flatten(F.transform("_e", lambda e, i: F.concat(F.array(value(e)), F.array_repeat(none, after(i) - column(e) - 1))))
+    sparse = F.concat(F.array_repeat(none, column(F.get("_e", F.lit(0)))), spaced)
+    words = F.when(F.size("_e") == grid, F.transform("_e", value)).when(F.size("_e") > 0, sparse)
+    held = held.where("_named").select(*keys, "pixel_y", words.alias("_w"))
+    made = {name: F.coalesce(F.transform("_w", read), F.array_repeat(read(none), grid)) for name, read in channels.items()}
+    return held.select(*keys, "pixel_y", *[row.alias(name) for name, row in made.items()])
+
+
 def shift(row: Column, by: int, outside: Column) -> Column:
     """The value ``by`` columns to the right of each column; ``outside`` beyond the tile."""
     if by == 0:
@@ -72,20 +95,23 @@ def window(
     """
     none = F.lit(outside).cast(strips.schema[channel].dataType.elementType)
     fold = lambda a, b: combine(a, b)
-    bare = lambda a: F.size(F.array_remove(a, none)) == 0
+    bare = F.size(F.array_remove(channel, none)) == 0
     row = F.col(channel)
     for d in range(1, radius + 1):
         for by in (-d, d):
             row = F.zip_with(row, shift(F.col(channel), by, none), fold)
-    folded = strips.withColumn("_row", F.when(bare(F.col(channel)), F.col(channel)).otherwise(row))
-    rows = _rows_around("_row", radius, keys, F.array_repeat(none, F.size("_row")))
+    # A strip of nothing else is NULL until the end, like one beyond the tile.
+    folded = strips.withColumn("_row", F.when(~bare, row))
+    rows = _rows_around("_row", radius, keys, F.lit(None))
     folded = folded.withColumns({f"_r{i}": r for i, r in enumerate(rows)})
+    blank = F.array_repeat(none, F.size(channel))
     total = F.col("_r0")
     for i in range(1, len(rows)):
-        total = F.when(bare(total) & bare(F.col(f"_r{i}")), total).otherwise(F.zip_with(total, F.col(f"_r{i}"), fold))
+        some = total.isNotNull() | F.col(f"_r{i}").isNotNull()
+        total = F.when(some, F.zip_with(F.coalesce(total, blank), F.coalesce(F.col(f"_r{i}"), blank), fold))
         folded = folded.withColumn("_total", total)
         total = F.col("_total")
-    return folded.withColumn(out, total).drop("_row", "_total", *[f"_r{i}" for i in range(len(rows))])
+    return folded.withColumn(out, F.coalesce(total, blank)).drop("_row", "_total", *[f"_r{i}" for i in range(len(rows))])
 
 
 def patches(strips: DataFrame, channels: list[str], patch: int = 3, keys: tuple[str, ...] = TILE_DAY, out: str = "features") -> DataFrame:
@@ -108,5 +134,5 @@ def patches(strips: DataFrame, channels: list[str], patch: int = 3, keys: tuple[
 
 def pack(strips: DataFrame, channels: list[str], keys: tuple[str, ...] = TILE_DAY) -> DataFrame:
     """One row per tile-day, each channel one array, row by row. A group is the strips of a tile-day."""
-    held = strips.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pixel_y", *channels))).alias("_s"))
-    return held.select(*keys, *[F.flatten(F.transform("_s", lambda s: s[c])).alias(c) for c in channels])  # noqa: B023
+    held = strips.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pixel_y", *channels))).alias("_s"))
+    return held.select(*keys, *[F.flatten(F.col("_s")[c]).alias(c) for c in channels])

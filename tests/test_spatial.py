@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import pathlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators import nearest, regions, resample, states, stencil, strips
+from emberframe.catalog import load_all
+from emberframe.operators import burn, nearest, pairing, regions, resample, states, stencil, strips, tiles
 from emberframe.session import scratch_path
 from emberframe.sources import day_store
 
+QUERIES, _ = load_all()
+
 
 def bspline(t):
     a = abs(t)
@@ -255,3 +259,49 @@ def test_patches_of_strips_are_those_of_cells(spark):
         assert got == {tuple(r[:3]): r["features"] for r in whole.collect()}
     with pytest.raises(ValueError):
         strips.patches(filled, ["a"], 2, ("t",))
+
+
+def test_cells_of_pairs_are_history_and_growth(spark):
+    """Fires that burn a pixel again, are listed twice a day or not every day, never burn, and pairs across blocks of days."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(900):
+        dob = int(rng.integers(1, 30))
+        day = None if i % 90 == 0 else dob + int(rng.integers(-12, 3)) if i % 3 else dob - 2
+        rows.append((2020, int(rng.integers(0, 2)), -1, f"f{i % 6}", day, dob, int(rng.integers(0, 8)), int(rng.integers(0, 8)), i, float(i % 6 > 0 and i % 4 > 0)))
+    rows += [(2021, 0, 0, "g", 1, 7, 2, 2, 1000, 1.0), (2021, 0, 0, "h", 1, 8, 2, 3, 1001, 1.0), (2021, 0, 0, "h", 1, 20, 1, 1, 1002, 1.0)]
+    schema = "year int, tile_col int, tile_row int, id string, fireday int, dob int, pixel_y int, pixel_x int, row_seq bigint, cumuarea double"
+    points = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0.0) for c in ("lon", "lat", "firearea")}).repartition(5)
+    table = burn.burn_table(points)
+    fires, masks = tiles.tile_fires(table), burn.masks_of(table)
+    pairs = pairing.next_day_pairs(pairing.tile_days(fires)).select(*tiles.TILE_DAY)
+    current = burn.history_cells(fires.join(pairs, list(tiles.TILE_DAY), "left_semi"), masks)
+    cells = [*tiles.TILE_DAY, "pixel_y", "pixel_x"]
+    got = burn.pair_cells(burn.fire_lists(points), grid=8)
+    named = got.where("pixel_x IS NULL").select(*tiles.TILE_DAY, "pixel_y").collect()
+    assert sorted(named) == sorted((*p, y) for p in pairs.collect() for y in range(8)) and len(named) > 100
+    held = got.join(pairs, list(tiles.TILE_DAY), "left_semi").where("pixel_x IS NOT NULL")
+    burned = held.where("first_fireday IS NOT NULL")
+    assert sorted(burned.select(*cells, "first_fireday").collect()) == sorted(current.select(*cells, "first_fireday").collect())
+    assert sorted(held.where("grown").select(*cells).collect()) == sorted(burn.new_growth(fires, masks, pairs).select(*cells).collect())
+    assert held.where("grown").count() > 50
+
+
+def test_gathered_strips_are_filled_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [(t, y, int(x), int(rng.integers(1, 90))) for t in (1, 2) for y, n in ((0, 9), (3, 2), (4, 1), (8, 9)) for x in rng.permutation(9)[:n]]
+    cells = spark.createDataFrame(rows, "t int, pixel_y int, pixel_x int, v int").repartition(4)
+    names = strips.scaffold(spark.createDataFrame([(1,), (3,)], "t int"), ("t",), 9)
+    filled = strips.fill(names, cells, {"v": 0}, ("t",), 9).select("t", "pixel_y", "v")
+    channels = {"v": lambda w: F.shiftright(w, 1).cast("int"), "odd": lambda w: F.getbit(w, F.lit(0))}
+    word = F.col("v").cast("bigint") * 2 + F.col("v") % 2
+    got = strips.gather(cells.unionByName(names, allowMissingColumns=True), word, channels, ("t",), 9)
+    assert sorted(got.select("t", "pixel_y", "v").collect()) == sorted(filled.collect())
+    assert all(r["odd"] == [v % 2 for v in r["v"]] for r in got.collect())
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.001").exists(), reason="needs the given tables")
+def test_strip_samples_shuffle_lists_only(spark):
+    """Strips are made where the lists of their fires lie: one exchange, of lists, and no join that could build or spill strips."""
+    plan = QUERIES["e2_strip_samples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

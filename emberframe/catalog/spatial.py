@@ -198,7 +198,7 @@ _CELL = "pixel_y * 256 + pixel_x + 1"
 )
 def e2_strip_samples(spark, d):
     """Input and label arrays of every next-day pair at full size: first burn day, burned cells around each cell, new growth."""
-    cells = burn.pair_cells(burn.fire_lists(located(spark, d)))
+    cells = burn.pair_cells(burn.fire_lists(tiles.locate(fixtures.load(spark, d, "burn_points", spread=False))))
     keys = (*TILE_DAY, "day_block")
     # A word per cell: new growth, burned so far, first burn day in 16 bits.
     day = F.col("first_fireday").cast("smallint").cast("bigint").bitwiseAND(F.lit((1 << 16) - 1)) * 4 + 2
